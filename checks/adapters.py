@@ -19,12 +19,14 @@ AS_OF = dt.datetime(2024, 1, 31)
 
 _D = {
     "spark": {
+        "quote": "`",
         "json_k": "CAST(get_json_object(props, '$.k') AS INT)",
         "epoch": lambda e: f"timestamp_seconds({e})",
         "explode": lambda *xs: f"explode(array({', '.join(xs)}))",
         "date": lambda e: f"CAST({e} AS DATE)",
     },
     "duckdb": {
+        "quote": '"',
         "json_k": "CAST(json_extract_string(props, '$.k') AS INT)",
         "epoch": lambda e: f"make_timestamp(CAST(({e}) AS BIGINT) * 1000000)",
         "explode": lambda *xs: f"unnest([{', '.join(xs)}])",
@@ -75,10 +77,11 @@ def audit_flat_sql(engine: str) -> str:
 SELECT event_id, date_trunc('second', ts) AS timestamp,
   CASE WHEN event_id % 13 = 0 THEN 'client' ELSE 'generic' END AS topic,
   concat('inst_', {_text('user_id % 3')}) AS instance_name,
-  CASE event_type WHEN 'signup' THEN 'application-open' WHEN 'purchase' THEN 'recipe-save'
-       WHEN 'view' THEN 'dataset-read-meta' WHEN 'click' THEN 'Webapp-Publish'
+  CASE WHEN user_id % 10 = 2 AND event_type IN ('purchase', 'click') THEN 'project-list'
+       WHEN event_type = 'signup' THEN 'application-open' WHEN event_type = 'purchase' THEN 'recipe-save'
+       WHEN event_type = 'view' THEN 'dataset-read-meta' WHEN event_type = 'click' THEN 'Webapp-Publish'
        ELSE ' Application-Open ' END AS message_msgType,
-  CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'SAVE' WHEN 'view' THEN 'read'
+  CASE CASE WHEN user_id % 10 = 2 THEN 'view' ELSE event_type END WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'SAVE' WHEN 'view' THEN 'read'
        WHEN 'click' THEN NULL ELSE 'open' END AS message_msgTypeBase,
   CASE WHEN event_id % 5 = 0 THEN 'PERSONAL_API_KEY' ELSE 'USER_FROM_UI' END AS message_authSource,
   CASE WHEN event_id % 40 = 0 THEN '' WHEN event_id % 41 = 0 THEN NULL
@@ -139,7 +142,7 @@ FROM (SELECT c_custkey, concat('inst_', {_text('c_custkey % 3')}) AS instance_na
 def inventory_sql(engine: str) -> str:
     """Four snapshots of every object; some objects exist in two projects."""
     obj = "CAST(floor(p_partkey / 4) AS BIGINT)"
-    run = _D[engine]["epoch"]("1704067200 + p_partkey % 4 * 604800 + p_partkey % 100")
+    run = _D[engine]["epoch"]("1704067200 + p_partkey % 4 * 604800 + p_partkey")
     ms = _text("1702857600000 + obj % 40 * 86400000")
     sec = _text("1702857600 + obj % 40 * 86400")
     return f"""
@@ -168,7 +171,7 @@ SELECT event_id, timestamp,
   CASE obj % 6 WHEN 0 THEN 'datasets' WHEN 1 THEN 'visual_recipes' WHEN 2 THEN 'apis' WHEN 3 THEN 'webapps'
        WHEN 4 THEN 'charts_dashboard' ELSE 'application_designer' END AS module,
   CASE WHEN event_id % 50 = 0 THEN ' ' ELSE authuser END AS authuser,
-  CASE WHEN event_id % 100 = 0 THEN 'fallback_user' ELSE NULL END AS user,
+  CASE WHEN event_id % 100 = 0 THEN 'fallback_user' ELSE NULL END AS {_D[engine]['quote']}user{_D[engine]['quote']},
   CASE WHEN event_id % 43 = 0 THEN 'application-open' ELSE msgtype END AS msgtype,
   CASE WHEN copy = 1 THEN upper(activity_category) ELSE activity_category END AS activity_category,
   CASE WHEN obj % 10 = 0 THEN NULL WHEN event_id % 17 = 0 THEN concat(' p', {_text('obj % 10')}, ' ')

@@ -11,6 +11,7 @@ import decimal
 import glob
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -78,22 +79,27 @@ def main() -> int:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--only", default="")
     parser.add_argument("--group", default="")
+    parser.add_argument("--threads", type=int, default=4)
     args = parser.parse_args()
     if args.group:
         registry.GROUPS[:] = args.group.split(",")
     queries, oracle = registry.merged("QUERIES"), registry.merged("ORACLE")
     names = args.only.split(",") if args.only else list(queries)
-    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(args.sf), []
-    for name in names:
+
+    def check(name: str) -> None:
         try:
-            ok, note = compare(spark, con, args.sf, name, queries[name], oracle.get(name))
+            ok, note = compare(spark, con.cursor(), args.sf, name, queries[name], oracle.get(name))
         except Exception as exc:  # report and go on with the next query
             ok, note = False, f"{type(exc).__name__}: {str(exc)[:700]}"
         print(("ok   " if ok else "FAIL ") + f"{name}: {note}", flush=True)
         if not ok:
             failed.append(name)
+
+    with ThreadPoolExecutor(args.threads) as pool:
+        list(pool.map(check, names))
     print(f"{len(names) - len(failed)}/{len(names)} ok; failed: {failed}")
     return 1 if failed else 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["development"]
+GROUPS = ["development", "users", "inventory"]
 
 
 def merged(attribute: str) -> dict:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from checks.adapters import adapted, driver_table
-from fleetlens.operators import activity, development
+from checks.adapters import AS_OF, adapted, driver_table
+from fleetlens.operators import activity, development, licences, objects
+from fleetlens.operators.latest import latest_inventory
+from fleetlens.plans import consumption, inventory
 from fleetlens.plans import development as dev_plans
+from fleetlens.plans import users as user_plans
 
 
 class Sources:
@@ -60,3 +64,115 @@ class Sources:
     @cached_property
     def mau_daily(self) -> DataFrame:
         return activity.formal_mau_daily(self.mau_hourly)
+
+    @cached_property
+    def max_licenses(self) -> DataFrame:
+        return self.adapted("max_licenses")
+
+    @cached_property
+    def max_latest(self) -> DataFrame:
+        return latest_inventory(self.max_licenses, "license_max", ["c_custkey"])
+
+    @cached_property
+    def license_fact(self) -> DataFrame:
+        return licences.license_utilization_daily(self.max_licenses, self.users)
+
+    @cached_property
+    def formal(self) -> DataFrame:
+        return user_plans.formal_mau_enriched(self.mau_daily, self.users, self.daily)
+
+    @cached_property
+    def object_silver(self) -> DataFrame:
+        return self.adapted("object_silver")
+
+    @cached_property
+    def object_events(self) -> DataFrame:
+        return objects.object_activity_events(self.spark, self.object_silver)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self.adapted("inventory")
+
+    def inventory_of(self, name: str) -> DataFrame:
+        """The snapshots under the source column names of one inventory."""
+        values = INVENTORY_COLUMNS[name]
+        base = ["instance_name", "project_key", "extras", "run_ts", "partition_date"]
+        return self.inventory.select(*base, *[F.col(src).alias(out) for out, src in values.items()])
+
+    def metadata_of(self, name: str) -> DataFrame:
+        return inventory.metadata(latest_inventory(self.inventory_of(name), name), name)
+
+    @cached_property
+    def asset_tables(self) -> dict[str, DataFrame]:
+        raw = ("sql_notebooks", "managed_folders")
+        tables = {n: latest_inventory(self.inventory_of(n), n) for n in raw}
+        return {**tables, **{n: self.metadata_of(n) for n in ("projects", "datasets", "recipes", "scenarios")}}
+
+    @cached_property
+    def product_tables(self) -> dict[str, DataFrame]:
+        names = ("agent_tools", "api_services", "dashboards", "insights", "saved_models", "webapps", "apps")
+        return {n: self.metadata_of(n) for n in names}
+
+    @cached_property
+    def asset_index(self) -> DataFrame:
+        return inventory.asset_index(self.spark, self.asset_tables)
+
+    @cached_property
+    def product_index(self) -> DataFrame:
+        return inventory.product_index(self.spark, self.product_tables)
+
+    @cached_property
+    def asset_catalog(self) -> DataFrame:
+        return inventory.build_catalog(self.asset_index, inventory.asset_activity_30d(self.object_events, AS_OF))
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        activity_ = inventory.product_activity_30d(self.object_events, AS_OF)
+        return inventory.products_catalog(self.product_index, activity_, self.metadata_of("projects"))
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        return consumption.matched_consumption(self.object_events, self.catalog, AS_OF)
+
+
+def _owned_columns(prefix: str, key: str = "id", **extra: str) -> dict[str, str]:
+    columns = {f"{prefix}_{key}": "object_key", f"{prefix}_name": "object_name", f"{prefix}_type": "object_subtype"}
+    columns |= {f"{prefix}_owner": "owner_login", f"{prefix}_lastmodifiedby_login": "owner_login"}
+    columns |= {f"{prefix}_createdon": "created_text", f"{prefix}_lastmodifiedon": "updated_text"}
+    return columns | extra
+
+
+def _tag_columns(prefix: str, **extra: str) -> dict[str, str]:
+    return {
+        f"{prefix}_name": "object_key",
+        f"{prefix}_type": "object_subtype",
+        f"{prefix}_versiontag_lastmodifiedby_login": "owner_login",
+        f"{prefix}_creationtag_lastmodifiedon": "created_text",
+        f"{prefix}_versiontag_lastmodifiedon": "updated_text",
+    } | extra
+
+
+INVENTORY_COLUMNS = {
+    "projects": _tag_columns("projects", projects_name="project_key", projects_ownerlogin="owner_login", projects_projecttype="object_subtype"),
+    "datasets": _tag_columns("datasets", datasets_smartname="object_name"),
+    "recipes": _tag_columns("recipes"),
+    "scenarios": _owned_columns("scenarios", scenarios_runasuser="owner_login"),
+    "sql_notebooks": {
+        "sql_notebooks_id": "object_key",
+        "sql_notebooks_name": "object_name",
+        "sql_notebooks_language": "object_subtype",
+        "sql_notebooks_connectiondisplayname": "owner_login",
+        "sql_notebooks_connection": "object_key",
+        "sql_notebooks_createdon": "created_text",
+        "sql_notebooks_lastmodifiedon": "updated_text",
+    },
+    # One expected column is missing, so the index leaves this type out.
+    "managed_folders": {"managed_folders_id": "object_key", "managed_folders_name": "object_name"},
+    "dashboards": _owned_columns("dashboards"),
+    "insights": _owned_columns("insights"),
+    "api_services": _owned_columns("api_services"),
+    "agent_tools": _owned_columns("agent_tools"),
+    "saved_models": _owned_columns("saved_models", saved_models_backendtype="object_key", saved_models_predictiontype="object_key"),
+    "webapps": _owned_columns("webapps", webapps_createdby_login="owner_login"),
+    "apps": {"apps_appid": "object_key", "apps_label": "object_name", "apps_origin": "object_subtype", "apps_originprojectkey": "project_key"},
+}

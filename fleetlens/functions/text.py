@@ -15,9 +15,12 @@ def as_col(value: Column | str) -> Column:
 
 
 def null_if_blank(value: Column | str) -> Column:
-    """Text with outer spaces removed; blank becomes null."""
-    text = F.trim(as_col(value).cast("string"))
-    return F.when(text != "", text)
+    """Text with outer spaces removed; blank becomes null.
+
+    ``nullif`` mentions its input once. Helpers that repeat their input double the
+    expression each time they are nested, until it is too large to compile.
+    """
+    return F.nullif(F.trim(as_col(value).cast("string")), F.lit(""))
 
 
 def strip_all(value: Column | str) -> Column:
@@ -42,8 +45,8 @@ def canonical(value: Column | str) -> Column:
 
 def clean_identifier(value: Column | str) -> Column:
     """Trimmed identifier; blanks and ``{placeholders}`` become null."""
-    text = null_if_blank(value)
-    return F.when(~text.rlike(PLACEHOLDER), text)
+    text = F.regexp_replace(F.trim(as_col(value).cast("string")), PLACEHOLDER, "")
+    return F.nullif(text, F.lit(""))
 
 
 def first_text(*values: Column | str) -> Column:
