@@ -103,16 +103,16 @@ def _thirty(keys: str, cond: str, users: str) -> str:
 
 
 CASES = {
-    "user_activity_hourly": (lambda s: s.hourly, "SELECT * FROM hourly"),
-    "formal_mau_hourly": (lambda s: s.mau_hourly, "SELECT * FROM mau_hourly"),
-    "user_activity_daily": (lambda s: s.daily, "SELECT * FROM daily"),
+    "user_activity_hourly": (lambda s: s.compute("hourly"), "SELECT * FROM hourly"),
+    "formal_mau_hourly": (lambda s: s.compute("mau_hourly"), "SELECT * FROM mau_hourly"),
+    "user_activity_daily": (lambda s: s.compute("daily"), "SELECT * FROM daily"),
     "user_activity_daily_since": (
         lambda s: activity.user_activity_daily(s.hourly, since="2024-01-20"),
         "SELECT * FROM daily WHERE day >= DATE '2024-01-20'",
     ),
-    "user_activity_project_daily": (lambda s: s.project_daily, "SELECT * FROM project_daily"),
-    "formal_mau_daily": (lambda s: s.mau_daily, "SELECT * FROM mau_daily"),
-    "dev_activity_events": (lambda s: s.dev_events, "SELECT * FROM dev_events"),
+    "user_activity_project_daily": (lambda s: s.compute("project_daily"), "SELECT * FROM project_daily"),
+    "formal_mau_daily": (lambda s: s.compute("mau_daily"), "SELECT * FROM mau_daily"),
+    "dev_activity_events": (lambda s: s.compute("dev_events"), "SELECT * FROM dev_events"),
     "dim_capability": (
         lambda s: dims.dim_capability(s.spark)
         .join(s.audit.groupBy(dev.canonical("activity_category").alias("activity_category")).agg(dev.F.count("*").alias("events")), "activity_category"),
@@ -125,7 +125,7 @@ FROM audit GROUP BY ALL) a USING (activity_category)""",
         f"""SELECT {canon('d.msgtype')} AS key, d.*, a.events FROM d_event_class d JOIN (SELECT {canon('msgtype')} AS k, count(*) AS events
 FROM audit GROUP BY ALL) a ON a.k = {canon('d.msgtype')}""",
     ),
-    "dev_activity_enriched": (lambda s: s.enriched, "SELECT * FROM enriched"),
+    "dev_activity_enriched": (lambda s: s.compute("enriched"), "SELECT * FROM enriched"),
     "capability_30d": (
         lambda s: dev.capability_30d(s.enriched, AS_OF),
         _thirty("capability", "is_meaningful_activity", _HAS),

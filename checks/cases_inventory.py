@@ -237,7 +237,7 @@ def registry_counts(s: Sources):
 
 
 CASES = {
-    "object_activity_events": (lambda s: s.object_events, "SELECT * FROM obj_events"),
+    "object_activity_events": (lambda s: s.compute("object_events"), "SELECT * FROM obj_events"),
     "object_identity": (
         lambda s: objects.with_object_identity(s.object_silver).select("event_id", "run_ts", "module", "object_type", "object_key"),
         f"""SELECT event_id, run_ts, module, object_type, CASE WHEN object_type IN ('dataset', 'recipe') OR k NOT LIKE '{{%}}' THEN k END AS object_key FROM (
@@ -263,8 +263,8 @@ FROM object_silver) o""",
         lambda s: inv.product_activity_30d(s.object_events, AS_OF, dims.STATIC_PRODUCT_TYPES),
         f"SELECT * FROM p_activity WHERE product_type IN {in_list(dims.STATIC_PRODUCT_TYPES)}",
     ),
-    "asset_index": (lambda s: s.asset_index, "SELECT * FROM a_index"),
-    "product_index": (lambda s: s.product_index, "SELECT * FROM p_index"),
+    "asset_index": (lambda s: s.compute("asset_index"), "SELECT * FROM a_index"),
+    "product_index": (lambda s: s.compute("product_index"), "SELECT * FROM p_index"),
     "products_registry": (
         registry_counts,
         """SELECT product_type, CASE product_type WHEN 'web_application' THEN 'webapps' WHEN 'application' THEN 'apps' ELSE product_type || 's' END AS source_table,
@@ -284,8 +284,8 @@ FROM object_silver) o""",
         """SELECT instance_name, project_key, object_key AS key, object_name AS name, object_subtype AS subtype, owner_login, owner_login AS last_modified_by_login,
   created_at, updated_at FROM inv_latest""",
     ),
-    "build_catalog": (lambda s: s.asset_catalog, "SELECT * FROM a_catalog"),
-    "products_catalog": (lambda s: s.catalog, "SELECT * FROM p_catalog"),
+    "build_catalog": (lambda s: s.compute("asset_catalog"), "SELECT * FROM a_catalog"),
+    "products_catalog": (lambda s: s.compute("catalog"), "SELECT * FROM p_catalog"),
     "products_by_type": (lambda s: inv.products_by_type(s.catalog), "SELECT product_type, count(*) AS product_count FROM p_catalog GROUP BY ALL"),
     "object_activity_source": (
         lambda s: inv.object_activity_source(s.spark, None, s.audit),

@@ -264,14 +264,14 @@ WHERE l.enabled AND l.license_group = 'Creator Licenses'"""
 _DELINQUENT, _UNDER = "viewing_6m = 0 AND developing_6m = 0", "viewing_6m > 0 AND developing_6m / viewing_6m < 0.05"
 
 CASES = {
-    "formal_mau_enriched": (lambda s: s.formal, "SELECT * FROM formal"),
+    "formal_mau_enriched": (lambda s: s.compute("formal"), "SELECT * FROM formal"),
     "users_directory": (lambda s: users.users_directory(s.users, ["inst_2"]), "SELECT * FROM udirectory"),
     "developing_ratio_daily": (
         lambda s: users.developing_ratio_daily(s.daily),
         """SELECT day, instance_name, login, viewing_actions_count, developing_actions_count,
   developing_actions_count::DOUBLE / nullif(viewing_actions_count::DOUBLE, 0) AS developing_ratio FROM daily""",
     ),
-    "license_utilization_daily": (lambda s: s.license_fact, "SELECT * FROM lic_fact"),
+    "license_utilization_daily": (lambda s: s.compute("license_fact"), "SELECT * FROM lic_fact"),
     "license_limits_wide": (
         lambda s: lic_ops.license_limits_wide(status_frame(s), s.max_latest),
         f"""SELECT s.instance_name, s.run_ts, {_WIDE} FROM (SELECT instance_name, max(run_ts) AS run_ts FROM users GROUP BY ALL) s

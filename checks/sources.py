@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.adapters import AS_OF, adapted, driver_table
+from fleetlens.session import configure
+from fleetlens.sources.scratch import new_path
 from fleetlens.operators import activity, development, licences, objects
 from fleetlens.operators.latest import latest_inventory
 from fleetlens.plans import consumption, inventory
 from fleetlens.plans import development as dev_plans
 from fleetlens.plans import users as user_plans
 
+_WRITTEN: dict[str, str] = {}
+_LOCKS: dict[str, threading.Lock] = {}
+_GUARD = threading.Lock()
+
+
+class stored:
+    """A table of the pipeline: written once per session, then read back.
+
+    Serving queries read stored tables, as they do in production; this keeps their
+    plans small. Queries that exercise the build itself use :meth:`Sources.compute`.
+    """
+
+    def __init__(self, build: Callable[[Sources], DataFrame]):
+        self.build = build
+
+    def __set_name__(self, owner, name):
+        self.name = name
+
+    def __get__(self, sources, owner=None):
+        return self if sources is None else sources.read_stored(self.name, self.build)
+
 
 class Sources:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = configure(spark), sf_dir
+
+    def read_stored(self, name: str, build: Callable[[Sources], DataFrame]) -> DataFrame:
+        source = hashlib.md5(self.sf_dir.encode()).hexdigest()[:10]
+        key = f"{self.spark.sparkContext.applicationId}/{source}/{name}"
+        with _GUARD:
+            lock = _LOCKS.setdefault(key, threading.Lock())
+        with lock:
+            if key not in _WRITTEN:
+                path = new_path(self.spark, f"{source}/{name}")
+                build(self).write.parquet(path)
+                _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def compute(self, name: str) -> DataFrame:
+        """Build a stored table from its stored inputs, without reading the stored copy."""
+        return getattr(type(self), name).build(self)
 
     def table(self, name: str) -> DataFrame:
         return driver_table(self.spark, self.sf_dir, name)
@@ -25,71 +67,71 @@ class Sources:
     def adapted(self, name: str) -> DataFrame:
         return adapted(self.spark, self.sf_dir, name)
 
-    @cached_property
+    @stored
     def audit(self) -> DataFrame:
         return self.adapted("audit")
 
-    @cached_property
+    @stored
     def audit_flat(self) -> DataFrame:
         return self.adapted("audit_flat")
 
-    @cached_property
+    @stored
     def users(self) -> DataFrame:
         return self.adapted("users")
 
-    @cached_property
+    @stored
     def dev_events(self) -> DataFrame:
         return development.dev_activity_events(self.audit)
 
-    @cached_property
+    @stored
     def enriched(self) -> DataFrame:
         return dev_plans.dev_activity_enriched(self.spark, self.dev_events)
 
-    @cached_property
+    @stored
     def hourly(self) -> DataFrame:
         return activity.user_activity_hourly(self.audit_flat)
 
-    @cached_property
+    @stored
     def mau_hourly(self) -> DataFrame:
         return activity.formal_mau_hourly(self.audit_flat)
 
-    @cached_property
+    @stored
     def daily(self) -> DataFrame:
         return activity.user_activity_daily(self.hourly)
 
-    @cached_property
+    @stored
     def project_daily(self) -> DataFrame:
         return activity.user_activity_project_daily(self.hourly)
 
-    @cached_property
+    @stored
     def mau_daily(self) -> DataFrame:
         return activity.formal_mau_daily(self.mau_hourly)
 
-    @cached_property
+    @stored
     def max_licenses(self) -> DataFrame:
         return self.adapted("max_licenses")
 
-    @cached_property
+    @stored
     def max_latest(self) -> DataFrame:
         return latest_inventory(self.max_licenses, "license_max", ["c_custkey"])
 
-    @cached_property
+    @stored
     def license_fact(self) -> DataFrame:
         return licences.license_utilization_daily(self.max_licenses, self.users)
 
-    @cached_property
+    @stored
     def formal(self) -> DataFrame:
         return user_plans.formal_mau_enriched(self.mau_daily, self.users, self.daily)
 
-    @cached_property
+    @stored
     def object_silver(self) -> DataFrame:
         return self.adapted("object_silver")
 
-    @cached_property
+    @stored
     def object_events(self) -> DataFrame:
         return objects.object_activity_events(self.spark, self.object_silver)
 
-    @cached_property
+    @stored
     def inventory(self) -> DataFrame:
         return self.adapted("inventory")
 
@@ -113,24 +155,24 @@ class Sources:
         names = ("agent_tools", "api_services", "dashboards", "insights", "saved_models", "webapps", "apps")
         return {n: self.metadata_of(n) for n in names}
 
-    @cached_property
+    @stored
     def asset_index(self) -> DataFrame:
         return inventory.asset_index(self.spark, self.asset_tables)
 
-    @cached_property
+    @stored
     def product_index(self) -> DataFrame:
         return inventory.product_index(self.spark, self.product_tables)
 
-    @cached_property
+    @stored
     def asset_catalog(self) -> DataFrame:
         return inventory.build_catalog(self.asset_index, inventory.asset_activity_30d(self.object_events, AS_OF))
 
-    @cached_property
+    @stored
     def catalog(self) -> DataFrame:
         activity_ = inventory.product_activity_30d(self.object_events, AS_OF)
         return inventory.products_catalog(self.product_index, activity_, self.metadata_of("projects"))
 
-    @cached_property
+    @stored
     def matched(self) -> DataFrame:
         return consumption.matched_consumption(self.object_events, self.catalog, AS_OF)
 

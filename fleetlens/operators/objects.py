@@ -53,9 +53,12 @@ def with_object_identity(df: DataFrame) -> DataFrame:
         key = F.when(here, F.coalesce(*found, nothing)).otherwise(key)
         if name not in PLAIN_TYPES:
             cleaned += modules
-    rows = rows.withColumns({"object_type": kind, "object_key": key})
-    tidy = F.when(module.isin(cleaned), clean_identifier("object_key")).otherwise(F.col("object_key"))
-    return rows.withColumn("object_key", tidy).drop("_extras")
+    # Emitting the pair through a generator keeps later filters on the key above it;
+    # pushed below, they would repeat the whole rule (and the JSON parse) per mention.
+    pair = F.inline(F.array(F.struct(kind.alias("object_type"), key.alias("_key"))))
+    rows = rows.select(*df.columns, pair)
+    tidy = F.when(module.isin(cleaned), clean_identifier("_key")).otherwise(F.col("_key"))
+    return rows.withColumn("object_key", tidy).drop("_key")
 
 
 def object_events(spark: SparkSession, silver: DataFrame, capability: DataFrame | None = None, modules: list[str] | None = None) -> DataFrame:
