@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["development", "users", "inventory"]
+GROUPS = ["development", "users", "inventory", "silver"]
 
 
 def merged(attribute: str) -> dict:

@@ -218,3 +218,16 @@ INVENTORY_COLUMNS = {
     "webapps": _owned_columns("webapps", webapps_createdby_login="owner_login"),
     "apps": {"apps_appid": "object_key", "apps_label": "object_name", "apps_origin": "object_subtype", "apps_originprojectkey": "project_key"},
 }
+
+
+def stored_path(s: Sources, name: str, write: Callable[[str], None]) -> str:
+    """Path of files written once per session by ``write``."""
+    key = f"{s.spark.sparkContext.applicationId}/{hashlib.md5(s.sf_dir.encode()).hexdigest()[:10]}/files/{name}"
+    with _GUARD:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    with lock:
+        if key not in _WRITTEN:
+            path = new_path(s.spark, name)
+            write(path)
+            _WRITTEN[key] = path
+    return _WRITTEN[key]
