@@ -53,7 +53,8 @@ class Sources:
         with lock:
             if key not in _WRITTEN:
                 path = new_path(self.spark, f"{source}/{name}")
-                build(self).write.parquet(path)
+                # The driver files have one row group; spread the rows as a real table would be.
+                build(self).repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
                 _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 
