@@ -52,7 +52,7 @@ def silver_path(s: Sources) -> str:
         rows = s.audit.select("event_id", "timestamp", "authuser", "instance_name", F.lower(F.regexp_replace("activity_category", "[ -]", "_")).alias("module"), "extras")
         rows = rows.withColumns({"category": F.lit("event_mapping"), "year": F.year("timestamp"), "month": F.month("timestamp"), "day": F.dayofmonth("timestamp")})
         for mode in ("overwrite", "append"):
-            rows.write.mode(mode).partitionBy("category", "module", "instance_name", "year", "month", "day").parquet(path)
+            rows.hint("rebalance", *SILVER_KEYS).write.mode(mode).partitionBy(*SILVER_KEYS).parquet(path)
 
     return stored_path(s, "silver", write)
 

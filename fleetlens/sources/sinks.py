@@ -107,13 +107,13 @@ def _old_partitions(df: DataFrame, as_of, age_days: int) -> DataFrame:
 
 def compaction_audit(df: DataFrame, keys: list[str], as_of, age_days: int = 1) -> DataFrame:
     """Files, rows and rows after deduplication per eligible partition."""
+    content = list(df.columns)
     old = _old_partitions(df.withColumn("_file", F.col("_metadata.file_path")), as_of, age_days)
-    content = [c for c in df.columns]
-    # Count copies per distinct row and file, then roll up: no group holds raw rows.
-    copies = old.groupBy(*content, "_file").agg(F.count(F.lit(1)).alias("_n"))
-    per_row = copies.groupBy(*content).agg(F.sum("_n").alias("_n"))
-    rows = per_row.groupBy(*keys).agg(F.sum("_n").alias("raw_rows"), F.count(F.lit(1)).alias("rows_after_drop_duplicates"))
-    files = copies.groupBy(*keys).agg(F.count_distinct("_file").alias("files_read"))
+    # Copies of a row meet map-side, so a partition full of repeats shrinks before the shuffle.
+    copies = old.groupBy(*content).agg(F.count(F.lit(1)).alias("_n"))
+    rows = copies.groupBy(*keys).agg(F.sum("_n").alias("raw_rows"), F.count(F.lit(1)).alias("rows_after_drop_duplicates"))
+    # Partition columns and file names only: no data column is read for this part.
+    files = old.select(*keys, "_file").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("files_read"))
     return rows.join(files, keys).withColumn("run_date", F.lit(day_floor(as_of)))
 
 

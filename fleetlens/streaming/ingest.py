@@ -68,6 +68,7 @@ def late_data_writer(spark: SparkSession, silver: str, fact: str, build: Callabl
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = with_fact_partitions(batch, "timestamp").withColumn("batch_id", F.lit(batch_id))
+        rows = rows.hint("rebalance", *FACT_PARTITIONS)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *FACT_PARTITIONS).parquet(silver)
         stored = spark.read.parquet(silver)
         touched = stored.filter(F.col("batch_id") == batch_id).select(*FACT_PARTITIONS).distinct()
