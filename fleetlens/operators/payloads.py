@@ -52,9 +52,8 @@ def _int(value: Column) -> Column:
 def _camel_profile(key: Column) -> Column:
     words = F.ltrim(F.regexp_replace(F.regexp_replace(key, "^max", ""), "([A-Z])", " $1"))
     name = F.upper(F.regexp_replace(words, " ", "_"))
-    for plural, profile in CAMEL_PROFILES.items():
-        name = F.when(name == plural, profile).otherwise(name)
-    return name
+    known = F.create_map(*[F.lit(v) for pair in CAMEL_PROFILES.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, name), name)
 
 
 def license_limits(df: DataFrame, payload: str = "payload") -> DataFrame:
