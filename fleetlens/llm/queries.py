@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontamination, exact_dedup, packing, quality, sharding, token_counts, url_filters
+from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, sharding, token_counts, url_filters
 from fleetlens.llm.common import table
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,10 +24,18 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
 
 
+def op3_snapshot_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_order_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("_node")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.match_rules(table(spark, sf_dir, "pages"), rules)
@@ -52,7 +60,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
+    "op3_snapshot_chat_format": op3_snapshot_chat_format,
     "op4_attention_quality": op4_attention_quality,
+    "op5_order_minhash_near_dedup": op5_order_minhash_near_dedup,
     "op6_url_rules": op6_url_rules,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -61,6 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_snapshot_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, role, text, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turn_no FROM conversations),
+prefixes AS (
+  SELECT conv_id, turn_no, n_turns, string_agg(coalesce(length(role) || ':' || role, '-') || '|' || coalesce(length(text) || ':' || text, '-'), ';')
+    OVER (PARTITION BY conv_id ORDER BY turn_no) AS prefix FROM turns),
+wholes AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM prefixes WHERE turn_no = n_turns GROUP BY prefix),
+kept AS (SELECT * FROM wholes WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE turn_no < n_turns))
+SELECT conv_id, turn_no, n_turns, n_copies, role, coalesce(role = 'assistant', false) AS trained,
+  '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered
+FROM turns JOIN kept USING (conv_id)
+""",
     "op9_polynomial_exact_dedup": r"""
 WITH folded AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
