@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import as_col
 
-MAX_DAYS = 365
-MAX_MONTHS = 24
+
+def positive(value, name: str) -> int:
+    """The whole number asked for; what makes no sense is an error and nothing is clamped."""
+    number = int(value)
+    if number <= 0:
+        raise ValueError(f"{name} must be positive, got {value}")
+    return number
 
 
 def as_timestamp(as_of: dt.datetime | dt.date | str) -> dt.datetime:
@@ -50,17 +55,17 @@ def day_floor(as_of) -> dt.date:
 
 
 def window_predicate(column: Column | str, as_of, *, months: int | None = None, days: int | None = None) -> Column:
-    """Calendar months (the current one included) or trailing days, within bounds."""
+    """Calendar months (the current one included) or trailing days (30 when neither is given)."""
     if months is not None:
-        months = max(1, min(MAX_MONTHS, int(months)))
+        months = positive(months, "months")
         return as_col(column) >= F.lit(month_start(as_of, months - 1)).cast("timestamp")
-    days = max(1, min(MAX_DAYS, int(days or 30)))
+    days = positive(30 if days is None else days, "days")
     return as_col(column) >= F.lit(day_floor(as_of) - dt.timedelta(days=days)).cast("timestamp")
 
 
 def explode_months(df: DataFrame, as_of, months: int, name: str = "month_start") -> DataFrame:
-    """One copy of each row per calendar month, oldest first (at most 24)."""
-    months = max(1, min(MAX_MONTHS, int(months)))
+    """One copy of each row per calendar month, oldest first."""
+    months = positive(months, "months")
     starts = [month_start(as_of, back) for back in range(months - 1, -1, -1)]
     return df.withColumn(name, F.explode(F.array(*[F.lit(s) for s in starts])))
 

@@ -89,7 +89,7 @@ def object_events(spark: SparkSession, silver: DataFrame, capability: DataFrame
     caps = (dim_capability(spark) if capability is None else capability).select(
         canonical("activity_category").alias("_cat"), F.col("capability").alias("canonical_capability")
     )
-    joined = rows.withColumn("_cat", canonical("event_category")).join(F.broadcast(caps), "_cat", "left")
+    joined = rows.withColumn("_cat", canonical("event_category")).join(caps, "_cat", "left")
     return joined.withColumn("object_name", F.col("object_key")).drop("_cat", "module")
 
 

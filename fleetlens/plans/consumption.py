@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.calendar import since_days
+from fleetlens.functions.calendar import positive, since_days
 from fleetlens.functions.rollup import merge_single_rows, top_n
 from fleetlens.functions.text import as_col, has_text, login_norm, null_if_blank
 from fleetlens.plans.dims import CONSUMPTION_TYPES, literal_table
@@ -36,7 +36,7 @@ def eligible_events(
 ) -> DataFrame:
     """Recent events on supported product types that carry an object key."""
     rows = events.filter(
-        since_days("timestamp", as_of, max(1, min(365, days)))
+        since_days("timestamp", as_of, positive(days, "days"))
         & F.col("object_type").isin(list(types or CONSUMPTION_TYPES))
         & has_text("object_key")
     )
@@ -73,57 +73,50 @@ def _catalog_keys(catalog: DataFrame, types: Sequence[str] | None) -> DataFrame:
     )
 
 
-def match_products(events: DataFrame, catalog: DataFrame, *, types: Sequence[str] | None = None, salts: int = 1) -> DataFrame:
+def match_products(events: DataFrame, catalog: DataFrame, *, types: Sequence[str] | None = None, salts: int = 8) -> DataFrame:
     """Tag each row with its product: exact identity, else a unique key without the project.
 
     Adds ``product_id``, ``match_type`` (exact, fallback, unmatched) and the product's
-    name and owner. With ``salts > 1`` a hot key is spread over that many tasks; the
-    catalogue side is copied once per salt, the event side is never copied.
+    name and owner. Events are shuffled once: the catalogue side has one row per key that
+    holds its projects as a map. A hot key is spread over ``salts`` tasks; the catalogue is
+    copied once per salt, the event side never. Of catalogue rows with one identity the
+    smallest product_id counts, so the number of events stays.
     """
     keys = ["_i", "_t", "_k"]
-    known = _catalog_keys(catalog, types)
-    exact = known.select(
-        *keys,
-        F.struct(F.col("_p").isNull().alias("none"), F.coalesce("_p", F.lit("")).alias("text")).alias("_pk"),
-        F.col("product_id").alias("_exact"),
-        F.col("product_name").alias("_exact_name"),
-        F.col("owner_login").alias("_exact_owner"),
+    project_key = lambda column: F.coalesce(F.concat(F.lit("p:"), column), F.lit("none"))
+    known = _catalog_keys(catalog, types).withColumn("_pk", project_key(F.col("_p")))
+    by_project = known.groupBy(*keys, "_pk").agg(
+        F.min(F.struct("product_id", "product_name", "owner_login")).alias("_product"),
+        F.min("product_id").alias("_low"),
+        F.max("product_id").alias("_high"),
+        F.min("product_name").alias("_name"),
+        F.min("owner_login").alias("_owner"),
     )
-    # One row per key, and only for keys that name a single product.
-    unique = (
-        known.groupBy(*keys)
-        .agg(
-            F.min("product_id").alias("_fallback"),
-            F.max("product_id").alias("_other"),
-            F.min("product_name").alias("_fallback_name"),
-            F.min("owner_login").alias("_fallback_owner"),
-        )
-        .filter(F.col("_fallback") == F.col("_other"))
-        .drop("_other")
+    one_row = by_project.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_pk", "_product"))).alias("_products"),
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.struct(F.min("_low").alias("product_id"), F.min("_name").alias("product_name"), F.min("_owner").alias("owner_login")).alias("_only"),
     )
-    project = _project_norm()
+    # The fallback holds only for keys that name a single product.
+    one_row = one_row.select(*keys, "_products", F.when(F.col("_low") == F.col("_high"), F.col("_only")).alias("_fallback"))
     rows = events.withColumns(
-        {
-            "_i": login_norm("instance_name"),
-            "_t": login_norm("object_type"),
-            "_k": login_norm("object_key"),
-            "_pk": F.struct(project.isNull().alias("none"), F.coalesce(project, F.lit("")).alias("text")),
-        }
+        {"_i": login_norm("instance_name"), "_t": login_norm("object_type"), "_k": login_norm("object_key"), "_pk": project_key(_project_norm())}
     )
     if salts > 1:
         # Deterministic, so a recomputed task sends its rows to the same place.
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        exact, unique = exact.withColumn("_salt", spread), unique.withColumn("_salt", spread)
+        one_row = one_row.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys = [*keys, "_salt"]
-    joined = rows.join(exact, [*keys, "_pk"], "left").join(unique, keys, "left")
-    is_exact, is_fallback = F.col("_exact").isNotNull(), F.col("_fallback").isNotNull()
-    return joined.select(
+    joined = rows.join(one_row, keys, "left").withColumn("_exact", F.try_element_at("_products", F.col("_pk")))
+    is_exact, is_fallback = F.col("_exact.product_id").isNotNull(), F.col("_fallback.product_id").isNotNull()
+    product = F.when(is_exact, F.col("_exact")).otherwise(F.col("_fallback"))
+    return joined.withColumn("_product", product).select(
         *events.columns,
-        F.coalesce("_exact", "_fallback").alias("product_id"),
+        F.col("_product.product_id").alias("product_id"),
         F.when(is_exact, "exact").when(is_fallback, "fallback").otherwise("unmatched").alias("match_type"),
-        F.when(is_exact, F.col("_exact_name")).otherwise(F.col("_fallback_name")).alias("product_name"),
-        F.when(is_exact, F.col("_exact_owner")).otherwise(F.col("_fallback_owner")).alias("owner_login"),
+        F.col("_product.product_name").alias("product_name"),
+        F.col("_product.owner_login").alias("owner_login"),
     )
 
 
@@ -143,7 +136,7 @@ def matched_consumption(
     """Matched consumption grain under the page filters; the input of every rollup below."""
     scope = {"types": types, "instances": instances, "projects": projects}
     grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog, types=types).filter(F.col("product_id").isNotNull())
+    rows = match_products(grain, catalog, types=types, salts=1).filter(F.col("product_id").isNotNull())
     if q:
         text = q.lower()
         named = F.lower(F.coalesce("product_name", "object_key")).contains(text)
@@ -493,7 +486,7 @@ def lifecycle(events: DataFrame, catalog: DataFrame, as_of, days: int = 365, **f
 def match_diagnostics(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, **scope) -> DataFrame:
     """How many eligible events match, by kind, in one row."""
     grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    by_kind = match_products(grain, catalog).groupBy("match_type").agg(F.sum("events").alias("_n"))
+    by_kind = match_products(grain, catalog, salts=1).groupBy("match_type").agg(F.sum("events").alias("_n"))
     of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("match_type").isin(list(kinds)), F.col("_n"))), F.lit(0))
     return by_kind.agg(
         of("exact", "fallback", "unmatched").alias("eligible_events"),
@@ -506,12 +499,12 @@ def match_diagnostics(events: DataFrame, catalog: DataFrame, as_of, days: int =
 
 def unmatched_by_type(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, **scope) -> DataFrame:
     grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog).filter(F.col("match_type") == "unmatched")
+    rows = match_products(grain, catalog, salts=1).filter(F.col("match_type") == "unmatched")
     return rows.groupBy(F.col("object_type").alias("label")).agg(F.sum("events").alias("events"))
 
 
 def unmatched_sample(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, limit: int = 20, **scope) -> DataFrame:
     """A few unmatched identities for a human to look at, in a repeatable order."""
     grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog).filter(F.col("match_type") == "unmatched").select(*OBJECT_KEYS).distinct()
+    rows = match_products(grain, catalog, salts=1).filter(F.col("match_type") == "unmatched").select(*OBJECT_KEYS).distinct()
     return top_n(rows, [F.col(k).asc_nulls_last() for k in OBJECT_KEYS], limit)

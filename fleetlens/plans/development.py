@@ -19,14 +19,14 @@ UNCLASSIFIED = "unclassified"
 
 
 def _enrich(events: DataFrame, capability: DataFrame, event_class: DataFrame, key) -> DataFrame:
-    # Both dimensions are bounded lists with one row per key, so the joins are
-    # broadcast and keep the row count.
+    # One row per key on the dimension side, so the joins keep the row count; whether a
+    # dimension is broadcast follows from its size.
     cap = capability.select(key("activity_category").alias("_cat"), "capability", "capability_label", "category_label")
     cls = event_class.select(key("msgtype").alias("_msg"), "activity_class", "is_meaningful_activity")
     joined = (
         events.withColumns({"_cat": key("activity_category"), "_msg": key("msgtype")})
-        .join(F.broadcast(cap), "_cat", "left")
-        .join(F.broadcast(cls), "_msg", "left")
+        .join(cap, "_cat", "left")
+        .join(cls, "_msg", "left")
     )
     return joined.select(
         "timestamp",
@@ -111,7 +111,7 @@ def unmapped_categories_30d(events: DataFrame, capability: DataFrame, as_of, day
     """Categories without a capability. Compares the stored spelling unless ``normalized``."""
     key = canonical if normalized else as_col
     known = capability.select(key("activity_category").alias("_cat"))
-    missing = events.withColumn("_cat", key("activity_category")).join(F.broadcast(known), "_cat", "left_anti")
+    missing = events.withColumn("_cat", key("activity_category")).join(known, "_cat", "left_anti")
     recent = F.coalesce(since_days("timestamp", as_of, days), F.lit(False))
     return missing.groupBy("activity_category").agg(
         _count_if(recent, "event_count_30d"),

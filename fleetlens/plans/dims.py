@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.functions.text import slug
 
-MAX_LITERAL_ROWS = 10_000
-
 # Capability -> (order, label, is development, [(category, label), ...]).
 CAPABILITIES = [
     ("advanced_analytics_ml", 1, "Advanced Analytics & ML", False, [
@@ -169,9 +167,7 @@ CONSUMPTION_TYPES = [
 
 
 def literal_table(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
-    """Small constant table held in the plan itself, so its size is known exactly."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"literal table of {len(rows)} rows; read it from storage instead")
+    """Constant table held in the plan itself, so Catalyst knows its size; larger dimensions come from storage."""
     arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(name, arrow[kind]) for name, kind in columns.items()])
     arrays = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(schema)]

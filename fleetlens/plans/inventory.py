@@ -412,7 +412,7 @@ def products(catalog: DataFrame, *, q=None, instances=None, projects=None, types
         rows = rows.filter(_like("product_name", q) | _like("product_key", q))
     if owner:
         rows = rows.filter(F.col("owner_login") == owner)
-    return _listing(rows, product_completeness(), "product_id", "product", instances=instances, projects=projects, types=types, owner_is=owner_is, status=status, sort=sort, limit=max(1, min(5000, limit)), offset=max(0, offset))
+    return _listing(rows, product_completeness(), "product_id", "product", instances=instances, projects=projects, types=types, owner_is=owner_is, status=status, sort=sort, limit=limit, offset=offset)
 
 
 def _facets(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -463,12 +463,11 @@ def _detail(item: DataFrame, events: DataFrame, details: DataFrame | None, keep:
     out = item.join(usage, "_id", "left").withColumn("events_all_time", F.coalesce("events_all_time", F.lit(0)))
     description = F.lit(None).cast("string")
     if details is not None:
-        info = details.select(
-            F.col("instance_name").alias("_i"), F.col("project_key").alias("_p"), F.col("object_type").alias("_t"),
-            F.col("object_key").alias("_k"), description_from_json("extras").alias("_d"),
-        )
+        # The item is one row: details are reduced to its own before any JSON is read.
+        target = F.broadcast(item.select("_id", "_type", "_key", F.col("instance_name").alias("_i"), F.col("project_key").alias("_p")))
         same = (F.col("_i") == F.col("instance_name")) & F.col("_p").eqNullSafe(F.col("project_key"))
-        out = F.broadcast(out).join(info, same & (F.col("_t") == F.col("_type")) & (F.col("_k") == F.col("_key")), "left")
+        own = details.join(target, same & (F.col("object_type") == F.col("_type")) & (F.col("object_key") == F.col("_key")))
+        out = out.join(own.select("_id", description_from_json("extras").alias("_d")), "_id", "left")
         description = F.col("_d")
     return out.select(*keep, "events_all_time", description.alias("description")).limit(1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.calendar import day_floor
+from fleetlens.functions.calendar import day_floor, positive
 from fleetlens.functions.entitlement import license_filter, license_group, normalize_profile
 from fleetlens.functions.rollup import latest
 from fleetlens.functions.text import has_text, null_if_blank
@@ -157,7 +157,7 @@ def license_history(fact: DataFrame, days: int = 180, *, instance=None, profile=
     As in the utilisation report, the scope decides which series are listed while the
     history of a listed series is taken from the whole fact.
     """
-    days = max(1, min(3660, int(days)))
+    days = positive(days, "days")
     bounds = (
         _fact_scope(fact, instance, profile, filter_name)
         .groupBy(F.col("instance_name").alias("_i"), F.col("license_profile").alias("_p"))
@@ -196,13 +196,10 @@ def _balance(used: Column, entitled: Column) -> list[Column]:
     ]
 
 
-def current_license_by_instance(users: DataFrame, max_licenses: DataFrame, *, instance=None, filter_name=None) -> DataFrame:
-    """Assigned against entitled licences per (instance, profile), both sides kept."""
-    people = current_users(users, instance).filter(F.col("enabled") & license_filter("user_profile", filter_name))
+def _balance_by_instance(people: DataFrame, limits: DataFrame) -> DataFrame:
     used = people.groupBy(
         F.col("instance_name").alias("_ui"), F.col("user_profile").alias("_up"), F.col("profile_norm").alias("_un"), F.col("license_group").alias("_ug")
     ).agg(F.count(F.lit(1)).alias("_used"), F.max("run_ts").alias("user_snapshot_ts"))
-    limits = _current_limits(max_licenses, users, instance, filter_name)
     same = F.col("_ui").eqNullSafe(F.col("instance_name")) & F.col("_un").eqNullSafe(F.col("profile_norm"))
     joined = used.join(limits, same, "full")
     return joined.select(
@@ -216,6 +213,13 @@ def current_license_by_instance(users: DataFrame, max_licenses: DataFrame, *, in
     )
 
 
+def current_license_by_instance(users: DataFrame, max_licenses: DataFrame, *, instance=None, filter_name=None) -> DataFrame:
+    """Assigned against entitled licences per (instance, profile), both sides kept."""
+    people = current_users(users, instance).filter(F.col("enabled") & license_filter("user_profile", filter_name))
+    limits = _current_limits(max_licenses, users, instance, filter_name)
+    return _balance_by_instance(people, limits)
+
+
 def current_license_by_profile(users: DataFrame, max_licenses: DataFrame, *, instance=None, filter_name=None) -> DataFrame:
     """Fleet-wide balance per profile, with the per-instance rows nested.
 
@@ -223,14 +227,13 @@ def current_license_by_profile(users: DataFrame, max_licenses: DataFrame, *, ins
     per instance, so it is as long as the fleet is wide.
     """
     people = current_users(users, instance).filter(F.col("enabled") & license_filter("user_profile", filter_name))
-    # (profile, login, instance) is already distinct: reduce to the login before
-    # counting people, and count instances from the same grain.
+    current = _current_limits(max_licenses, users, instance, filter_name)
     used = people.groupBy(F.col("user_profile").alias("_up"), F.col("profile_norm").alias("_un"), F.col("license_group").alias("_ug")).agg(
         F.count_distinct("login_norm").alias("_used"),
         F.count_distinct("instance_name").alias("_instances"),
         F.max("run_ts").alias("user_snapshot_ts"),
     )
-    limits = _most_common_limit(_current_limits(max_licenses, users, instance, filter_name))
+    limits = _most_common_limit(current)
     joined = used.join(limits, F.col("_un").eqNullSafe(F.col("profile_norm")), "full")
     rows = joined.select(
         F.coalesce("_ug", license_group("profile")).alias("license_group"),
@@ -244,7 +247,7 @@ def current_license_by_profile(users: DataFrame, max_licenses: DataFrame, *, ins
         "license_snapshot_ts",
     )
     nested = (
-        current_license_by_instance(users, max_licenses, instance=instance, filter_name=filter_name)
+        _balance_by_instance(people, current)
         .groupBy("profile_norm")
         .agg(
             F.array_sort(

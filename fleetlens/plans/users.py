@@ -22,6 +22,7 @@ from fleetlens.functions.calendar import (
     period_bounds,
     period_of,
     period_spine,
+    positive,
     window_predicate,
 )
 from fleetlens.functions.entitlement import LICENSE_GROUPS, license_filter, license_group
@@ -399,7 +400,7 @@ def directory_matches(
 
 def directory(users: DataFrame, daily: DataFrame, *, sort: str = "display_name_asc", limit: int = 25, offset: int = 0, **filters) -> DataFrame:
     """One page of :func:`directory_matches`."""
-    return top_n(directory_matches(users, daily, **filters), _directory_order(sort), max(1, min(100, limit)), offset)
+    return top_n(directory_matches(users, daily, **filters), _directory_order(sort), positive(limit, "limit"), offset)
 
 
 # --- one person -----------------------------------------------------------------------------
@@ -505,7 +506,7 @@ def user_top_projects(project_daily: DataFrame, login: str, as_of, *, days=30, m
         F.max("last_activity_at").alias("last_activity_at"),
     )
     order = [F.col("developing").desc_nulls_last(), F.col("viewing").desc_nulls_last(), F.col("instance_name").asc(), F.col("project_key").asc()]
-    return top_n(totals, order, max(1, min(100, limit)))
+    return top_n(totals, order, positive(limit, "limit"))
 
 
 # --- active users over calendar months and periods ---------------------------------------------
@@ -661,7 +662,7 @@ def stickiness(spark, daily, users, as_of, *, months=6, activity_filter=LICENSE_
 
     Eligibility uses every account record that was ever enabled, not only the newest.
     """
-    months = max(2, min(24, months))
+    months = positive(months, "months")
     ever = users.filter(
         has_text("users_login") & (F.col("users_enabled") == "True") & license_filter("users_userprofile", activity_filter)
     ).select("instance_name", login_norm("users_login").alias("login_norm"))
@@ -670,7 +671,7 @@ def stickiness(spark, daily, users, as_of, *, months=6, activity_filter=LICENSE_
 
     present = _monthly_presence(daily, "last_activity_at", as_of, months, instance)
     present = present.join(ever, ["instance_name", "login_norm"], "left_semi").select("month_start", "login_norm").distinct()
-    # At most 24 rows per login, so the window is small for every key.
+    # One row per login and month, so the window is small for every key.
     previous = F.lag("month_start").over(Window.partitionBy("login_norm").orderBy("month_start"))
     prior_month = F.add_months("month_start", -1)
     monthly = present.withColumn("_prev", previous).groupBy("month_start").agg(
@@ -736,7 +737,7 @@ def creator_risk(users, daily, as_of, kind: str, *, instance=None, page: int = 1
     else:
         raise ValueError(f"unknown risk {kind!r}")
     order += [F.col("display_name").asc_nulls_last(), F.col("login").asc(), F.col("instance_name").asc()]
-    return top_n(rows, order, page_size, (max(1, page) - 1) * page_size)
+    return top_n(rows, order, page_size, (positive(page, "page") - 1) * page_size)
 
 
 def creator_risk_totals(users, daily, as_of, *, instance=None) -> DataFrame:
