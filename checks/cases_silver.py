@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from checks import cases_users  # noqa: F401  (defines shared sub-queries)
@@ -45,20 +45,22 @@ def json_path(s: Sources, copies: int = 1) -> str:
     return stored_path(s, f"audit_json_{copies}", write)
 
 
-def silver_path(s: Sources) -> str:
-    """Mapped events as a partitioned silver table (every row stored twice, in two files)."""
+def write_silver(s: Sources, path: str) -> None:
+    rows = s.audit.select("event_id", "timestamp", "authuser", "instance_name", F.lower(F.regexp_replace("activity_category", "[ -]", "_")).alias("module"), "extras")
+    rows = rows.withColumn("instance_name", F.when(F.col("instance_name") == "inst_1", "007").otherwise(F.col("instance_name")))
+    parts = {name: F.date_format("timestamp", pattern) for name, pattern in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))}
+    rows = rows.withColumns({"category": F.lit("event_mapping"), **parts})
+    for mode in ("overwrite", "append"):
+        rows.hint("rebalance", *SILVER_KEYS).write.mode(mode).partitionBy(*SILVER_KEYS).parquet(path)
 
-    def write(path: str) -> None:
-        rows = s.audit.select("event_id", "timestamp", "authuser", "instance_name", F.lower(F.regexp_replace("activity_category", "[ -]", "_")).alias("module"), "extras")
-        rows = rows.withColumns({"category": F.lit("event_mapping"), "year": F.year("timestamp"), "month": F.month("timestamp"), "day": F.dayofmonth("timestamp")})
-        for mode in ("overwrite", "append"):
-            rows.hint("rebalance", *SILVER_KEYS).write.mode(mode).partitionBy(*SILVER_KEYS).parquet(path)
 
-    return stored_path(s, "silver", write)
+def silver_path(s: Sources) -> str:
+    """Mapped events as a partitioned silver table (every row stored twice, in two files)."""
+    return stored_path(s, "silver", lambda path: write_silver(s, path))
 
 
 SILVER_KEYS = ["category", "module", "instance_name", "year", "month", "day"]
-CTES["sil"] = """SELECT event_id, timestamp, authuser, instance_name, lower(replace(replace(activity_category, ' ', '_'), '-', '_')) AS module, extras,
+CTES["sil"] = """SELECT event_id, timestamp, authuser, CASE instance_name WHEN 'inst_1' THEN '007' ELSE instance_name END AS instance_name, lower(replace(replace(activity_category, ' ', '_'), '-', '_')) AS module, extras,
   CAST(timestamp AS DATE) AS d FROM audit"""
 
 
@@ -104,9 +106,32 @@ def limits_oracle() -> str:
     return " UNION ALL ".join(parts)
 
 
+def rich_extras() -> Column:
+    """Extras with a number, a boolean, an object and a key nobody lists; some rows are broken."""
+    k = F.get_json_object("extras", "$.k")
+    text = F.concat(F.lit('{"k":"'), k, F.lit('","n":'), F.col("event_id").cast("string"), F.lit(',"b":true,"o":{"z":1}}'))
+    return F.when(F.col("event_id") % 50 == 7, F.lit("{broken")).otherwise(text)
+
+
+RICH_REST = """concat('{"n":', CAST(event_id AS VARCHAR), ',"b":true,"o":{"z":1}}')"""
+
+
 def extras_rows(s: Sources) -> DataFrame:
     k = F.get_json_object("extras", "$.k")
-    return s.audit.select("event_id", F.when(F.col("event_id") % 3 == 0, k).when(F.col("event_id") % 3 == 1, "conflict").alias("k"), "extras")
+    column = F.when(F.col("event_id") % 3 == 0, k).when(F.col("event_id") % 30 == 1, "conflict")
+    return s.audit.select("event_id", (F.col("event_id") % 10).alias("part"), column.alias("k"), rich_extras().alias("extras"))
+
+
+def merged_extras(s: Sources) -> DataFrame:
+    good, rejected = normalize.merge_extras_checked(extras_rows(s), ["k"], ["part"])
+    return good.withColumn("target", F.lit("merged")).unionByName(rejected.withColumn("target", F.lit("rejected")))
+
+
+def replayed(s: Sources) -> DataFrame:
+    silver = s.audit.select("event_id", "timestamp", "msgtype", "msgtypebase", "activity_category", "instance_name", "run_ts", rich_extras().alias("extras"))
+    rows, rejected = normalize.replay_event_mapping(silver, mapping(s), ["k"], ["event_id", "timestamp", "msgtype", "activity_category", "k"])
+    broken = rejected.select(F.col("event_id").cast("string").alias("event_id"), "extras")
+    return rows.withColumn("target", F.lit("silver")).unionByName(broken.withColumn("target", F.lit("rejected")), allowMissingColumns=True)
 
 
 # --- storage ------------------------------------------------------------------------------------
@@ -134,9 +159,12 @@ def csv_table(s: Sources) -> DataFrame:
 
 
 def committed(s: Sources) -> DataFrame:
+    """Two commits: the second has one of the facts and an empty one, and takes nothing away."""
     path = new_path(s.spark, "state")
-    sinks.commit_watermarks(s.spark, path, {"daily": (s.daily, "last_activity_at"), "opens": (s.mau_daily, "last_application_open_at")})
-    return s.spark.read.schema("table_name string, watermark string").json(path)
+    sinks.commit_watermarks(s.spark, path, {"daily": (s.daily.filter("day < DATE '2024-01-10'"), "last_activity_at"), "opens": (s.mau_daily, "last_application_open_at")})
+    sinks.commit_watermarks(s.spark, path, {"daily": (s.daily, "last_activity_at"), "opens": (s.mau_daily.limit(0), "last_application_open_at")})
+    sinks.commit_watermarks(s.spark, path, {"daily": (s.daily.limit(0), "last_activity_at")}, failures=1)
+    return s.spark.createDataFrame(sorted(sinks.read_watermarks(s.spark, path).items()), "table_name string, watermark string")
 
 
 def bounded(s: Sources) -> DataFrame:
@@ -146,17 +174,55 @@ def bounded(s: Sources) -> DataFrame:
     return rows.agg(F.lit(low).alias("boundary"), F.count("*").alias("rows_to_rebuild"))
 
 
+COMPACT_AS_OF = dt.datetime(2024, 1, 20)
+
+
+def compaction_runs(s: Sources) -> tuple[str, list[DataFrame]]:
+    """A first run, a late file in an old partition and a run for it, and a run with nothing to do."""
+    path, runs = new_path(s.spark, "compact"), []
+    write_silver(s, path)
+    for mode in ("first", "late", "idle"):
+        if mode == "late":
+            late = s.spark.read.parquet(path).filter("day = '05' AND instance_name = '007' AND module = 'coding'")
+            late.withColumn("event_id", -F.col("event_id")).write.mode("append").partitionBy(*SILVER_KEYS).parquet(path)
+        runs.append(sinks.compact_partitions(s.spark, path, new_path(s.spark, "staging"), SILVER_KEYS, COMPACT_AS_OF, 1))
+    return path, runs
+
+
 def compacted(s: Sources) -> DataFrame:
-    path = new_path(s.spark, "compact")
-    s.spark.read.parquet(silver_path(s)).write.partitionBy(*SILVER_KEYS).parquet(path)
-    sinks.compact_partitions(s.spark, path, new_path(s.spark, "staging"), SILVER_KEYS, dt.datetime(2024, 1, 20), 1)
-    return s.spark.read.parquet(path).groupBy("module", "instance_name", "day").agg(F.count("*").alias("n"))
+    path, _ = compaction_runs(s)
+    return s.spark.read.parquet(path).groupBy("module", "instance_name", "year", "month", "day").agg(F.count("*").alias("n"))
+
+
+def compaction_outcome(s: Sources) -> DataFrame:
+    out = None
+    for number, run in enumerate(compaction_runs(s)[1]):
+        row = sinks.compaction_summary(run).drop("files_written").withColumn("run", F.lit(number))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def observed(s: Sources) -> DataFrame:
     seen = Observation("since")
-    rows = audit_src.filter_since(audit_src.read_audit_json(s.spark, json_path(s), JSON_SCHEMA), "2024-01-15", seen)
-    return rows.groupBy("instance_name").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"))
+    rows = audit_src.read_audit_json(s.spark, json_path(s), JSON_SCHEMA)
+    rows = rows.withColumn("timestamp", F.when(F.col("event_id") % 97 == 0, "junk").otherwise(F.col("timestamp")))
+    kept = audit_src.filter_since(rows, "2024-01-15", seen).groupBy("instance_name").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"))
+    found = kept.collect()  # one row per instance; the counts are known after this pass
+    frame = s.spark.createDataFrame(found, kept.schema)
+    return frame.withColumns({name: F.lit(value) for name, value in seen.get.items()})
+
+
+def aged_files(s: Sources) -> DataFrame:
+    """The same rows twice: the first copy is in files older than the cursor and is not read."""
+
+    def write(path: str) -> None:
+        lines(s).repartition(4).write.json(path)
+        fs, folder = sinks._files(s.spark, path)
+        for status in fs.listStatus(folder):
+            fs.setTimes(status.getPath(), int(dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc).timestamp() * 1000), -1)
+        lines(s).repartition(4).write.mode("append").json(path)
+
+    return audit_src.select_files_since(s.spark, stored_path(s, "aged_json", write), "2024-01-20", JSON_SCHEMA).select("event_id", "timestamp")
 
 
 def gold_build(s: Sources) -> DataFrame:
@@ -194,15 +260,28 @@ def late_data(s: Sources) -> DataFrame:
     return s.spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
 
 
+def streamed_hours(s: Sources, files: int) -> DataFrame:
+    silver, fact = new_path(s.spark, "silver"), new_path(s.spark, "fact")
+    writer = ingest.hourly_activity_writer(s.spark, silver, fact)
+    ingest.for_each_available(ingest.flatten_stream(stream(s, files=files)), writer, new_path(s.spark, "checkpoint"))
+    return s.spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
+
+
+def streamed_once(s: Sources, files: int) -> DataFrame:
+    store = new_path(s.spark, "store")
+    rows = stream(s, copies=2, files=files).select("event_id", "timestamp", "instance_name")
+    ingest.for_each_available(rows, ingest.dedupe_writer(store, ["event_id"]), new_path(s.spark, "checkpoint"))
+    return s.spark.read.parquet(store).select("event_id", "timestamp")
+
+
 def routed(s: Sources) -> DataFrame:
-    good, bad = new_path(s.spark, "good"), new_path(s.spark, "bad")
+    path = new_path(s.spark, "routed")
     rows = stream(s).select(
         "event_id", "timestamp", F.col("timestamp").alias("run_ts"), "instance_name", F.lower(F.trim("message.msgType")).alias("module"),
         F.when(F.col("event_id") % 17 == 0, "{broken").otherwise(F.to_json("message")).alias("extras"),
     )
-    ingest.for_each_available(rows, ingest.route_writer(good, bad), new_path(s.spark, "checkpoint"))
-    read = lambda p, kind: s.spark.read.parquet(p).groupBy("module").agg(F.count("*").alias("n")).withColumn("target", F.lit(kind))
-    return read(good, "silver").unionByName(read(bad, "quarantine"))
+    ingest.for_each_available(rows, ingest.route_writer(path), new_path(s.spark, "checkpoint"))
+    return s.spark.read.parquet(path).groupBy("module", "target").agg(F.count("*").alias("n"))
 
 
 _TS = "CASE WHEN {c} >= 1000000000000000000 THEN 1000000000 WHEN {c} >= 1000000000000000 THEN 1000000 WHEN {c} >= 1000000000000 THEN 1000 ELSE 1 END"
@@ -266,8 +345,11 @@ FROM audit WHERE msgtype <> 'mystery-event'""",
         "SELECT event_id, timestamp AS ts, CAST(NULL AS TIMESTAMP) AS short, TRUE AS rejected FROM audit",
     ),
     "cast_numeric": (
-        lambda s: s.max_licenses.select("c_custkey", casts.cast_numeric("max_licenses").alias("n")),
-        "SELECT c_custkey, try_cast(max_licenses AS DOUBLE) AS n FROM max_licenses",
+        lambda s: s.max_licenses.select(
+            "c_custkey", casts.cast_numeric("max_licenses").alias("n"), casts.cast_numeric(F.concat("c_custkey", F.lit("d"))).alias("suffixed"), casts.cast_numeric(F.lit("NaN")).alias("nan"),
+            casts.cast_numeric(F.concat(F.lit(" -"), "c_custkey", F.lit(".5e1 "))).alias("scientific"),
+        ),
+        "SELECT c_custkey, try_cast(max_licenses AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS suffixed, CAST(NULL AS DOUBLE) AS nan, -(c_custkey * 10 + 5)::DOUBLE AS scientific FROM max_licenses",
     ),
     "cast_boolean": (
         lambda s: s.users.select("users_login", "instance_name", "run_ts", casts.cast_boolean("users_enabled").alias("b"), casts.cast_boolean((F.col("user_id") % 3).cast("string")).alias("n")),
@@ -307,16 +389,19 @@ UNION ALL SELECT s_suppkey, instance_name, 'advancedGovern', TRUE FROM license_p
         "SELECT * FROM (VALUES ('stories', TRUE), ('advancedGovern', TRUE)) AS t(addon_key, enabled_any_instance) WHERE (SELECT count(*) FROM license_payload) > 0",
     ),
     "license_status_summary": (
-        lambda s: licences.license_status_summary(payloads.license_status(s.adapted("license_payload")).drop("licensee_company").withColumn("feature_x", F.when(F.col("s_suppkey") % 4 == 0, "yes")), AS_OF),
+        lambda s: licences.license_status_summary(payloads.license_status(s.adapted("license_payload")).withColumn("feature_x", F.when(F.col("s_suppkey") % 4 == 0, "yes")), AS_OF),
         """SELECT 'field' AS kind, f AS field, v AS value, (SELECT count(*) FROM license_payload) AS count FROM (VALUES ('has_license', 'True'), ('expired', 'False'), ('community', 'False'), ('fallback_profile', 'READER'),
   ('expires_on', '2025-01-01'), ('licensee_name', 'admin'), ('standard_offer', 'o1'), ('emitted_by', 'x'), ('emitted_on', '2024-01-05')) AS t(f, v)
+UNION ALL SELECT * FROM (SELECT 'field', 'licensee_company', json_extract_string(payload, '$.base.licenseContent.licensee.company') AS v, count(*) AS n FROM license_payload GROUP BY ALL ORDER BY n DESC, v LIMIT 1) c
 UNION ALL SELECT 'field', 'license_kind', 'ENTERPRISE', count(*) FROM license_payload WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'field', 'valid', 'True', count(*) FROM license_payload WHERE s_suppkey % 7 <> 0
 UNION ALL SELECT 'days_left', 'days_left', '336', count(*) FROM license_payload UNION ALL SELECT 'feature', 'feature_x', 'True', count(*) FROM license_payload WHERE s_suppkey % 4 = 0""",
     ),
     "standards_checks": (
-        lambda s: payloads.standards_checks(s.adapted("standards")),
+        lambda s: payloads.standards_checks(
+            s.adapted("standards").withColumn("payload", F.regexp_replace("payload", r'"score":"?(\d+)"?', r'"score":$1,"ok":true,"list":[],"more":[1,"a"],"none":null,"blank":""'))
+        ),
         """SELECT o_orderkey, instance_name, project_key, 'c_doc' AS check_id, 'Documentation' AS name, 'Has docs' AS description, 'doc,core' AS tags, CAST(o_orderkey % 5 AS DOUBLE) AS severity,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status, 'm' AS message, concat('{"score":"', CAST(o_orderkey % 11 AS VARCHAR), '"}') AS details, '{"limit":"3"}' AS parameters, 5.0::DOUBLE AS duration_ms FROM standards
+  CASE WHEN o_orderkey % 4 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status, 'm' AS message, concat('{"score":', CAST(o_orderkey % 11 AS VARCHAR), ',"ok":true,"more":[1,"a"]}') AS details, '{"limit":"3"}' AS parameters, 5.0::DOUBLE AS duration_ms FROM standards
 UNION ALL SELECT o_orderkey, instance_name, project_key, 'c_own', 'Owner', '', NULL, NULL, 'NOT_APPLICABLE', '', NULL, NULL, NULL FROM standards""",
     ),
     "enrich_users": (
@@ -339,13 +424,17 @@ UNION ALL SELECT o_orderkey, instance_name, project_key, 'c_own', 'Owner', '', N
         "SELECT event_id, timestamp FROM audit WHERE CAST(timestamp AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'",
     ),
     "replay_event_mapping": (
-        lambda s: normalize.replay_event_mapping(s.audit.select("event_id", "timestamp", "msgtype", "msgtypebase", "activity_category", "instance_name", "run_ts", "extras"), mapping(s), ["k"], ["event_id", "timestamp", "msgtype", "activity_category", "k"]),
-        """SELECT instance_name, CAST(event_id AS VARCHAR) AS event_id, timestamp, msgtype, upper(c) AS activity_category, json_extract_string(extras, '$.k') AS k, run_ts, CAST(NULL AS VARCHAR) AS extras, c AS module
-FROM (SELECT *, CASE msgtype WHEN 'recipe-save' THEN 'visual_recipes' WHEN 'sql-query-fetch' THEN 'coding' ELSE 'unclassified' END AS c FROM audit WHERE msgtype <> 'mystery-event') a""",
+        replayed,
+        f"""SELECT instance_name, CAST(event_id AS VARCHAR) AS event_id, timestamp, msgtype, upper(c) AS activity_category, json_extract_string(extras, '$.k') AS k, run_ts, {RICH_REST} AS extras, c AS module,
+  'silver' AS target
+FROM (SELECT *, CASE msgtype WHEN 'recipe-save' THEN 'visual_recipes' WHEN 'sql-query-fetch' THEN 'coding' ELSE 'unclassified' END AS c FROM audit WHERE msgtype <> 'mystery-event') a WHERE event_id % 50 <> 7
+UNION ALL SELECT NULL, CAST(event_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, '{{broken', NULL, 'rejected' FROM audit WHERE event_id % 50 = 7""",
     ),
     "merge_extras_checked": (
-        lambda s: normalize.merge_extras_checked(extras_rows(s), ["k"])[0].withColumn("part", F.lit("merged")).unionByName(normalize.merge_extras_checked(extras_rows(s), ["k"])[1].select("event_id", "k", F.lit("rejected").alias("part"))),
-        """SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'conflict' ELSE json_extract_string(extras, '$.k') END AS k, CASE WHEN event_id % 3 = 1 THEN 'rejected' ELSE 'merged' END AS part FROM audit""",
+        merged_extras,
+        f"""SELECT event_id, event_id % 10 AS part, json_extract_string(extras, '$.k') AS k, {RICH_REST} AS extras, 'merged' AS target FROM audit WHERE event_id % 10 NOT IN (1, 7)
+UNION ALL SELECT event_id, event_id % 10, CASE WHEN event_id % 3 = 0 THEN json_extract_string(extras, '$.k') WHEN event_id % 30 = 1 THEN 'conflict' END,
+  CASE WHEN event_id % 50 = 7 THEN '{{broken' ELSE concat('{{"k":"', json_extract_string(extras, '$.k'), '",', substr({RICH_REST}, 2)) END, 'rejected' FROM audit WHERE event_id % 10 IN (1, 7)""",
     ),
     "assert_casts_survived": (
         lambda s: normalize.assert_casts_survived(s.max_licenses.select(F.col("max_licenses").alias("size"), F.col("license_profile").alias("enabled")), ["size", "enabled"]),
@@ -358,12 +447,14 @@ UNION ALL SELECT 'enabled', count(*), count(*) = 0 FROM max_licenses WHERE trim(
         "SELECT event_id, topic, message_msgType AS msgType, message_authUser AS authUser, instance_name FROM audit_flat",
     ),
     "select_files_since": (
-        lambda s: audit_src.select_files_since(s.spark, json_path(s), "2024-01-20", JSON_SCHEMA).select("event_id", "timestamp"),
+        aged_files,
         "SELECT event_id, timestamp FROM audit_flat WHERE timestamp >= TIMESTAMP '2024-01-20'",
     ),
     "filter_since": (
         observed,
-        "SELECT instance_name, count(*) AS n, min(timestamp) AS first FROM audit_flat WHERE timestamp >= TIMESTAMP '2024-01-15' GROUP BY ALL",
+        """SELECT instance_name, count(*) AS n, min(timestamp) AS first, (SELECT count(*) FROM audit_flat) AS rows_read, (SELECT count(*) FROM audit_flat WHERE event_id % 97 = 0) AS rows_invalid_timestamp,
+  (SELECT count(*) FROM audit_flat WHERE event_id % 97 <> 0 AND timestamp < TIMESTAMP '2024-01-15') AS rows_before_cursor
+FROM audit_flat WHERE timestamp >= TIMESTAMP '2024-01-15' AND event_id % 97 <> 0 GROUP BY ALL""",
     ),
     "read_silver": (
         lambda s: tables.read_silver(s.spark, silver_path(s), "event_mapping", "coding").groupBy("partition_date", "instance_name").agg(F.count("*").alias("n")),
@@ -387,7 +478,7 @@ UNION ALL SELECT 'enabled', count(*), count(*) = 0 FROM max_licenses WHERE trim(
     ),
     "partition_index": (
         lambda s: tables.partition_index(s.spark.read.parquet(silver_path(s)).select(F.concat(F.lit("/silver"), F.regexp_extract(F.col("_metadata.file_path"), "(/category=.*)", 1)).alias("path"))),
-        """SELECT DISTINCT 'silver' AS layer, 'event_mapping' AS category, module, instance_name, CAST(year(d) AS VARCHAR) AS year, CAST(month(d) AS VARCHAR) AS month, CAST(day(d) AS VARCHAR) AS day FROM sil""",
+        """SELECT DISTINCT 'silver' AS layer, 'event_mapping' AS category, module, instance_name, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day FROM sil""",
     ),
     "latest_partitions": (
         lambda s: tables.latest_partitions(s.spark.read.parquet(silver_path(s)).select(*SILVER_KEYS, F.col("_metadata.file_path").alias("f")).distinct(), 7, dt.datetime(2024, 1, 25), min_age_days=2, filters={"module": "coding"}).select("module", "instance_name", "partition_date"),
@@ -410,16 +501,24 @@ UNION ALL SELECT 'opens', strftime(max(last_application_open_at), '%Y-%m-%d %H:%
     ),
     "compact_partitions": (
         compacted,
-        "SELECT module, instance_name, CAST(day(d) AS INTEGER) AS day, CASE WHEN d < DATE '2024-01-19' THEN 1 ELSE 2 END * count(*) AS n FROM sil GROUP BY module, instance_name, d",
+        """SELECT module, instance_name, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day,
+  CASE WHEN d >= DATE '2024-01-19' OR d = DATE '2024-01-05' AND instance_name = '007' AND module = 'coding' THEN 2 ELSE 1 END * count(*) AS n FROM sil GROUP BY module, instance_name, d""",
+    ),
+    "compaction_outcome": (
+        compaction_outcome,
+        """SELECT 0 AS run, count(*) AS partitions, count(*) AS compacted, 0::BIGINT AS failed, 2 * count(*) AS files_read, CAST(2 * sum(n) AS BIGINT) AS raw_rows, CAST(sum(n) AS BIGINT) AS written_rows,
+  2 * count(*) AS files_deleted FROM (SELECT module, instance_name, d, count(*) AS n FROM sil WHERE d < DATE '2024-01-19' GROUP BY ALL) p
+UNION ALL SELECT 1, k, k, 0, 2 * k, CAST(2 * n AS BIGINT), CAST(2 * n AS BIGINT), 2 * k
+FROM (SELECT count(DISTINCT d) AS k, count(*) AS n FROM sil WHERE d = DATE '2024-01-05' AND instance_name = '007' AND module = 'coding') l UNION ALL SELECT 2, 0, 0, 0, 0, 0, 0, 0""",
     ),
     "dedupe_exact": (
         lambda s: sinks.dedupe_exact(s.spark.read.parquet(silver_path(s))).select("event_id", "module"),
         "SELECT event_id, module FROM sil",
     ),
     "compaction_audit": (
-        lambda s: sinks.compaction_audit(s.spark.read.parquet(silver_path(s)), ["module", "instance_name", "day"], dt.datetime(2024, 1, 20)).drop("files_read"),
-        """SELECT module, instance_name, CAST(day(d) AS INTEGER) AS day, 2 * count(*) AS raw_rows, count(*) AS rows_after_drop_duplicates, DATE '2024-01-20' AS run_date
-FROM sil WHERE d < DATE '2024-01-19' GROUP BY ALL""",
+        lambda s: sinks.compaction_audit(s.spark.read.parquet(silver_path(s)), ["module", "instance_name", "day"], COMPACT_AS_OF),
+        """SELECT module, instance_name, strftime(d, '%d') AS day, 2::BIGINT AS files_read, 2 * count(*) AS raw_rows, count(*) AS rows_after_drop_duplicates, DATE '2024-01-20' AS run_date
+FROM sil WHERE d < DATE '2024-01-19' GROUP BY module, instance_name, d""",
     ),
     "select_changed_since": (
         lambda s: audit_src.select_changed_since(s.inventory.select("obj", "run_ts", F.when(F.col("obj") % 3 > 0, F.col("updated_text")).otherwise("0").alias("x_lastModifiedOn")), "2024-01-10").select("obj", "run_ts"),
@@ -439,15 +538,11 @@ UNION ALL SELECT 2, 'ratio', count(DISTINCT instance_name) FROM daily""",
         lambda s: stream_table(s, stream(s).select("event_id", "timestamp", "topic", "instance_name")),
         "SELECT event_id, timestamp, topic, instance_name FROM audit_flat",
     ),
-    "stream_hourly_activity": (
-        lambda s: stream_table(s, ingest.stream_hourly_activity(ingest.flatten_stream(stream(s, files=100)))),
-        "SELECT * FROM hourly WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM audit_flat WHERE topic = 'generic' AND message_scenarioId IS NULL AND message_jobId IS NULL AND message_authSource = 'USER_FROM_UI' AND length(message_authUser) > 0) - INTERVAL 3 DAY",
-    ),
+    "stream_hourly_activity": (lambda s: streamed_hours(s, 1), "SELECT * FROM hourly"),
+    "stream_hourly_activity_one_batch": (lambda s: streamed_hours(s, 100), "SELECT * FROM hourly"),
     "late_data_lookback": (late_data, "SELECT * FROM daily"),
-    "stream_dedupe": (
-        lambda s: stream_table(s, ingest.stream_dedupe(stream(s, copies=2, files=100), ["event_id"]).select("event_id", "timestamp")),
-        "SELECT event_id, timestamp FROM audit_flat",
-    ),
+    "stream_dedupe": (lambda s: streamed_once(s, 1), "SELECT event_id, timestamp FROM audit_flat"),
+    "stream_dedupe_one_batch": (lambda s: streamed_once(s, 100), "SELECT event_id, timestamp FROM audit_flat"),
     "stream_route": (
         routed,
         """SELECT lower(trim(message_msgType)) AS module, count(*) AS n, CASE WHEN event_id % 17 = 0 THEN 'quarantine' ELSE 'silver' END AS target FROM audit_flat GROUP BY ALL""",

@@ -73,7 +73,11 @@ def cast_epoch_strict(value: Column | str, *, on_error: str = "raise") -> Column
 
 
 def cast_numeric(value: Column | str) -> Column:
-    return as_col(value).try_cast("double")
+    """A number, or null for text that is not one: type suffixes and NaN are not numbers."""
+    column = as_col(value)
+    text = strip_all(column.cast("string"))
+    is_number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | text.rlike(r"(?i)^[+-]?inf(inity)?$")
+    return F.when(is_number, text.try_cast("double"))
 
 
 def cast_boolean(value: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -313,38 +314,77 @@ def filter_event_range(df: DataFrame, start: dt.date | None = None, end: dt.date
 # --- replay and extras -------------------------------------------------------------------------
 
 
-def replay_event_mapping(silver: DataFrame, mapping: DataFrame, extras_keys: list[str], required: list[str]) -> DataFrame:
+JSON_OBJECT = "map<string,variant>"
+
+
+def split_readable(df: DataFrame, column: str = "extras") -> tuple[DataFrame, DataFrame]:
+    """Rows whose JSON text is an object or missing, and rows where it is anything else."""
+    parsed = F.from_json(column, JSON_OBJECT)
+    readable = F.col(column).isNull() | (F.try_parse_json(column).isNotNull() & parsed.isNotNull())
+    flagged = df.withColumn("_readable", readable)
+    return flagged.filter("_readable").drop("_readable"), flagged.filter("NOT _readable").drop("_readable")
+
+
+def _merged_objects(first: Column, second: Column) -> Column:
+    """JSON text of two objects together, null when both are empty; keys are distinct."""
+    none = F.from_json(F.lit("{}"), JSON_OBJECT)
+    both = F.map_concat(F.coalesce(first, none), F.coalesce(second, none))
+    return F.when(F.size(both) > 0, F.to_json(both))
+
+
+def replay_event_mapping(silver: DataFrame, mapping: DataFrame, extras_keys: list[str], required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Classify stored rows again: unpack extras (columns win), map, normalise, re-route.
 
-    The result carries ``module`` (the new category) for a partitioned write.
+    Returns the rows, with ``module`` (the new category) for a partitioned write, and the
+    stored rows whose extras cannot be read. Every key that is not lifted stays in extras
+    with its JSON type.
     """
+    readable, rejected = split_readable(silver)
     lifted = [k for k in extras_keys if k not in silver.columns]
-    rows = silver.withColumn("_extras", F.from_json("extras", "map<string,string>"))
-    rows = rows.withColumns({k: F.try_element_at("_extras", F.lit(k)) for k in lifted})
-    known = F.array(*[F.lit(k) for k in {*lifted, *silver.columns}])
+    rows = readable.withColumn("_extras", F.from_json("extras", JSON_OBJECT))
+    rows = rows.withColumns({k: F.try_element_at("_extras", F.lit(k)).cast("string") for k in lifted})
+    known = F.array(*[F.lit(k) for k in sorted({*lifted, *silver.columns})])
     left_over = F.map_filter("_extras", lambda k, v: ~F.array_contains(known, k))
-    rest = F.when(F.size(left_over) > 0, F.to_json(left_over))
-    rows = rows.withColumns({"message_msgType": F.col("msgtype"), "x_rest": rest})
+    rows = rows.withColumns({"message_msgType": F.col("msgtype"), "x_rest": F.to_json(left_over)})
     mapped = map_events(rows.drop("msgtype", "msgtypebase", "activity_category", "extras", "_extras"), mapping)
     out = normalize_silver(mapped, [*required, "x_rest"])
-    return out.withColumn("extras", F.coalesce("extras", "x_rest")).drop("x_rest").withColumn("module", F.lower("activity_category"))
+    packed, rest = F.from_json("extras", JSON_OBJECT), F.from_json("x_rest", JSON_OBJECT)
+    only_rest = F.map_filter(rest, lambda k, v: ~F.array_contains(F.coalesce(F.map_keys(packed), F.array().cast("array<string>")), k))
+    out = out.withColumn("extras", _merged_objects(packed, only_rest)).drop("x_rest")
+    return out.withColumn("module", F.lower("activity_category")), rejected
 
 
-def merge_extras_checked(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lift extras into null or missing columns; rows whose values disagree come second."""
-    rows = df.withColumn("_x", F.from_json("extras", "map<string,string>"))
+def merge_extras_checked(df: DataFrame, keys: list[str], partition: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lift extras into null or missing columns; what disagrees comes second.
+
+    A row is in conflict when extras cannot be read, hold a key named ``extras``, or hold another
+    value than a populated column. With ``partition`` columns, every row of a partition that
+    has a conflict is rejected, so a partition is merged whole or not at all. Keys that are
+    not lifted stay in extras with their JSON type.
+    """
+    readable = F.col("extras").isNull() | (F.try_parse_json("extras").isNotNull() & F.from_json("extras", JSON_OBJECT).isNotNull())
+    rows = df.withColumns({"_readable": readable, "_x": F.from_json("extras", JSON_OBJECT)})
     dtypes = dict(df.dtypes)
-    conflict = F.array_contains(F.coalesce(F.map_keys("_x"), F.array().cast("array<string>")), "extras")
+    conflict = ~F.col("_readable") | F.array_contains(F.coalesce(F.map_keys("_x"), F.array().cast("array<string>")), "extras")
     merged = {}
     for k in keys:
-        value = F.try_element_at("_x", F.lit(k))
+        value = F.try_element_at("_x", F.lit(k)).cast("string")
         if k in dtypes:
             conflict = conflict | F.coalesce(F.col(k).cast("string") != value, F.lit(False))
             value = F.coalesce(F.col(k), value.try_cast(dtypes[k]))
         merged[k] = value
+    rest = F.map_filter("_x", lambda k, v: ~F.array_contains(F.array(*[F.lit(k) for k in keys]), k))
+    merged["extras"] = F.when(F.size(rest) > 0, F.to_json(rest))
     flagged = rows.withColumn("_conflict", conflict)
-    good = flagged.filter(~F.col("_conflict")).withColumns(merged).drop("extras", "_x", "_conflict")
-    return good, flagged.filter("_conflict").drop("_x", "_conflict")
+    if partition:
+        # One flag per partition; the flags are few, the rows are not moved by a window.
+        bad = flagged.groupBy(*partition).agg(F.max("_conflict").alias("_any"))
+        bad = bad.select(*[F.col(c).alias(f"_p_{c}") for c in partition], "_any")
+        same = [flagged[c].eqNullSafe(bad[f"_p_{c}"]) for c in partition]
+        joined = flagged.join(bad, reduce(lambda x, y: x & y, same))
+        flagged = joined.withColumn("_conflict", F.col("_any")).drop("_any", *[f"_p_{c}" for c in partition])
+    good = flagged.filter(~F.col("_conflict")).withColumns(merged).drop("_x", "_conflict", "_readable")
+    return good, flagged.filter("_conflict").drop("_x", "_conflict", "_readable")
 
 
 def assert_casts_survived(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def license_addons(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 _CHECK_TYPE = (
     "map<string,struct<check:struct<id:string,checkId:string,name:string,label:string,description:string,"
-    "shortDescription:string,tags:array<string>,categories:array<string>>,result:map<string,string>,"
+    "shortDescription:string,tags:array<string>,categories:array<string>>,result:map<string,variant>,"
     "expandedCheckParams:string,durationMs:double>>"
 )
 
@@ -123,7 +123,10 @@ def standards_checks(df: DataFrame, payload: str = "payload") -> DataFrame:
     checks = F.from_json(F.get_json_object(payload, "$.bundleChecksRunInfo"), _CHECK_TYPE)
     rows = df.select(*others, F.explode(checks).alias("_id", "_e"))
     result = F.col("_e.result")
-    details = F.map_filter(result, lambda k, v: ~k.isin("status", "severity", "message") & (v != ""))
+    text_of = lambda key: F.try_element_at(result, F.lit(key)).cast("string")
+    # Types are kept; nulls, blank text and empty lists or objects say nothing and go.
+    says = lambda v: F.coalesce(~v.cast("string").isin("", "[]", "{}"), F.lit(False))
+    details = F.map_filter(result, lambda k, v: ~k.isin("status", "severity", "message") & says(v))
     stable = _text("_id", "_e.check.id", "_e.check.checkId", F.lit("unknown_check"))
     return rows.select(
         *others,
@@ -131,9 +134,9 @@ def standards_checks(df: DataFrame, payload: str = "payload") -> DataFrame:
         F.coalesce(_text("_e.check.name", "_e.check.label"), stable).alias("name"),
         F.coalesce(_text("_e.check.description", "_e.check.shortDescription"), F.lit("")).alias("description"),
         F.array_join(F.coalesce("_e.check.tags", "_e.check.categories"), ",").alias("tags"),
-        F.try_element_at(result, F.lit("severity")).try_cast("double").alias("severity"),
-        F.coalesce(strip_all(F.try_element_at(result, F.lit("status"))), F.lit("")).alias("status"),
-        F.coalesce(strip_all(F.try_element_at(result, F.lit("message"))), F.lit("")).alias("message"),
+        text_of("severity").try_cast("double").alias("severity"),
+        F.coalesce(strip_all(text_of("status")), F.lit("")).alias("status"),
+        F.coalesce(strip_all(text_of("message")), F.lit("")).alias("message"),
         F.when(F.size(details) > 0, F.to_json(details)).alias("details"),
         F.col("_e.expandedCheckParams").alias("parameters"),
         F.col("_e.durationMs").alias("duration_ms"),

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 # settings, so they can also be applied to a session somebody else created.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Partition values stay as written: month 01 is not 1 and instance 007 is not 7.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

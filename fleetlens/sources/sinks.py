@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +15,12 @@ MAX_ROWS_PER_FILE = 100_000  # fixed value: output chunk of a compacted partitio
 
 
 def write_single(df: DataFrame, path: str) -> None:
-    """Overwrite a small base or dimension table with one file."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+    """Overwrite a base or dimension table, in one file if it is small.
+
+    The rows meet in a shuffle, so what comes before it keeps its tasks; a table larger
+    than a partition's advisory size is split over several files.
+    """
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def with_fact_partitions(df: DataFrame, time_column: str) -> DataFrame:
@@ -36,6 +39,8 @@ def write_fact_partitions(df: DataFrame, path: str, time_column: str, since: str
     moment = F.col(time_column).cast("timestamp")
     rows = with_fact_partitions(df.filter(F.col("instance_name").isNotNull() & moment.isNotNull()), time_column)
     if since is not None:
+        # No touched day starts before the day of ``since``: both reads are pruned to it.
+        rows = rows.filter(moment >= F.date_trunc("day", F.lit(since).cast("timestamp")))
         touched = rows.filter(moment >= F.lit(since).cast("timestamp")).select(*FACT_PARTITIONS).distinct()
         rows = rows.join(touched, FACT_PARTITIONS, "left_semi")
     (
@@ -50,15 +55,31 @@ def write_fact_partitions(df: DataFrame, path: str, time_column: str, since: str
 
 # --- watermarks ------------------------------------------------------------------------
 
+_STATE = "table_name string, watermark string"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a folder, which is where Spark's own reads and writes go."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a state folder; one that was cut off has no success marker."""
+    fs, folder = _files(spark, path)
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(done(p, "_SUCCESS")))
+
 
 def read_watermarks(spark: SparkSession, path: str) -> dict[str, str]:
     """Committed watermark per fact; nothing committed yet gives an empty mapping."""
-    try:
-        rows = spark.read.schema("table_name string, watermark string").json(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
+    versions = _versions(spark, path)
+    if not versions:
         return {}
+    rows = spark.read.schema(_STATE).json(f"{path}/version={versions[-1]}")
     return {r.table_name: r.watermark for r in rows.collect()}  # one row per fact table
 
 
@@ -80,20 +101,35 @@ def watermark_of(df: DataFrame, time_column: str, table: str) -> DataFrame:
 
 
 def commit_watermarks(spark: SparkSession, path: str, facts: dict[str, tuple[DataFrame, str]], *, failures: int = 0) -> bool:
-    """Persist the newest time of every fact, only after a run without failures."""
+    """Add the newest time of every fact to the state, only after a run without failures.
+
+    Facts that are not in this call, or are empty, keep what they had. The state is written as
+    a new version, and the highest complete version counts, so a job that dies while
+    committing leaves the state before it.
+    """
     if failures:
         return False
-    out = None
+    state = read_watermarks(spark, path)
     for table, (df, time_column) in facts.items():
-        row = watermark_of(df, time_column, table)
-        out = row if out is None else out.unionByName(row)
-    if out is not None:
-        out.coalesce(1).write.mode("overwrite").json(path)
+        newest = watermark_of(df, time_column, table).first().watermark
+        if newest is not None:
+            state[table] = newest
+    if state:
+        versions = _versions(spark, path)
+        rows = spark.createDataFrame(sorted(state.items()), _STATE)
+        # A version that was cut off is written again.
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/version={versions[-1] + 1 if versions else 1}")
     return True
 
 
 # --- compaction -----------------------------------------------------------------------------
 
+COMPACTED = "compacted-"
+OUTCOME = (
+    "partition string, partition_date date, files_read int, raw_rows long, written_rows long, files_written int, "
+    "files_deleted int, status string, message string"
+)
+
 
 def dedupe_exact(df: DataFrame) -> DataFrame:
     """Collapse identical rows. A hash aggregate: copies meet map-side first."""
@@ -117,29 +153,79 @@ def compaction_audit(df: DataFrame, keys: list[str], as_of, age_days: int = 1) -
     return rows.join(files, keys).withColumn("run_date", F.lit(day_floor(as_of)))
 
 
-def compact_partitions(spark: SparkSession, path: str, staging: str, keys: list[str], as_of, age_days: int = 1) -> dict[str, int]:
-    """Merge small files of old partitions and drop identical rows.
+def partition_files(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """One row per data file of a partitioned table: keys as written, file, whether it is compacted."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    value = lambda key: F.nullif(F.regexp_extract("path", rf"/{key}=([^/]+)", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return listed.select(*[value(k).alias(k) for k in keys], F.col("path").alias("file"), name.startswith(COMPACTED).alias("compacted"))
 
-    The result is staged and verified before the source partitions are replaced, so a
-    failure leaves the table as it was.
+
+def compact_partitions(
+    spark: SparkSession, path: str, staging: str, keys: list[str], as_of, age_days: int = 1, newest: int | None = None
+) -> DataFrame:
+    """Merge the files of old partitions and drop identical rows; one outcome row per partition.
+
+    Only partitions with a file that is not compacted yet, and with more than one file, are
+    read, at most the ``newest`` of them. Partition folders keep their names (``month=01``). The
+    result is staged and its rows are counted; then its files are moved in beside the old ones,
+    and exactly the files that were read are deleted. A file that arrived meanwhile stays and
+    makes the partition eligible again; a run that dies between leaves rows twice, which the
+    next run collapses.
     """
     if age_days < 1:
         raise ValueError("age_days must be at least 1")
-    old = _old_partitions(spark.read.option("mergeSchema", "true").parquet(path), as_of, age_days)
-    dedupe_exact(old).hint("rebalance", *keys).write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy(*keys).parquet(staging)
-    staged = spark.read.parquet(staging)
-    expected, written = dedupe_exact(old).count(), staged.count()
-    if expected != written:
-        raise RuntimeError(f"compaction staged {written} rows, expected {expected}")
-    raw = old.count()
-    (
-        staged.hint("rebalance", *keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
-        .partitionBy(*keys)
-        .parquet(path)
-    )
-    return {"raw_rows": raw, "rows_after_drop_duplicates": written}
-
-
+    cutoff = F.lit(day_floor(as_of) - dt.timedelta(days=age_days))
+    files = partition_files(spark, path, keys).withColumn("partition_date", partition_day())
+    per = files.groupBy(*keys, "partition_date").agg(F.collect_list("file").alias("files"), F.count_if(~F.col("compacted")).alias("loose"))
+    per = per.filter((F.col("partition_date") < cutoff) & (F.col("loose") > 0) & (F.size("files") > 1))
+    per = per.orderBy(F.col("partition_date").desc(), *keys)
+    chosen = (per.limit(newest) if newest else per).collect()  # file names of the partitions of this run
+    if not chosen:
+        return spark.createDataFrame([], OUTCOME)
+    folder = {tuple(r[k] for k in keys): r.files[0].rsplit("/", 1)[0] for r in chosen}
+    root = next(iter(folder.values())).split(f"/{keys[0]}=")[0]
+
+    sources = [f for r in chosen for f in r.files]
+    kinds = ", ".join(f"`{k}` string" for k in keys)
+    merged = spark.read.option("mergeSchema", "true").parquet(*sources)  # data columns only
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields if f.name not in keys) + ", " + kinds
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*sources)
+    dedupe_exact(rows).hint("rebalance", *keys).write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy(*keys).parquet(staging)
+    # Counts come from file footers: no data column is read.
+    raw = {tuple(r)[:-1]: r.n for r in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    staged = spark.read.schema(schema).parquet(staging)
+    written = {tuple(r)[:-1]: r.n for r in staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    moved: dict[tuple, list[str]] = {}
+    for row in partition_files(spark, staging, keys).collect():
+        moved.setdefault(tuple(row[k] for k in keys), []).append(row.file)
+
+    fs, _ = _files(spark, root)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    outcome = []
+    for r in chosen:
+        key = tuple(r[k] for k in keys)
+        counts = (len(r.files), raw.get(key, 0), written.get(key, 0))
+        label = "/".join(f"{k}={v}" for k, v in zip(keys, key))
+        new = moved.get(key, [])
+        if not 0 < counts[2] <= counts[1]:
+            outcome.append((label, r.partition_date, *counts, 0, 0, "failed", "staged rows do not fit the rows read"))
+            continue
+        targets = [f"{folder[key]}/{COMPACTED}{f.rsplit('/', 1)[1]}" for f in new]
+        renamed = sum(bool(fs.rename(place(f), place(t))) for f, t in zip(new, targets))
+        if renamed < len(new):
+            outcome.append((label, r.partition_date, *counts, renamed, 0, "failed", "not every staged file could be moved; sources kept"))
+            continue
+        deleted = sum(bool(fs.delete(place(f), False)) for f in r.files)
+        status = ("compacted", "") if deleted == len(r.files) else ("partial", "some source files could not be deleted")
+        outcome.append((label, r.partition_date, *counts, renamed, deleted, *status))
+    return spark.createDataFrame(outcome, OUTCOME)
+
+
+def compaction_summary(outcome: DataFrame) -> DataFrame:
+    """Totals of a run over its outcome rows."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return outcome.agg(
+        F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("status") == "compacted").alias("compacted"), F.count_if(F.col("status") != "compacted").alias("failed"),
+        *[total(c) for c in ("files_read", "raw_rows", "written_rows", "files_written", "files_deleted")],
+    )

@@ -7,18 +7,21 @@ and stops; the checkpoint moves only when a micro-batch has been written.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.casts import cast_datetime
-from fleetlens.operators.activity import ui_events, user_activity_daily, user_activity_hourly, with_activity_flags
+from fleetlens.operators.activity import user_activity_daily, user_activity_hourly
 from fleetlens.operators.normalize import prepare_audit
 from fleetlens.sources.audit import AUDIT_SCHEMA
 from fleetlens.sources.sinks import FACT_PARTITIONS, with_fact_partitions
 
-LATE_DATA_DAYS = 3
+SILVER_PARTITIONS = [*FACT_PARTITIONS, "batch_id"]
 
 
 def stream_audit(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA, max_files: int = 1000) -> DataFrame:
@@ -40,56 +43,95 @@ def for_each_available(df: DataFrame, write: Callable[[DataFrame, int], None], c
     return query
 
 
-def stream_hourly_activity(flat: DataFrame, late_days: int = LATE_DATA_DAYS) -> DataFrame:
-    """Hourly activity counts over a flattened audit stream, closed after the late-data span."""
-    rows = with_activity_flags(ui_events(flat)).withWatermark("timestamp", f"{late_days} days")
-    hour = F.window("timestamp", "1 hour")
-    counts = rows.groupBy(hour, "instance_name", F.col("login_value").alias("login"), F.col("activity_project").alias("project_key")).agg(
-        F.count(F.lit(1)).alias("viewing_actions_count"), F.sum("developing").alias("developing_actions_count")
-    )
-    return counts.select(
-        "instance_name", F.col("window.start").alias("timestamp"), "login", "project_key", "viewing_actions_count", "developing_actions_count"
-    )
+def append_batch(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """Store a micro-batch day first; a retry replaces what it wrote before.
+
+    Returns the touched (instance, day) keys. The batch id is the last partition level, so a
+    day's files lie together and can be compacted like any other partition.
+    """
+    rows = with_fact_partitions(batch, "timestamp").withColumn("batch_id", F.lit(batch_id))
+    rows.hint("rebalance", *FACT_PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SILVER_PARTITIONS).parquet(path)
+    return read_batches(batch, path).filter(F.col("batch_id") == str(batch_id)).select(*FACT_PARTITIONS).distinct()
+
+
+def read_batches(batch: DataFrame, path: str) -> DataFrame:
+    """Everything stored so far, in the batch's schema: no inference, partition values as text."""
+    schema = T.StructType([f for f in batch.schema.fields if f.name not in SILVER_PARTITIONS])
+    for name in SILVER_PARTITIONS:
+        schema.add(name, "string")
+    return batch.sparkSession.read.schema(schema).parquet(path)
 
 
-def stream_dedupe(df: DataFrame, keys: list[str], late_days: int = LATE_DATA_DAYS) -> DataFrame:
-    """Drop repeated deliveries that arrive within the late-data span of each other."""
-    return df.withWatermark("timestamp", f"{late_days} days").dropDuplicatesWithinWatermark(keys)
+def _on_days(stored: DataFrame, touched: DataFrame) -> DataFrame:
+    """Stored rows of the touched days: the days prune partitions, the join keeps the exact keys."""
+    days = [tuple(r) for r in touched.select("p_year", "p_month", "p_day").distinct().collect()]  # days of one batch
+    wanted = F.concat_ws("-", "p_year", "p_month", "p_day").isin(["-".join(d) for d in days])
+    return stored.filter(wanted).join(touched, FACT_PARTITIONS, "left_semi")
 
 
-def late_data_writer(spark: SparkSession, silver: str, fact: str, build: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def late_data_writer(
+    spark: SparkSession, silver: str, fact: str, build: Callable[[DataFrame], DataFrame] | None = None, time_column: str = "day"
+) -> Callable[[DataFrame, int], None]:
     """Micro-batch writer: append to silver, then rebuild every touched (instance, day).
 
-    A batch replaces its own ``batch_id`` partition of silver, so a retry does not
-    double it, and rebuilt days are overwritten whole: the fact depends only on what
-    silver holds.
+    Rebuilt days are overwritten whole and depend only on what silver holds, so rows of any
+    age count, in any order and any batch size.
     """
     make = build or (lambda rows: user_activity_daily(user_activity_hourly(rows)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = with_fact_partitions(batch, "timestamp").withColumn("batch_id", F.lit(batch_id))
-        rows = rows.hint("rebalance", *FACT_PARTITIONS)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *FACT_PARTITIONS).parquet(silver)
-        stored = spark.read.parquet(silver)
-        touched = stored.filter(F.col("batch_id") == batch_id).select(*FACT_PARTITIONS).distinct()
-        days = make(stored.join(touched, FACT_PARTITIONS, "left_semi").drop("batch_id"))
-        out = with_fact_partitions(days, "day").hint("rebalance", *FACT_PARTITIONS)
+        touched = append_batch(batch, batch_id, silver)
+        days = make(_on_days(read_batches(batch, silver), touched).drop("batch_id"))
+        out = with_fact_partitions(days, time_column).hint("rebalance", *FACT_PARTITIONS)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FACT_PARTITIONS).parquet(fact)
 
     return write
 
 
-def route_writer(good_path: str, bad_path: str, columns: tuple[str, ...] = ("instance_name", "run_ts")) -> Callable[[DataFrame, int], None]:
-    """Micro-batch writer: rows to their module partition, rows failing checks to quarantine."""
+def hourly_activity_writer(spark: SparkSession, silver: str, fact: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer of hourly activity counts over a flattened audit stream."""
+    return late_data_writer(spark, silver, fact, user_activity_hourly, "timestamp")
+
+
+def dedupe_writer(store: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer that keeps the first delivery of every event, however late a copy comes.
+
+    A repeated delivery carries the event's own time, so its earlier copy is on the same day:
+    new rows are compared with the stored keys of the days they touch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = with_fact_partitions(batch.dropDuplicates(keys), "timestamp")
+        try:
+            stored = read_batches(batch, store).filter(F.col("batch_id") != str(batch_id))
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            append_batch(own.drop(*FACT_PARTITIONS[1:]), batch_id, store)
+            return
+        touched = own.select(*[F.col(c).cast("string") for c in FACT_PARTITIONS]).distinct()
+        seen = _on_days(stored, touched).select(*keys).distinct()
+        same = [own[k].eqNullSafe(seen[k]) for k in keys]
+        fresh = own.join(seen, reduce(lambda x, y: x & y, same), "left_anti")
+        append_batch(fresh.drop(*FACT_PARTITIONS[1:]), batch_id, store)
+
+    return write
+
+
+def route_writer(path: str, columns: tuple[str, ...] = ("instance_name", "run_ts")) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer: rows to their module partition, rows failing checks to quarantine.
+
+    One write: ``target`` (silver or quarantine) is the first partition level, so the source is
+    read and parsed once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         valid = F.coalesce(F.col("extras").isNull() | F.try_parse_json("extras").isNotNull(), F.lit(True))
         for name in columns:
             valid = valid & F.col(name).isNotNull()
-        rows = with_fact_partitions(batch, "timestamp").withColumns({"_valid": valid, "batch_id": F.lit(batch_id)})
-        keys = ["module", "batch_id"]
-        for path, part in ((good_path, rows.filter("_valid")), (bad_path, rows.filter("NOT _valid"))):
-            part.drop("_valid").hint("rebalance", "module").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        rows = batch.withColumns({"target": F.when(valid, "silver").otherwise("quarantine"), "batch_id": F.lit(batch_id)})
+        keys = ["target", "module", "batch_id"]
+        rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
     return write
 
