@@ -148,12 +148,12 @@ def classes(documents: DataFrame, prime: int | None = None, huge: int = HUGE, ch
     prints = stored(fingerprints(documents, prime, huge, chunk), "fingerprints")
     mixed = _mixed(documents, prints, prime, chunk).withColumn("mixed", F.lit(True))
     split = prints.join(mixed, ["fp", "n_bytes"], "left").withColumn("split", F.when(F.col("mixed"), F.col("sha")).otherwise(F.lit(""))).drop("mixed")
-    split = stored(split, "fingerprint-classes")
     keys = ["fp", "n_bytes", "split"]
-    groups = split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    each = split.join(groups, keys)
+    # Rows that repeat doc_id and text are numbered, so that one of them stays.
     copy = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy("doc_id"))
-    return each.withColumn("_copy", copy).select(
+    split = stored(split.withColumn("_copy", copy), "fingerprint-classes")
+    groups = split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return split.join(groups, keys).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
     )
 

@@ -251,12 +251,14 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     more = _links_across(shared, roots, sequences, threshold)
     roots = components(links.unionByName(more))
 
-    placed = _rooted(sketched.select("doc_id", "node", "n"), roots)
-    groups = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Rows that repeat doc_id and words are numbered, so that one of them stays.
+    copy = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("n"))
+    placed = _rooted(sketched.select("doc_id", "node", "n").withColumn("_copy", copy), roots)
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    groups = placed.groupBy("root").agg(F.min(one).alias("one"), F.count("*").alias("class_size"))
     each = placed.join(groups, "root")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("node"))  # a doc_id may repeat
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_copy") == 1)
-    return each.withColumn("_copy", copy).select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), kept.alias("kept"), F.col("node").alias("_node"))
+    kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("node") == F.col("one.node")) & (F.col("_copy") == 1)
+    return each.select("doc_id", F.col("one.doc_id").alias("class_id"), "class_size", F.col("n").alias("n_shingles"), kept.alias("kept"), F.col("node").alias("_node"))
 
 
 def _links_across(shared: DataFrame, roots: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
