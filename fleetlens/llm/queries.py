@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, sharding, token_counts, url_filters
+from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts, url_filters
 from fleetlens.llm.common import table
 
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 16
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZER_DIR, name)
-
-
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
 
 
+def op2_interval_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_snapshot_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
@@ -60,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
+    "op2_interval_substring_dedup": op2_interval_substring_dedup,
     "op3_snapshot_chat_format": op3_snapshot_chat_format,
     "op4_attention_quality": op4_attention_quality,
     "op5_order_minhash_near_dedup": op5_order_minhash_near_dedup,
