@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from fleetlens.sources.scratch import new_path
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few megabytes, so a worker's memory does not follow the row width.
+    """Arrow batches of about a megabyte, so a worker's memory does not follow the row width.
 
     Workers also get this library's folder on their path, wherever the driver was started.
     """

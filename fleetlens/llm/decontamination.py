@@ -29,7 +29,7 @@ from fleetlens.llm.suffixes import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 SHARD_SYMBOLS = 1 << 20
 _STATE = "_n_words long, _items array<string>, _spans array<struct<word_start:int,word_end:int,byte_start:int,byte_end:int>>"
 
