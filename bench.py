@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import registry  # noqa: E402
+from checks.sources import Sources, stored  # noqa: E402
 from fleetlens.session import get_session  # noqa: E402
 
 HEADLINE = [
@@ -25,7 +26,7 @@ HEADLINE = [
     "adoption_observed", "stickiness", "segments", "current_license_by_profile", "directory",
     "match_products", "product_rollups", "consumption_by_type", "top_products", "lifecycle", "assets", "product_metadata_summary",
     # maintenance and streaming
-    "write_fact_partitions", "compaction_audit", "stream_hourly_activity", "late_data_lookback",
+    "write_fact_partitions", "compaction_audit", "stream_hourly_activity", "late_data_lookback", "compact_partitions",
 ]
 
 
@@ -49,7 +50,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.merged("QUERIES")
-    times = {}
+    # The tables the serving queries read are built once, before the clock of any query starts.
+    started, sources = time.perf_counter(), Sources(spark, sf_dir)
+    for name in [n for n, v in vars(Sources).items() if isinstance(v, stored)]:
+        getattr(sources, name)
+    times = {"stored_tables_cold_build": round(time.perf_counter() - started, 3)}
     for name in HEADLINE:
         run(spark, queries[name], sf_dir)
         times[name] = round(run(spark, queries[name], sf_dir), 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.adapters import AS_OF
 from checks.oracle import CTES, RECENT, blank_null, canon, in_list, sql
-from checks.sources import Sources
+from checks.sources import INVENTORY_COLUMNS, Sources
 from fleetlens.functions.casts import epoch_or_iso_ts
 from fleetlens.functions.text import path_segment
 from fleetlens.operators import objects
@@ -66,6 +66,21 @@ CTES["inv_apps"] = "SELECT * FROM inv_typed " + _NEW.format("instance_name, obje
 CTES["inv_projects"] = "SELECT * FROM inv_typed " + _NEW.format("instance_name, project_key")
 
 
+def _metadata_sql(name: str) -> str:
+    """The projection of one inventory, by the fixture column behind each source column."""
+    spec, sources = inv.METADATA[name], INVENTORY_COLUMNS[name]
+    column = lambda names: f"coalesce({', '.join([*(sources[n] for n in names if n in sources), 'CAST(NULL AS VARCHAR)'])})"
+    typed_ = {"created_text": "created_at", "updated_text": "updated_at"}
+    parts = ["instance_name", "project_key"]
+    for out, names in spec.columns.items():
+        value = column(names)
+        parts.append(f"{blank_null(value)} AS {out}" if out == "owner_login" and len(names) > 1 else f"{value} AS {out}")
+    parts += [f"{typed_[sources[src]] if src in sources else 'CAST(NULL AS TIMESTAMP)'} AS {out}" for out, src in spec.times.items()]
+    table = {"projects": "inv_projects", "apps": "inv_apps"}.get(name, "inv_latest")
+    where = "" if spec.project == "project_key" else " WHERE project_key IS NOT NULL"
+    return f"SELECT {', '.join(parts)}, extras AS details_json FROM {table}{where}"
+
+
 def _idx(kind: str, prefix: str, table: str = "inv_latest", **over: str) -> str:
     cols = {"key": "object_key", "name": "object_name", "subtype": "object_subtype", "owner": "owner_login", "mod": "owner_login",
             "created": "created_at", "updated": "updated_at"} | over
@@ -254,8 +269,8 @@ FROM object_silver) o""",
   CASE WHEN url LIKE '%?%' OR url LIKE '%#%' THEN NULL ELSE 'a' END AS object FROM pages""",
     ),
     "latest_by_partition": (
-        lambda s: latest_by_partition(s.inventory, ["project_key", "object_key"]).drop("extras"),
-        "SELECT * EXCLUDE (extras, created_at, updated_at) FROM inv_latest",
+        lambda s: latest_by_partition(s.inventory, ["project_key", "object_key"]),
+        "SELECT * EXCLUDE (created_at, updated_at) FROM inv_latest",
     ),
     "asset_activity_30d": (lambda s: inv.asset_activity_30d(s.object_events, AS_OF), "SELECT * FROM a_activity"),
     "product_activity_30d": (lambda s: inv.product_activity_30d(s.object_events, AS_OF), "SELECT * FROM p_activity"),
@@ -274,16 +289,7 @@ FROM object_silver) o""",
         lambda s: s.inventory.select("obj", "run_ts", epoch_or_iso_ts("created_text").alias("created_at"), epoch_or_iso_ts("updated_text").alias("updated_at")),
         "SELECT obj, run_ts, created_at, updated_at FROM inv_typed",
     ),
-    "metadata_projects": (
-        lambda s: s.metadata_of("projects").drop("details_json"),
-        """SELECT instance_name, project_key, project_key AS project_name, owner_login AS project_owner_login, object_subtype AS project_type,
-  owner_login AS project_last_modified_by_login, created_at AS project_created_at, updated_at AS project_updated_at FROM inv_projects""",
-    ),
-    "metadata_webapps": (
-        lambda s: s.metadata_of("webapps").drop("details_json"),
-        """SELECT instance_name, project_key, object_key AS key, object_name AS name, object_subtype AS subtype, owner_login, owner_login AS last_modified_by_login,
-  created_at, updated_at FROM inv_latest""",
-    ),
+    **{f"metadata_{name}": (lambda s, name=name: s.metadata_of(name), _metadata_sql(name)) for name in inv.METADATA},
     "build_catalog": (lambda s: s.compute("asset_catalog"), "SELECT * FROM a_catalog"),
     "products_catalog": (lambda s: s.compute("catalog"), "SELECT * FROM p_catalog"),
     "products_by_type": (lambda s: inv.products_by_type(s.catalog), "SELECT product_type, count(*) AS product_count FROM p_catalog GROUP BY ALL"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from checks import cases_users  # noqa: F401  (defines shared sub-queries)
+from checks import cases_inventory, cases_users  # noqa: F401  (define shared sub-queries)
 from checks.adapters import AS_OF
 from checks.oracle import CTES, blank_null, sql
 from checks.sources import Sources, stored_path
@@ -15,6 +15,7 @@ from fleetlens.functions import casts
 from fleetlens.operators import activity, normalize, payloads
 from fleetlens.operators.licences import addon_flags
 from fleetlens.plans import gold, licences
+from fleetlens.plans.contracts import Contracts
 from fleetlens.plans.dims import literal_table
 from fleetlens.sources import audit as audit_src
 from fleetlens.sources import sinks, tables
@@ -240,6 +241,47 @@ def gold_build(s: Sources) -> DataFrame:
     return rows
 
 
+def gold_tables(s: Sources) -> DataFrame:
+    """The wired build, twice: the second run starts from the watermarks and changes nothing."""
+    root = new_path(s.spark, "gold")
+    silver = {name: s.inventory_of(name) for name in ("projects", "dashboards", "webapps")}
+    silver |= {"license_max": s.max_licenses, "users": s.users, "audit_flat": s.audit_flat, "dev_events": s.audit, "object_events": s.object_silver}
+    specs = gold.gold_specs(s.spark, silver)
+    for _ in range(2):
+        run = gold.publish(s.spark, specs, root)
+        assert not run.failed and run.committed, run.failed
+    marks, out = sinks.read_watermarks(s.spark, f"{root}/_state"), None
+    for name, table in run.tables.items():
+        row = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", F.lit(marks.get(name)).cast("timestamp").alias("watermark"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+AUDIT_CONTRACT = ["event_id", "timestamp", "msgtype", "authuser"]
+
+
+def ingested(s: Sources) -> DataFrame:
+    silver = new_path(s.spark, "ingest")
+    ingest.ingest_audit(
+        s.spark, json_path(s), silver, new_path(s.spark, "checkpoint"), mapping(s), AUDIT_CONTRACT, F.to_timestamp(F.lit("2024-02-01")), schema=JSON_SCHEMA, max_files=2
+    )
+    return s.spark.read.parquet(silver).select("instance_name", *AUDIT_CONTRACT, "extras", "module", "target")
+
+
+def contracts_of(s: Sources) -> Contracts:
+    rows = [("audit", "usage", None, i, c) for i, c in enumerate(["event_id", "timestamp", "project_key"])]
+    rows += [("audit", "usage", "genai", i, c) for i, c in enumerate(["timestamp", "enabled", "absent"])]
+    return Contracts.read(literal_table(s.spark, {"category": "string", "module": "string", "variant": "string", "position": "int", "column_name": "string"}, rows))
+
+
+_REST = "concat('{{', concat_ws(',', {parts}), '}}')"
+_EXTRAS_VARIANT = _REST.format(parts="""'"activity_category":" ' || activity_category || '"', '"size":"' || event_id || '"', '"call_path":"' || authvia || '"', '"jobid":"' || jobid || '"'""")
+_EXTRAS_ALL = _REST.format(
+    parts="""'"event_id":' || event_id, '"timestamp":"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '"', '"activity_category":" ' || activity_category || '"', '"project_key":"' || project_key || '"',
+  '"enabled":"' || CASE event_id % 3 WHEN 0 THEN '1' WHEN 1 THEN 'no' END || '"', '"size":"' || event_id || '"', '"call_path":"' || authvia || '"', '"jobid":"' || jobid || '"'"""
+)
+
+
 # --- streaming --------------------------------------------------------------------------------------
 
 
@@ -331,6 +373,15 @@ FROM audit WHERE msgtype <> 'mystery-event'""",
   CASE WHEN event_id % 3 = 0 THEN TRUE END AS enabled, CAST(event_id AS DOUBLE) AS size, CAST(NULL AS VARCHAR) AS absent, run_ts,
   concat('{"call_path":"', authvia, '"', CASE WHEN jobid IS NULL THEN '' ELSE concat(',"jobid":"', jobid, '"') END, '}') AS extras FROM audit""",
     ),
+    "normalize_module": (
+        lambda s: normalize.normalize_module(raw_columns(s), "audit", "llm", contracts_of(s), base=("audit", "usage"), variant="genai", instance=" hub "),
+        f"""SELECT 'hub' AS instance_name, CAST(event_id AS VARCHAR) AS event_id, timestamp, project_key, CASE WHEN event_id % 3 = 0 THEN TRUE END AS enabled, CAST(NULL AS VARCHAR) AS absent, run_ts,
+  {_EXTRAS_VARIANT} AS extras FROM audit""",
+    ),
+    "normalize_no_contract": (
+        lambda s: normalize.normalize_module(raw_columns(s), "audit", "unknown", contracts_of(s), instance=" hub "),
+        f"SELECT 'hub' AS instance_name, run_ts, {_EXTRAS_ALL} AS extras FROM audit",
+    ),
     "pack_extras": (
         lambda s: s.audit.select("event_id", normalize.pack_extras(s.audit, ["callpath", "jobid"]).alias("packed"), normalize.extras_to_json("scenarioid").alias("wrapped"), normalize.extras_to_json("extras").alias("kept")),
         f"""SELECT event_id, CASE WHEN callpath IS NULL AND jobid IS NULL THEN NULL ELSE concat('{{', concat_ws(',', '"callpath":"' || callpath || '"', '"jobid":"' || jobid || '"'), '}}') END AS packed,
@@ -532,8 +583,31 @@ FROM sil WHERE d < DATE '2024-01-19' GROUP BY module, instance_name, d""",
         gold_build,
         """SELECT 0 AS position, 'b_opens' AS table_name, count(*) AS row_count FROM mau_daily UNION ALL SELECT 1, 'a_daily', count(*) FROM daily
 UNION ALL SELECT 2, 'ratio', count(DISTINCT instance_name) FROM daily""",
+    ),
+    "gold_build": (
+        gold_tables,
+        """SELECT 'base_projects' AS table_name, count(DISTINCT (instance_name, project_key)) AS row_count, CAST(NULL AS TIMESTAMP) AS watermark FROM inventory
+UNION ALL SELECT n, count(DISTINCT (instance_name, project_key, object_key)), NULL FROM inventory CROSS JOIN (VALUES ('base_dashboards'), ('base_webapps')) t(n) GROUP BY n
+UNION ALL SELECT 'base_license_max', count(*), NULL FROM max_latest
+UNION ALL SELECT 'base_users', count(DISTINCT (instance_name, users_login)), NULL FROM users
+UNION ALL SELECT 'dim_capability', count(*), NULL FROM d_capability UNION ALL SELECT 'dim_event_class', count(*), NULL FROM d_event_class
+UNION ALL SELECT 'fact_user_activity_hourly', count(*), max(timestamp) FROM hourly
+UNION ALL SELECT 'fact_user_activity_daily', count(*), max(last_activity_at) FROM daily
+UNION ALL SELECT 'fact_user_activity_project_daily', count(*), max(last_activity_at) FROM project_daily
+UNION ALL SELECT 'fact_formal_mau_daily', count(*), max(last_application_open_at) FROM mau_daily
+UNION ALL SELECT 'fact_dev_activity_events', count(*), max(timestamp) FROM dev_events
+UNION ALL SELECT 'fact_object_activity_events', count(*), max(timestamp) FROM obj_events
+UNION ALL SELECT 'fact_license_utilization_daily', count(*), CAST(max(snapshot_date) AS TIMESTAMP) FROM lic_fact""",
     ),
     # --- streaming ---
+    "ingest_audit": (
+        ingested,
+        """SELECT instance_name, CAST(event_id AS VARCHAR) AS event_id, timestamp, trim(message_msgType) AS msgtype, trim(message_authUser) AS authuser,
+  concat('{', concat_ws(',', '"topic":"generic"', '"msgtypebase":"' || message_msgTypeBase || '"', '"authsource":"' || message_authSource || '"', '"authvia":""', '"project_key":"' || message_projectKey || '"',
+    '"scenarioid":"' || message_scenarioId || '"', '"jobid":"' || message_jobId || '"'), '}') AS extras,
+  CASE message_msgType WHEN 'recipe-save' THEN 'visual_recipes' WHEN 'sql-query-fetch' THEN 'coding' ELSE 'unclassified' END AS module, 'silver' AS target
+FROM audit_flat WHERE topic = 'generic' AND length(trim(message_msgType)) > 0 AND message_msgType <> 'mystery-event'""",
+    ),
     "stream_audit": (
         lambda s: stream_table(s, stream(s).select("event_id", "timestamp", "topic", "instance_name")),
         "SELECT event_id, timestamp, topic, instance_name FROM audit_flat",

@@ -201,7 +201,7 @@ def _months(n: int) -> str:
   TIMESTAMP '2024-01-01', INTERVAL 1 MONTH) AS t(m)"""
 
 
-CTES["months3"], CTES["months6"] = _months(3), _months(6)
+CTES["months3"], CTES["months6"], CTES["months36"] = _months(3), _months(6), _months(36)
 CTES["active_rows"] = f"""
 SELECT a.*, CAST(date_trunc('month', a.last_activity_at) AS DATE) AS month_start FROM daily a
 JOIN ulatest u ON u.instance_name = a.instance_name AND u.login_norm = a.login_norm WHERE u.users_enabled = 'True' AND {_CREATOR}"""
@@ -392,6 +392,7 @@ WHERE last_activity_at >= TIMESTAMP '2023-11-01' AND login_norm = '{LOGIN}' GROU
 ORDER BY developing DESC, viewing DESC, instance_name, project_key LIMIT 10""",
     ),
     "active_monthly": (lambda s: users.active_monthly(s.spark, s.daily, s.users, AS_OF), _total("active_rows", "months3")),
+    "active_monthly_36": (lambda s: users.active_monthly(s.spark, s.daily, s.users, AS_OF, months=36), _total("active_rows", "months36")),
     "active_monthly_by_instance": (lambda s: users.active_monthly_by_instance(s.daily, s.users, AS_OF), _grid("active_rows", "months3")),
     "period_spine": (
         lambda s: calendar.explode_periods(s.audit.groupBy("instance_name").agg(F.count("*").alias("events")), AS_OF, "quarterly"),
@@ -503,8 +504,11 @@ ORDER BY last_activity_at DESC NULLS LAST, display_name NULLS LAST, login, insta
             "event_id",
             calendar.window_predicate("timestamp", AS_OF, months=1).alias("this_month"),
             calendar.window_predicate("timestamp", AS_OF, days=7).alias("last_week"),
+            calendar.window_predicate(F.col("timestamp") - F.make_interval(days=F.lit(390)), AS_OF, days=400).alias("last_400_days"),
+            calendar.window_predicate(F.add_months("timestamp", -35), AS_OF, months=36).alias("last_36_months"),
         ),
-        """SELECT event_id, timestamp >= TIMESTAMP '2024-01-01' AS this_month, timestamp >= TIMESTAMP '2024-01-24' AS last_week FROM audit""",
+        """SELECT event_id, timestamp >= TIMESTAMP '2024-01-01' AS this_month, timestamp >= TIMESTAMP '2024-01-24' AS last_week,
+  timestamp - INTERVAL 390 DAY >= TIMESTAMP '2022-12-27' AS last_400_days, timestamp >= TIMESTAMP '2024-01-01' AS last_36_months FROM audit""",
     ),
 }
 

@@ -217,6 +217,12 @@ INVENTORY_COLUMNS = {
     "agent_tools": _owned_columns("agent_tools"),
     "saved_models": _owned_columns("saved_models", saved_models_backendtype="object_key", saved_models_predictiontype="object_key"),
     "webapps": _owned_columns("webapps", webapps_createdby_login="owner_login"),
+    "retrieval_augmented_llms": {
+        "retrieval_augmented_llms_id": "object_key",
+        "retrieval_augmented_llms_activeversion": "object_subtype",
+        "retrieval_augmented_llms_createdon": "created_text",
+        "retrieval_augmented_llms_lastmodifiedon": "updated_text",
+    },
     "apps": {"apps_appid": "object_key", "apps_label": "object_name", "apps_origin": "object_subtype", "apps_originprojectkey": "project_key"},
 }
 

@@ -163,6 +163,22 @@ def normalize_silver(df: DataFrame, required: list[str], *, instance: str | Colu
     return out.select(*[column(c) for c in ("instance_name", *contract, "run_ts")], packed.alias("extras"))
 
 
+def normalize_module(
+    df: DataFrame,
+    category: str,
+    module: str,
+    registry: contracts.Contracts,
+    *,
+    base: tuple[str, str] | None = None,
+    variant: str | None = None,
+    instance: str | Column | None = None,
+    run_ts: str | Column | None = None,
+) -> DataFrame:
+    """:func:`normalize_silver` with the contract of (category, module); without one everything goes to extras."""
+    required = registry.required(category, module, base=base, variant=variant)
+    return normalize_silver(df, required or [], instance=instance, run_ts=run_ts)
+
+
 def dq_check(df: DataFrame, keys: list[str] | None = None, required: tuple[str, ...] = ("instance_name", "run_ts")) -> DataFrame:
     """Row count, nulls in required columns and unreadable extras, per partition key.
 

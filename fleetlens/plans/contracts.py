@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
 # Columns typed by name, everything else is stripped text.
 DATETIME_COLUMNS = [
     "timestamp", "date", "run_timestamp", "dssstartuptimestamp", "creationdate", "lastsuccessfullogin", "lastfailedlogin",
@@ -35,3 +39,32 @@ PARTITION_COLUMNS = ["category", "module", "instance_name", "year", "month", "da
 def union_contract(*lists: list[str]) -> list[str]:
     """Base list plus per-module variant, first occurrence kept."""
     return list(dict.fromkeys(c for columns in lists for c in columns))
+
+
+@dataclass(frozen=True)
+class Contracts:
+    """Required columns by (category, module), with variants of a base.
+
+    The lists are data of an installation: a table with one row per column (category, module,
+    variant or null, position, column_name), as many rows as all contracts have columns.
+    """
+
+    lists: dict[tuple[str, str, str | None], list[str]] = field(default_factory=dict)
+
+    @classmethod
+    def read(cls, table: DataFrame) -> Contracts:
+        rows = table.select("category", "module", "variant", "position", "column_name").collect()
+        lists: dict[tuple[str, str, str | None], list[str]] = {}
+        for row in sorted(rows, key=lambda r: r.position):
+            lists.setdefault((row.category, row.module, row.variant), []).append(row.column_name)
+        return cls(lists)
+
+    def required(self, category: str, module: str, *, base: tuple[str, str] | None = None, variant: str | None = None) -> list[str] | None:
+        """Columns of the base, then those only the variant has; None where neither is known.
+
+        ``base`` names another (category, module) whose list the module shares.
+        """
+        own = base or (category, module)
+        found = [self.lists.get((*own, None)), self.lists.get((*own, variant)) if variant else None]
+        present = [columns for columns in found if columns is not None]
+        return union_contract(*present) if present else None

@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from fleetlens.operators import activity, development, licences, objects
+from fleetlens.operators.latest import INVENTORY_KEYS, latest_inventory
+from fleetlens.plans import dims
+from fleetlens.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -16,6 +21,8 @@ class TableSpec:
     build: Callable[[dict[str, DataFrame]], DataFrame]
     depends_on: list[str] = field(default_factory=list)
     order: int = 0
+    time_column: str | None = None  # of a fact: written by day, with a watermark
+    required: bool = True  # a failure stops the commit of watermarks
 
 
 def build_order(specs: list[TableSpec]) -> list[TableSpec]:
@@ -49,3 +56,71 @@ def build_gold(specs: list[TableSpec], write: Callable[[str, DataFrame], DataFra
         except Exception as exc:  # recorded; later tables may still be built
             failed[spec.name] = repr(exc)
     return tables, failed
+
+
+@dataclass
+class GoldRun:
+    tables: dict[str, DataFrame]
+    failed: dict[str, str]
+    committed: bool
+
+
+# Base tables a dashboard cannot do without; the others may fail without holding back the facts.
+REQUIRED_BASE = ("users", "license_max")
+
+
+def gold_specs(spark: SparkSession, silver: dict[str, DataFrame]) -> list[TableSpec]:
+    """All curated tables that ``silver`` has the sources of.
+
+    ``silver`` maps an inventory's name to its snapshots, and ``audit_flat`` (flattened audit
+    rows), ``dev_events`` (mapped events) and ``object_events`` (module rows) to the event sources.
+    """
+
+    def base(name: str) -> TableSpec:
+        return TableSpec(f"base_{name}", lambda t: latest_inventory(silver[name], name), required=name in REQUIRED_BASE)
+
+    specs = [base(name) for name in INVENTORY_KEYS if name in silver]
+    specs += [
+        TableSpec("dim_capability", lambda t: dims.dim_capability(spark), order=1),
+        TableSpec("dim_event_class", lambda t: dims.dim_event_class(spark), order=1),
+    ]
+    if "audit_flat" in silver:
+        specs += [
+            TableSpec("fact_user_activity_hourly", lambda t: activity.user_activity_hourly(silver["audit_flat"]), order=2, time_column="timestamp"),
+            TableSpec("fact_user_activity_daily", lambda t: activity.user_activity_daily(t["fact_user_activity_hourly"]), ["fact_user_activity_hourly"], 2, "last_activity_at"),
+            TableSpec("fact_user_activity_project_daily", lambda t: activity.user_activity_project_daily(t["fact_user_activity_hourly"]), ["fact_user_activity_hourly"], 2, "last_activity_at"),
+            TableSpec("fact_formal_mau_daily", lambda t: activity.formal_mau_daily(activity.formal_mau_hourly(silver["audit_flat"])), order=2, time_column="last_application_open_at"),
+        ]
+    if "dev_events" in silver:
+        specs.append(TableSpec("fact_dev_activity_events", lambda t: development.dev_activity_events(silver["dev_events"]), order=2, time_column="timestamp"))
+    if "object_events" in silver:
+        build = lambda t: objects.object_activity_events(spark, silver["object_events"], t["dim_capability"])
+        specs.append(TableSpec("fact_object_activity_events", build, ["dim_capability"], 2, "timestamp", required=False))
+    if {"license_max", "users"} <= silver.keys():
+        build = lambda t: licences.license_utilization_daily(silver["license_max"], silver["users"])
+        specs.append(TableSpec("fact_license_utilization_daily", build, order=2, time_column="snapshot_date"))
+    return specs
+
+
+def publish(spark: SparkSession, specs: list[TableSpec], root: str, lookback_days: int = 3) -> GoldRun:
+    """Build all tables below ``root``: facts from their watermark on, the rest whole.
+
+    Watermarks are committed last and only if no required table failed, so a failed run is
+    repeated from where the last good one ended.
+    """
+    by_name = {s.name: s for s in specs}
+    state = f"{root}/_state"
+    marks = sinks.read_watermarks(spark, state)
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        path, spec = f"{root}/{name}", by_name[name]
+        if spec.time_column is None:
+            sinks.write_single(df, path)
+            return spark.read.schema(df.schema).parquet(path)
+        sinks.write_fact_partitions(df, path, spec.time_column, sinks.incremental_boundary(marks, name, lookback_days))
+        return spark.read.schema(sinks.with_fact_partitions(df, spec.time_column).schema).parquet(path).select(*df.columns)
+
+    tables, failed = build_gold(specs, write)
+    stopped = sum(by_name[name].required for name in failed)
+    facts = {s.name: (tables[s.name], s.time_column) for s in specs if s.time_column and s.name in tables}
+    return GoldRun(tables, failed, sinks.commit_watermarks(spark, state, facts, failures=stopped))

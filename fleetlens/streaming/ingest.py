@@ -10,14 +10,15 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.casts import cast_datetime
 from fleetlens.operators.activity import user_activity_daily, user_activity_hourly
-from fleetlens.operators.normalize import prepare_audit
+from fleetlens.operators.normalize import map_events, normalize_silver, prepare_audit
+from fleetlens.plans.contracts import union_contract
 from fleetlens.sources.audit import AUDIT_SCHEMA
 from fleetlens.sources.sinks import FACT_PARTITIONS, with_fact_partitions
 
@@ -136,6 +137,24 @@ def route_writer(path: str, columns: tuple[str, ...] = ("instance_name", "run_ts
     return write
 
 
+def normalized_audit(stream: DataFrame, mapping: DataFrame, required: list[str], run_ts: Column) -> DataFrame:
+    """An audit stream as typed silver rows: flattened, mapped to a category, normalised.
+
+    Adds ``module``, the category under which :func:`route_writer` stores a row. Works on
+    batch frames alike.
+    """
+    flat = flatten_stream(stream)
+    mapped = map_events(flat.drop("date"), mapping)
+    rows = normalize_silver(mapped.withColumn("run_ts", run_ts), union_contract(required, ["activity_category"]))
+    return rows.withColumn("module", F.lower("activity_category"))
+
+
+def ingest_audit(spark: SparkSession, source: str, silver: str, checkpoint: str, mapping: DataFrame, required: list[str], run_ts: Column, *, schema: str = AUDIT_SCHEMA, max_files: int = 1000) -> StreamingQuery:
+    """Raw audit files to routed silver: whatever is new since the checkpoint, once."""
+    rows = normalized_audit(stream_audit(spark, source, schema, max_files), mapping, required, run_ts)
+    return for_each_available(rows, route_writer(silver), checkpoint)
+
+
 def flatten_stream(stream: DataFrame, instance_column: str = "instance_name") -> DataFrame:
     """:func:`prepare_audit` for lines that name their instance."""
     return prepare_audit(stream, F.col(instance_column))

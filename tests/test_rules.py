@@ -176,6 +176,121 @@ def test_watermarks_are_kept_back_after_a_failure(spark):
     assert sinks.incremental_boundary({"f": "junk"}, "f") is None
 
 
+def test_watermarks_merge_and_survive_a_cut_off_version(spark):
+    path = new_path(spark, "state")
+    fact = lambda day: spark.sql(f"SELECT TIMESTAMP'2024-01-{day} 10:00:00' AS ts")
+    sinks.commit_watermarks(spark, path, {"a": (fact("05"), "ts"), "b": (fact("06"), "ts")})
+    sinks.commit_watermarks(spark, path, {"a": (fact("07"), "ts"), "b": (fact("06").limit(0), "ts")})
+    assert sinks.read_watermarks(spark, path) == {"a": "2024-01-07 10:00:00", "b": "2024-01-06 10:00:00"}
+    # a version that was never finished has no success marker and does not count
+    spark.sql("SELECT 'a' AS table_name, 'junk' AS watermark").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").json(f"{path}/version=3")
+    assert sinks.read_watermarks(spark, path)["a"] == "2024-01-07 10:00:00"
+    sinks.commit_watermarks(spark, path, {"b": (fact("08"), "ts")})
+    assert sinks.read_watermarks(spark, path) == {"a": "2024-01-07 10:00:00", "b": "2024-01-08 10:00:00"}
+
+
+COMPACT_KEYS = ["category", "module", "instance_name", "year", "month", "day"]
+
+
+def _small_silver(spark, path, values):
+    rows = ", ".join(f"({v}, 'c', 'm', '007', '2024', '01', '02')" for v in values)
+    spark.sql(f"SELECT * FROM VALUES {rows} t(v, category, module, instance_name, year, month, day)").coalesce(1).write.mode("append").partitionBy(*COMPACT_KEYS).parquet(path)
+
+
+def test_compaction_keeps_a_file_that_arrives_meanwhile(spark, monkeypatch):
+    path = new_path(spark, "compact")
+    for values in ((1, 2), (2, 3)):
+        _small_silver(spark, path, values)
+    dedupe = sinks.dedupe_exact
+
+    def late(df):
+        _small_silver(spark, path, (9,))  # lands after the files of this run were chosen
+        return dedupe(df)
+
+    monkeypatch.setattr(sinks, "dedupe_exact", late)
+    first = sinks.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
+    monkeypatch.undo()
+    assert [(r.status, r.files_read, r.raw_rows, r.written_rows, r.files_deleted) for r in first] == [("compacted", 2, 4, 3, 2)]
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2, 3, 9]
+    run = lambda: sinks.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
+    assert [(r.files_read, r.written_rows) for r in run()] == [(2, 4)]
+    assert run() == []
+    folders = {f.rsplit("/", 1)[0].split(path.removeprefix("file:"))[-1] for f in spark.read.parquet(path).inputFiles()}
+    assert folders == {"/category=c/module=m/instance_name=007/year=2024/month=01/day=02"}
+
+
+def test_streams_do_not_depend_on_order_or_batch_size(spark):
+    from fleetlens.streaming import ingest
+
+    rows = spark.sql(
+        "SELECT id, CASE id % 2 WHEN 0 THEN '007' ELSE 'b' END AS instance_name, TIMESTAMP'2024-03-01 00:00:00' - make_interval(0, 0, 0, CAST(id % 40 AS INT), CAST(id % 5 AS INT)) AS timestamp,"
+        "'generic' AS topic, 'USER_FROM_UI' AS message_authSource, concat('u', id % 3) AS message_authUser, 'view' AS message_msgType FROM range(400)"
+    )
+    from fleetlens.operators.activity import user_activity_hourly
+
+    want = sorted(map(str, user_activity_hourly(rows).collect()))
+    for batches in (1, 7):
+        silver, fact, store = (new_path(spark, n) for n in ("silver", "fact", "store"))
+        hourly, once = ingest.hourly_activity_writer(spark, silver, fact), ingest.dedupe_writer(store, ["id"])
+        for number in range(batches):
+            part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == number)
+            for _ in range(2):  # a retried batch changes nothing
+                hourly(part, number)
+                once(part.unionByName(part), number)
+            once(rows.filter("id % 5 = 0"), 100 + number)  # delivered again, with every batch
+        got = spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
+        assert sorted(map(str, got.select(user_activity_hourly(rows).columns).collect())) == want
+        kept = [r.id for r in spark.read.parquet(store).collect()]
+        assert len(kept) == len(set(kept)) == 400
+
+
+def test_nothing_is_clamped(spark):
+    assert calendar.month_spine(spark, "2024-01-31", 36).count() == 36
+    for value in (0, -3):
+        with pytest.raises(ValueError, match="positive"):
+            calendar.month_spine(spark, "2024-01-31", value)
+        with pytest.raises(ValueError, match="positive"):
+            calendar.window_predicate("x", "2024-01-31", days=value)
+
+
+def test_plans_with_large_sides(spark, sources):
+    """With broadcast by size off: events are shuffled once for the products, and details are read for one item."""
+    from checks.adapters import AS_OF
+    from fleetlens.plans import consumption
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = consumption.eligible_events(sources.object_events, AS_OF)
+        plan = consumption.match_products(events, sources.catalog)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("CartesianProduct") == 0
+        assert plan.count("Exchange hashpartitioning(_i") + plan.count("Exchange hashpartitioning(lower") <= 4
+        asset = inventory.asset_detail(sources.asset_catalog, sources.object_events, "x", sources.inventory.withColumn("object_type", F.lit("dataset")))._jdf.queryExecution().executedPlan().toString()
+        assert asset.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contracts(spark):
+    from fleetlens.plans.contracts import Contracts
+
+    registry = Contracts({("a", "m", None): ["x", "y"], ("a", "m", "v"): ["y", "z"], ("a", "w", None): []})
+    assert registry.required("a", "m") == ["x", "y"]
+    assert registry.required("a", "n", base=("a", "m"), variant="v") == ["x", "y", "z"]
+    assert registry.required("a", "n", base=("q", "m"), variant="v") is None
+    assert registry.required("a", "w") == [] and registry.required("b", "m") is None
+
+
+def test_gold_run_keeps_watermarks_back(spark):
+    root = new_path(spark, "gold")
+    fact = gold.TableSpec("f", lambda t: spark.sql("SELECT 'a' AS instance_name, TIMESTAMP'2024-01-05 10:00:00' AS ts"), time_column="ts")
+    optional, needed = (gold.TableSpec(n, lambda t: spark.sql("SELECT * FROM no_such_table"), required=r) for n, r in (("o", False), ("r", True)))
+    run = gold.publish(spark, [fact, needed], root)
+    assert not run.committed and set(run.failed) == {"r"} and sinks.read_watermarks(spark, f"{root}/_state") == {}
+    run = gold.publish(spark, [fact, optional], root)
+    assert run.committed and set(run.failed) == {"o"} and sinks.read_watermarks(spark, f"{root}/_state") == {"f": "2024-01-05 10:00:00"}
+
+
 def test_silver_reads(spark):
     base = new_path(spark, "silver")
     assert tables.read_silver(spark, base, "c", "m") is None
