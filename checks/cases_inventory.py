@@ -348,17 +348,15 @@ JOIN (SELECT object_type AS ot, count(DISTINCT login) AS au FROM c_matched GROUP
     ),
     "top_products": (
         lambda s: con.top_products(s.matched, s.catalog),
-        f"""SELECT a.product_id, a.instance_name, a.project_key, a.object_type AS product_type, a.object_key AS product_key,
-  coalesce({_NAME.format(c='c.product_name')}, CASE WHEN a.project_key IS NULL THEN {_NAME.format(c='n.product_name')} END, {blank_null('c.product_name')},
-    CASE WHEN a.project_key IS NULL THEN {blank_null('n.product_name')} END, a.object_key) AS product_name,
-  coalesce({blank_null('c.owner_login')}, CASE WHEN a.project_key IS NULL THEN {blank_null('n.owner_login')} END) AS owner_login,
-  events, active_users, a.last_activity_at
-FROM (SELECT product_id, instance_name, project_key, object_type, object_key, count(*) AS events, count(DISTINCT login) AS active_users, max(timestamp) AS last_activity_at
-  FROM c_matched GROUP BY ALL) a
-LEFT JOIN p_catalog c ON c.instance_name = a.instance_name AND c.product_type = a.object_type AND c.product_key = a.object_key AND c.project_key IS NOT DISTINCT FROM a.project_key
-LEFT JOIN (SELECT instance_name, product_type, product_key, min(product_name) AS product_name, min(owner_login) AS owner_login FROM p_catalog
-  GROUP BY 1, 2, 3 HAVING count(*) = 1) n ON n.instance_name = a.instance_name AND n.product_type = a.object_type AND n.product_key = a.object_key
-ORDER BY events DESC, a.last_activity_at DESC, a.instance_name, a.project_key NULLS LAST, a.object_type, a.object_key LIMIT 50""",
+        f"""SELECT product_id, instance_name, project_key, product_type, product_key, events, active_users, last_activity_at,
+  coalesce({_NAME.format(c='own_name')}, {_NAME.format(c='lent_name')}, {blank_null('own_name')}, {blank_null('lent_name')}, product_key) AS product_name,
+  coalesce({blank_null('own_owner')}, {blank_null('lent_owner')}) AS owner_login
+FROM (SELECT *, {', '.join(
+            f"(SELECT min({c}) FROM p_catalog c WHERE (c.instance_name, c.product_type, c.product_key) = (t.instance_name, t.product_type, t.product_key) AND c.project_key IS NOT DISTINCT FROM t.project_key) AS own_{n}, "
+            f"CASE WHEN project_key IS NULL THEN (SELECT CASE WHEN count(*) = 1 THEN min({c}) END FROM p_catalog c WHERE (c.instance_name, c.product_type, c.product_key) = (t.instance_name, t.product_type, t.product_key)) END AS lent_{n}"
+            for n, c in (('name', 'product_name'), ('owner', 'owner_login')))}
+  FROM (SELECT product_id, instance_name, project_key, object_type AS product_type, object_key AS product_key, count(*) AS events, count(DISTINCT login) AS active_users, max(timestamp) AS last_activity_at
+    FROM c_matched GROUP BY product_id, instance_name, project_key, object_type, object_key QUALIFY row_number() OVER (ORDER BY count(*) DESC, max(timestamp) DESC, instance_name, project_key NULLS LAST, object_type, object_key) <= 50) t) x""",
     ),
     "consumption_facets": (
         lambda s: con.consumption_facets(s.object_events, s.catalog),

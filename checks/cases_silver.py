@@ -532,8 +532,9 @@ FROM audit_flat WHERE timestamp >= TIMESTAMP '2024-01-15' AND event_id % 97 <> 0
         """SELECT DISTINCT 'silver' AS layer, 'event_mapping' AS category, module, instance_name, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day FROM sil""",
     ),
     "latest_partitions": (
-        lambda s: tables.latest_partitions(s.spark.read.parquet(silver_path(s)).select(*SILVER_KEYS, F.col("_metadata.file_path").alias("f")).distinct(), 7, dt.datetime(2024, 1, 25), min_age_days=2, filters={"module": "coding"}).select("module", "instance_name", "partition_date"),
-        """SELECT DISTINCT module, instance_name, d AS partition_date FROM sil WHERE module = 'coding' AND d < DATE '2024-01-23' ORDER BY d DESC, instance_name DESC LIMIT 7""",
+        lambda s: tables.latest_partitions(sinks.partition_files(s.spark, silver_path(s), SILVER_KEYS), 7, dt.datetime(2024, 1, 25), min_age_days=2, filters={"module": "coding"}).select(
+            "module", "instance_name", "partition_date", "file_count", "loose_files", F.size("files").alias("files")),
+        """SELECT DISTINCT module, instance_name, d AS partition_date, 2::BIGINT AS file_count, 2::BIGINT AS loose_files, 2 AS files FROM sil WHERE module = 'coding' AND d < DATE '2024-01-23' ORDER BY d DESC, instance_name DESC LIMIT 7""",
     ),
     "write_single": (single, "SELECT instance_name, license_profile, max_licenses FROM max_latest"),
     "write_fact_partitions": (

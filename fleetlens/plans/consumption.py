@@ -287,13 +287,12 @@ def top_products(matched: DataFrame, catalog: DataFrame, limit: int = 50) -> Dat
     )
     order = [F.col("events").desc(), F.col("last_activity_at").desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in OBJECT_KEYS]]
     top = top_n(used, order, limit)
-    # Names are looked up for the ranked rows only. The ranking is at most ``limit``
-    # rows, so it can be broadcast to cut the catalogue down before the joins.
+    # Names are looked up for the ranked rows only: the catalogue is cut down before the joins.
     keys = ["instance_name", "object_type", "object_key"]
     renamed = catalog.withColumnsRenamed({"product_type": "object_type", "product_key": "object_key"}).select(
         *OBJECT_KEYS, F.col("product_name").alias("_name"), F.col("owner_login").alias("_owner")
     )
-    near = renamed.join(F.broadcast(top.select(*keys).distinct()), keys, "left_semi")
+    near = renamed.join(top.select(*keys).distinct(), keys, "left_semi")
     single = (
         near.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_name1"), F.min("_owner").alias("_owner1"))

@@ -201,6 +201,17 @@ def _index(spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, T
     return out
 
 
+def skipped_types(spark: SparkSession, assets: dict[str, DataFrame], products: dict[str, DataFrame], types: Sequence[str] = tuple(PRODUCT_TYPES)) -> DataFrame:
+    """Types that the indexes leave out, so that a caller can tell an incomplete catalogue: kind, type, source, reason."""
+    rows = []
+    for prefix, tables, specs in (("object", assets, ASSET_TYPES), ("product", products, {t: PRODUCT_SPECS[t] for t in types})):
+        for kind, spec in specs.items():
+            df = tables.get(spec.source)
+            if df is None or _missing(df, spec):
+                rows.append((prefix, kind, spec.source, "absent" if df is None else f"lacks {', '.join(_missing(df, spec))}"))
+    return spark.createDataFrame(rows, "kind string, type string, source string, reason string")
+
+
 def asset_index(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """One row per asset over all typed inventories (independent of activity)."""
     return _index(spark, tables, ASSET_TYPES, "object", {})

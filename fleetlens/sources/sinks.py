@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import as_timestamp, day_floor
-from fleetlens.sources.tables import partition_day
+from fleetlens.sources.tables import latest_partitions, partition_day
 
 FACT_PARTITIONS = ["instance_name", "p_year", "p_month", "p_day"]
 MAX_ROWS_PER_FILE = 100_000  # fixed value: output chunk of a compacted partition
@@ -175,12 +175,8 @@ def compact_partitions(
     """
     if age_days < 1:
         raise ValueError("age_days must be at least 1")
-    cutoff = F.lit(day_floor(as_of) - dt.timedelta(days=age_days))
-    files = partition_files(spark, path, keys).withColumn("partition_date", partition_day())
-    per = files.groupBy(*keys, "partition_date").agg(F.collect_list("file").alias("files"), F.count_if(~F.col("compacted")).alias("loose"))
-    per = per.filter((F.col("partition_date") < cutoff) & (F.col("loose") > 0) & (F.size("files") > 1))
-    per = per.orderBy(F.col("partition_date").desc(), *keys)
-    chosen = (per.limit(newest) if newest else per).collect()  # file names of the partitions of this run
+    found = latest_partitions(partition_files(spark, path, keys), None, as_of, min_age_days=age_days, keys=keys).filter("file_count > 1")
+    chosen = (found.limit(newest) if newest else found).collect()  # file names of the partitions of this run
     if not chosen:
         return spark.createDataFrame([], OUTCOME)
     folder = {tuple(r[k] for k in keys): r.files[0].rsplit("/", 1)[0] for r in chosen}

@@ -72,19 +72,25 @@ def partition_index(paths: DataFrame, column: str = "path") -> DataFrame:
     return out.filter("layer IS NOT NULL AND category IS NOT NULL AND module IS NOT NULL").distinct()
 
 
-def latest_partitions(files: DataFrame, n: int, as_of, *, min_age_days: int = 0, filters: dict[str, str] | None = None) -> DataFrame:
-    """Files of the newest ``n`` partitions that are old enough, with counts per partition.
+def latest_partitions(files: DataFrame, n: int | None, as_of, *, min_age_days: int = 0, filters: dict[str, str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The newest ``n`` partitions (all with None) that are old enough and have something to compact.
 
-    ``files`` has one row per file with the partition columns.
+    ``files`` has one row per file: the partition columns, ``file`` and, where known,
+    ``compacted``. Each partition comes with its files, their number and how many of them are
+    not compacted yet; partitions whose files are all compacted are left out.
     """
-    if n <= 0:
+    if n is not None and n <= 0:
         raise ValueError("n must be positive")
     rows = files
     for name, value in (filters or {}).items():
         rows = rows.filter(F.col(name) == value)
     cutoff = F.lit(day_floor(as_of) - dt.timedelta(days=min_age_days))
-    keys = ["category", "module", "instance_name", "year", "month", "day"]
+    keys = keys or ["category", "module", "instance_name", "year", "month", "day"]
     eligible = rows.withColumn("partition_date", partition_day()).filter(F.col("partition_date") < cutoff)
-    counted = eligible.groupBy(*keys, "partition_date").agg(F.count(F.lit(1)).alias("file_count"))
-    order = [F.col("partition_date").desc(), *[F.col(k).desc() for k in keys[:3]]]
-    return counted.orderBy(*order).limit(n)
+    loose = ~F.col("compacted") if "compacted" in files.columns else F.lit(True)
+    counted = eligible.groupBy(*keys, "partition_date").agg(
+        F.count(F.lit(1)).alias("file_count"), F.count_if(loose).alias("loose_files"), F.array_sort(F.collect_list("file")).alias("files")
+    )
+    order = [F.col("partition_date").desc(), *[F.col(k).desc() for k in keys]]
+    ranked = counted.filter("loose_files > 0").orderBy(*order)
+    return ranked if n is None else ranked.limit(n)

@@ -271,6 +271,12 @@ def test_plans_with_large_sides(spark, sources):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_skipped_types_are_named(spark, sources):
+    found = {(r.type, r.reason) for r in inventory.skipped_types(spark, sources.asset_tables, sources.product_tables).collect()}
+    assert ("knowledge_bank", "absent") in found and ("managed_folder", "lacks managed_folders_params_connection, managed_folders_type") in found
+    assert "dataset" not in {t for t, _ in found} and len(found) == 6
+
+
 def test_contracts(spark):
     from fleetlens.plans.contracts import Contracts
 
