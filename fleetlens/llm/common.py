@@ -114,6 +114,13 @@ def stretch_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` values from each place on."""
+    out = sums[width:] - sums[:-width]
+    out *= _powers(len(sums))[1][: len(out)]
+    return mix(out)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Bijective finaliser that spreads every input bit."""
     x = x ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import bound_batches, prefix_sums, ranges, stored, stretch_hash, utf8
+from fleetlens.llm.common import bound_batches, gram_hashes, prefix_sums, ranges, stored, stretch_hash, utf8
 from fleetlens.llm.suffixes import suffix_array
 
 LEAST = 200
@@ -53,25 +53,18 @@ def anchored_pieces(column: pa.Array, least: int, gram: int) -> tuple[np.ndarray
     if not windows.sum():
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums = prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = stretch_hash(sums, at, at + gram)
-    lows = sliding_least(grams, least - gram + 1)
+    grams = gram_hashes(sums, gram)
+    # A gram's leading bits with its place behind them: the least of them is the leftmost smallest.
+    mask = np.uint64((1 << max(22, len(grams).bit_length())) - 1)
+    placed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     starts = ranges(bounds[:-1], windows)
-    low = lows[starts]
+    place = (sliding_least(placed, least - gram + 1) & mask).view(np.int64)[starts]
     breaks = np.ones(len(starts) + 1, bool)
-    # Another value, another row, or the anchor was the first gram of the window before.
-    breaks[1:-1] = (low[1:] != low[:-1]) | (np.diff(starts) != 1) | (grams[starts[:-1]] == low[:-1])
+    breaks[1:-1] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     edges = np.flatnonzero(breaks)
-    first, many, anchor = starts[edges[:-1]], np.diff(edges), low[edges[:-1]]
-    # The anchor's place: its leftmost occurrence in the first window.
-    hits = np.flatnonzero(np.isin(grams, anchor))
-    place = np.searchsorted(hits, first)
-    waiting = np.flatnonzero(grams[hits[np.minimum(place, len(hits) - 1)]] != anchor)
-    while len(waiting):
-        place[waiting] += 1
-        waiting = waiting[grams[hits[place[waiting]]] != anchor[waiting]]
+    first, many, place = starts[edges[:-1]], np.diff(edges), place[edges[:-1]]
     row = np.searchsorted(bounds, first, side="right") - 1
-    return row, first - bounds[row], many, hits[place] - first, anchor, stretch_hash(sums, first, first + many - 1 + least)
+    return row, first - bounds[row], many, place - first, grams[place], stretch_hash(sums, first, first + many - 1 + least)
 
 
 def repeated_windows(contents: list[bytes], weights: list[int], least: int = LEAST) -> list[np.ndarray]:
@@ -98,7 +91,7 @@ def repeated_windows(contents: list[bytes], weights: list[int], least: int = LEA
         inside = ranges(low, size)
         longer = back[inside]
         owner = np.repeat(np.arange(len(size)), size)
-        by = np.argsort(longer, kind="stable")
+        by = np.argsort(longer)
         longer, owner = longer[by], owner[by]
         fresh = np.ones(len(longer) + 1, bool)
         fresh[1:-1] = (np.diff(longer) != 1) | (np.diff(owner) != 0) | (np.diff(bwt[inside[by]].astype(np.int32)) != 0)
@@ -130,8 +123,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterato
 
 def _contents(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted pieces; pieces of hot anchors as one part per block of windows."""
-    names = ("anchor", "part", "digest", "many", "offset", "content")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary())
+    names = ("anchor", "part", "digest", "many", "offset", "lead", "content")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
     for batch in batches:
         rows: list[tuple] = []
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
@@ -139,7 +132,7 @@ def _contents(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Itera
             for w in wanted:
                 content = text[w["start"] : w["start"] + w["windows"] - 1 + least]
                 if not w["hot"]:
-                    rows.append((w["anchor"], 0, w["digest"], w["many"], 0, content))
+                    rows.append((w["anchor"], 0, w["digest"], w["many"], 0, w["lead"], content))
                     continue
                 # Places of windows count from the first window that can have the anchor.
                 first, at = least - gram - w["lead"], 0
@@ -148,41 +141,77 @@ def _contents(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Itera
                     end = min(w["windows"], (block + 1) * HOT_BLOCK - first)
                     core = content[(block + 1) * HOT_BLOCK - 1 - first : block * HOT_BLOCK - first + least]
                     part = int.from_bytes(core, "big") % CORE_PRIME * 16 + block + 1
-                    rows.append((w["anchor"], part, w["digest"], w["many"], at, content[at : end - 1 + least]))
+                    rows.append((w["anchor"], part, w["digest"], w["many"], at, -1, content[at : end - 1 + least]))
                     at = end
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], list(names))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], list(names))
 
 
-def _expanded(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _candidates(group: dict[bytes, list], least: int, gram: int) -> Iterator[tuple[bytes, list]]:
+    """Contents of one anchor that can share a window with another one.
+
+    A window has at least half of its bytes beside the anchor on one side of it, so contents
+    that share a window agree on those bytes to the left or on those to the right. Nothing is
+    asked of pieces that occur more than once: all their windows are repeated.
+    """
+    half = (least - gram) // 2
+    sides: dict[tuple[int, bytes], list] = {}
+    keys = {}
+    for content, (weight, lead, owners) in group.items():
+        if lead < 0:  # a part whose contents agree already
+            own = [(2, b"")]
+        else:
+            own = [(side, part) for side, part in ((0, content[lead - half : lead + gram] if lead >= half else b""), (1, content[lead : lead + gram + half])) if len(part) == gram + half]
+        keys[content] = own
+        for key in own:
+            entry = sides.setdefault(key, [0, False])
+            entry[0] += weight
+            entry[1] |= any(many == 1 for _, many, _ in owners)
+    for content, own in keys.items():
+        if any(sides[key][0] > 1 and sides[key][1] for key in own):
+            yield content, group[content]
+
+
+def _expanded(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(anchor, digest, from, to): stretches of repeated windows in pieces that occur once."""
-    held: dict[tuple, list] = {}  # (key, content) -> weight and the pieces that have it
+    held: list[tuple[int, bytes, list]] = []  # anchor, content, what has it
+    group: dict[bytes, list] = {}  # content -> weight, place of the anchor, (digest, copies, offset)
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
         out: list[tuple[int, int, int, int]] = []
-        weights = [w for w, _ in held.values()]
-        found = repeated_windows([content for _, content in held], weights, least) if held else []
-        for (key, _), (_, owners), repeated in zip(held, held.values(), found):
+        found = repeated_windows([c for _, c, _ in held], [e[0] for _, _, e in held], least) if held else []
+        for (anchor, _, (_, _, owners)), repeated in zip(held, found):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]]))).reshape(-1, 2).tolist()
             for digest, many, offset in owners:
                 if many == 1:
-                    out += [(key[0], digest, offset + a, offset + b) for a, b in edges]
+                    out += [(anchor, digest, offset + a, offset + b) for a, b in edges]
         held.clear()
         kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["anchor", "digest", "first", "last"])
 
+    def close() -> int:
+        added = 0
+        for content, entry in _candidates(group, least, gram):
+            held.append((last[0], content, entry))
+            added += len(content)
+        group.clear()
+        return added
+
     for batch in batches:
-        for anchor, part, digest, many, offset, content in zip(*(c.to_pylist() for c in batch.columns)):
-            if (anchor, part) != last and size >= BATCH:
-                yield flush()
-                size = 0
-            last = (anchor, part)
-            entry = held.setdefault((last, content), [0, []])
-            if not entry[1]:
-                size += len(content)
-            if (digest, many, offset) not in entry[1]:
+        for anchor, part, digest, many, offset, lead, content in zip(*(c.to_pylist() for c in batch.columns)):
+            if (anchor, part) != last:
+                if group:
+                    size += close()
+                if size >= BATCH:
+                    yield flush()
+                    size = 0
+                last = (anchor, part)
+            entry = group.setdefault(content, [0, lead, []])
+            if (digest, many, offset) not in entry[2]:
                 entry[0] += many
-                entry[1].append((digest, many, offset))
+                entry[2].append((digest, many, offset))
+    if group:
+        close()
     yield flush()
 
 
@@ -221,7 +250,8 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -
     pieces = rows.mapInArrow(
         partial(_pieces, least=least, gram=gram), f"doc_id {kind}, h long, start int, windows short, lead short, anchor long, digest long"
     )
-    anchors = pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Stored, so that the join reads two shuffles of its own and a hot anchor can be split.
+    anchors = stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     shared = stored(pieces.join(anchors, "anchor", "left_semi"), "repeated-anchors")
 
     source = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "start", "windows", "lead")).alias("s")
@@ -234,10 +264,10 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -
     wanted = wanted.groupBy("_doc", "_h").agg(F.collect_list("w").alias("wanted"))
     sources = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["h"] == wanted["_h"])).select("text", "wanted")
     contents = sources.mapInArrow(
-        partial(_contents, least=least, gram=gram), "anchor long, part long, digest long, many long, offset short, content binary"
+        partial(_contents, least=least, gram=gram), "anchor long, part long, digest long, many long, offset short, lead short, content binary"
     )
     grouped = contents.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
-    expanded = grouped.mapInArrow(partial(_expanded, least=least), "anchor long, digest long, first short, last short")
+    expanded = grouped.mapInArrow(partial(_expanded, least=least, gram=gram), "anchor long, digest long, first short, last short")
     whole = distinct.filter("many > 1").select("anchor", "digest", F.lit(0).cast("short").alias("first"), F.col("s.windows").alias("last"))
     found = stored(expanded.unionByName(whole), "repeated-windows")
 

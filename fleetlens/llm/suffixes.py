@@ -11,7 +11,7 @@ def suffix_array(keys: np.ndarray, width: int = 1) -> np.ndarray:
     Ranks double the length they look at; only suffixes not yet alone in their rank are sorted again.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     fresh = np.empty(n, bool)
     fresh[:1] = True
     fresh[1:] = keys[order[1:]] != keys[order[:-1]]
@@ -23,7 +23,7 @@ def suffix_array(keys: np.ndarray, width: int = 1) -> np.ndarray:
     while len(open_):
         after = rank[np.minimum(open_ + width, n)] + 1
         key = rank[open_] * (n + 2) + after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         open_, key = open_[by], key[by]
         at = np.arange(len(open_))
         class_ = rank[open_]
