@@ -178,29 +178,28 @@ def bounded(s: Sources) -> DataFrame:
 COMPACT_AS_OF = dt.datetime(2024, 1, 20)
 
 
-def compaction_runs(s: Sources) -> tuple[str, list[DataFrame]]:
-    """A first run, a late file in an old partition and a run for it, and a run with nothing to do."""
-    path, runs = new_path(s.spark, "compact"), []
-    write_silver(s, path)
-    for mode in ("first", "late", "idle"):
-        if mode == "late":
-            late = s.spark.read.parquet(path).filter("day = '05' AND instance_name = '007' AND module = 'coding'")
-            late.withColumn("event_id", -F.col("event_id")).write.mode("append").partitionBy(*SILVER_KEYS).parquet(path)
-        runs.append(sinks.compact_partitions(s.spark, path, new_path(s.spark, "staging"), SILVER_KEYS, COMPACT_AS_OF, 1))
-    return path, runs
+def compaction_runs(s: Sources) -> str:
+    """A first run, a late file in an old partition and a run for it, and a run with nothing to do; once per session."""
+
+    def write(root: str) -> None:
+        path = f"{root}/table"
+        write_silver(s, path)
+        for number, mode in enumerate(("first", "late", "idle")):
+            if mode == "late":
+                late = s.spark.read.parquet(path).filter("day = '05' AND instance_name = '007' AND module = 'coding'")
+                late.withColumn("event_id", -F.col("event_id")).write.mode("append").partitionBy(*SILVER_KEYS).parquet(path)
+            run = sinks.compact_partitions(s.spark, path, f"{root}/staging/{number}", SILVER_KEYS, COMPACT_AS_OF, 1)
+            sinks.compaction_summary(run).drop("files_written").withColumn("run", F.lit(number)).write.mode("append").parquet(f"{root}/runs")
+
+    return stored_path(s, "compaction", write)
 
 
 def compacted(s: Sources) -> DataFrame:
-    path, _ = compaction_runs(s)
-    return s.spark.read.parquet(path).groupBy("module", "instance_name", "year", "month", "day").agg(F.count("*").alias("n"))
+    return s.spark.read.parquet(f"{compaction_runs(s)}/table").groupBy("module", "instance_name", "year", "month", "day").agg(F.count("*").alias("n"))
 
 
 def compaction_outcome(s: Sources) -> DataFrame:
-    out = None
-    for number, run in enumerate(compaction_runs(s)[1]):
-        row = sinks.compaction_summary(run).drop("files_written").withColumn("run", F.lit(number))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return s.spark.read.parquet(f"{compaction_runs(s)}/runs")
 
 
 def observed(s: Sources) -> DataFrame:
