@@ -14,7 +14,6 @@ block is broadcast or held.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial

@@ -116,17 +116,22 @@ def fingerprints(documents: DataFrame, prime: int, huge: int = HUGE, chunk: int
     rows = documents.filter(size > huge).select("doc_id", folded(F.col("text")).alias("data"))
     # Equal rows give equal chunks twice; they are told apart by their number among equals.
     rows = rows.withColumn("sha", F.sha2("data", 256)).withColumn("n_bytes", F.octet_length("data").cast("long"))
-    parts = rows.select("doc_id", "sha", "n_bytes", F.explode(_chunks(F.col("data"), chunk)).alias("c")).select("doc_id", "sha", "n_bytes", "c.at", "c.part")
+    parts = rows.select("doc_id", "sha", "n_bytes", F.explode(_chunks(F.col("data"), chunk)).alias("c"))
+    parts = parts.select("doc_id", "sha", "n_bytes", "c.at", "c.part")
     parts = parts.repartition("sha", "at").withColumn("fp", _chunk_prints(prime)(F.col("part")))
-    joined = parts.groupBy("doc_id", "sha", "n_bytes", "at").agg(F.min("fp").alias("fp"), F.min(F.octet_length("part")).alias("size"), F.count("*").alias("copies"))
-    joined = joined.groupBy("doc_id", "sha", "n_bytes").agg(F.collect_list(F.struct("at", "fp", "size")).alias("all"), F.max("copies").cast("int").alias("copies"))
+    size_ = F.min(F.octet_length("part")).alias("size")
+    joined = parts.groupBy("doc_id", "sha", "n_bytes", "at").agg(F.min("fp").alias("fp"), size_, F.count("*").alias("copies"))
+    chunks = F.collect_list(F.struct("at", "fp", "size")).alias("all")
+    joined = joined.groupBy("doc_id", "sha", "n_bytes").agg(chunks, F.max("copies").cast("int").alias("copies"))
     large = joined.withColumn("fp", _combined(prime)(F.col("all"))).select("doc_id", "fp", "n_bytes", "sha", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_"))
     return whole.unionByName(large.drop("_"))
 
 
 def _mixed(documents: DataFrame, prints: DataFrame, prime: int, chunk: int) -> DataFrame:
     """(fp, n_bytes) of fingerprints that cover different texts, found by comparing chunks."""
-    shared = prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("fp", "n_bytes")
+    # Group tables are stored before they are joined: then both sides of the join are plain
+    # shuffles, and Spark can split a key that many rows share.
+    shared = stored(prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("fp", "n_bytes"), "shared-fingerprints")
     ids = prints.join(shared, ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes", "sha").distinct()
     rows = documents.select(F.col("doc_id").alias("_id"), folded(F.col("text")).alias("data")).withColumn("_sha", F.sha2("data", 256))
     members = rows.join(ids, rows["_id"].eqNullSafe(ids["doc_id"]) & (rows["_sha"] == ids["sha"]))
@@ -152,7 +157,7 @@ def classes(documents: DataFrame, prime: int | None = None, huge: int = HUGE, ch
     # Rows that repeat doc_id and text are numbered, so that one of them stays.
     copy = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy("doc_id"))
     split = stored(split.withColumn("_copy", copy), "fingerprint-classes")
-    groups = split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "text-groups")
     return split.join(groups, keys).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -234,7 +234,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     sketched = stored(sketched, "order-sketches")
 
     members = sketched.select("node", F.explode("keys").alias("key")).distinct()
-    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    # Tables of groups are stored before they are joined: then both sides of the join are plain
+    # shuffles, and Spark can split a key that many rows share.
+    ends = stored(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"), "bucket-ends")
     shared = stored(members.join(ends, "key"), "sketch-buckets")
     pairs = shared.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
     pairs = pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
@@ -249,13 +251,16 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     links = stored(_with_sequences(pairs, sequences).mapInArrow(partial(_verified, threshold=threshold), "a binary, b binary"), "near-links")
     roots = components(links)
     more = _links_across(shared, roots, sequences, threshold)
-    roots = components(links.unionByName(more))
+    if not more.isEmpty():
+        # The stars found so far stand for the links behind them.
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # Rows that repeat doc_id and words are numbered, so that one of them stays.
     copy = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("n"))
     placed = _rooted(sketched.select("doc_id", "node", "n").withColumn("_copy", copy), roots)
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    groups = placed.groupBy("root").agg(F.min(one).alias("one"), F.count("*").alias("class_size"))
+    placed = stored(placed, "placed-documents")
+    groups = stored(placed.groupBy("root").agg(F.min(one).alias("one"), F.count("*").alias("class_size")), "near-classes")
     each = placed.join(groups, "root")
     kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("node") == F.col("one.node")) & (F.col("_copy") == 1)
     return each.select("doc_id", F.col("one.doc_id").alias("class_id"), "class_size", F.col("n").alias("n_shingles"), kept.alias("kept"), F.col("node").alias("_node"))
@@ -265,6 +270,7 @@ def _links_across(shared: DataFrame, roots: DataFrame, sequences: DataFrame, thr
     """Links between components that meet in a bucket."""
     rooted = _rooted(shared.select("key", "node"), roots)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("many")).filter("x <> y")
+    mixed = stored(mixed, "mixed-buckets")
     blocks = F.ceil(F.col("many") / BLOCK_NODES).cast("int")
     members = rooted.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

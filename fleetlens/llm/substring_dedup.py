@@ -256,7 +256,7 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -
 
     source = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "start", "windows", "lead")).alias("s")
     distinct = stored(shared.groupBy("anchor", "digest").agg(source, F.count("*").alias("many")), "distinct-pieces")
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents")).filter("contents > 1")
+    per_anchor = stored(distinct.groupBy("anchor").agg(F.count("*").alias("contents")).filter("contents > 1"), "contents-per-anchor")
     wanted = distinct.join(per_anchor, "anchor").select(
         F.col("s.doc_id").alias("_doc"), F.col("s.h").alias("_h"),
         F.struct("anchor", "digest", "many", "s.start", "s.windows", "s.lead", (F.col("contents") > HOT_PIECES).alias("hot")).alias("w"),

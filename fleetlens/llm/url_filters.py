@@ -114,9 +114,11 @@ def match_rules(pages: DataFrame, rules: DataFrame, parts: int | None = None, de
     clean = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     clean = clean.withColumn("key", host_key(F.col("host"))).withColumn("rule", F.concat("host", "path"))
     spread = clean.mapInArrow(partial(_rule_ranges, cuts=cuts), _with_part(clean))
-    events = ranged.select("part", "key", "salt", F.lit(True).alias("is_page"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).unionByName(
-        spread.select("part", "key", F.lit(-1).cast("long").alias("salt"), F.lit(False).alias("is_page"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "host", "path", "rule", "verdict")
-    )
+    nothing = F.lit(None).cast("string")
+    visits = ranged.withColumns({"is_page": F.lit(True), "rule": nothing, "verdict": nothing})
+    no_page = F.lit(None).cast(pages.schema["page_id"].dataType)
+    starts = spread.withColumns({"is_page": F.lit(False), "page_id": no_page, "salt": F.lit(-1).cast("long")})
+    events = visits.unionByName(starts)
     ordered = events.repartition(parts, "part").sortWithinPartitions("part", "key", "is_page", "salt")
     return ordered.mapInArrow(partial(_sweep, default=default), _swept_schema(pages))
 
