@@ -150,13 +150,13 @@ def classes(documents: DataFrame, prime: int | None = None, huge: int = HUGE, ch
     """
     bound_batches(documents.sparkSession)
     prime = prime or modulus()
-    prints = stored(fingerprints(documents, prime, huge, chunk), "fingerprints")
+    # Rows that repeat doc_id and text are numbered, so that one of them stays.
+    copy = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("fp"))
+    prints = stored(fingerprints(documents, prime, huge, chunk).withColumn("_copy", copy), "fingerprints")
     mixed = _mixed(documents, prints, prime, chunk).withColumn("mixed", F.lit(True))
     split = prints.join(mixed, ["fp", "n_bytes"], "left").withColumn("split", F.when(F.col("mixed"), F.col("sha")).otherwise(F.lit(""))).drop("mixed")
     keys = ["fp", "n_bytes", "split"]
-    # Rows that repeat doc_id and text are numbered, so that one of them stays.
-    copy = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy("doc_id"))
-    split = stored(split.withColumn("_copy", copy), "fingerprint-classes")
+    split = stored(split, "fingerprint-classes")
     groups = stored(split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "text-groups")
     return split.join(groups, keys).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
