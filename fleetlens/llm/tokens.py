@@ -13,7 +13,7 @@ from functools import cache
 
 from tokenizers import Tokenizer
 
-CACHED = 200_000
+CACHED = 300_000
 LONGEST = 64
 _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
