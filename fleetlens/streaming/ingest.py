@@ -64,10 +64,18 @@ def read_batches(batch: DataFrame, path: str) -> DataFrame:
 
 
 def _on_days(stored: DataFrame, touched: DataFrame) -> DataFrame:
-    """Stored rows of the touched days: the days prune partitions, the join keeps the exact keys."""
-    days = [tuple(r) for r in touched.select("p_year", "p_month", "p_day").distinct().collect()]  # days of one batch
-    wanted = F.concat_ws("-", "p_year", "p_month", "p_day").isin(["-".join(d) for d in days])
-    return stored.filter(wanted).join(touched, FACT_PARTITIONS, "left_semi")
+    """Stored rows of the touched days: the days prune partitions, the join keeps the exact keys.
+
+    A missing instance or time is a key like any other. A partition cannot tell an empty
+    instance from a missing one, so the two are one key.
+    """
+    days = [tuple(r) for r in touched.select(*FACT_PARTITIONS[1:]).distinct().collect()]  # days of one batch
+    wanted = F.concat_ws("-", *FACT_PARTITIONS[1:]).isin(["-".join(d) for d in days if None not in d])
+    if any(None in d for d in days):
+        wanted = wanted | F.col("p_year").isNull()
+    keys = touched.select(*[F.nullif(c, F.lit("")).alias(f"_{c}") for c in FACT_PARTITIONS]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FACT_PARTITIONS]
+    return stored.filter(wanted).join(keys, reduce(lambda x, y: x & y, same), "left_semi")
 
 
 def late_data_writer(
@@ -76,12 +84,13 @@ def late_data_writer(
     """Micro-batch writer: append to silver, then rebuild every touched (instance, day).
 
     Rebuilt days are overwritten whole and depend only on what silver holds, so rows of any
-    age count, in any order and any batch size.
+    age count, in any order and any batch size. Rows without a time are stored and belong to
+    no day of the fact; rows without an instance are built like those of any other.
     """
     make = build or (lambda rows: user_activity_daily(user_activity_hourly(rows)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        touched = append_batch(batch, batch_id, silver)
+        touched = append_batch(batch, batch_id, silver).filter("p_year IS NOT NULL")
         days = make(_on_days(read_batches(batch, silver), touched).drop("batch_id"))
         out = with_fact_partitions(days, time_column).hint("rebalance", *FACT_PARTITIONS)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FACT_PARTITIONS).parquet(fact)
@@ -98,7 +107,8 @@ def dedupe_writer(store: str, keys: list[str]) -> Callable[[DataFrame, int], Non
     """Micro-batch writer that keeps the first delivery of every event, however late a copy comes.
 
     A repeated delivery carries the event's own time, so its earlier copy is on the same day:
-    new rows are compared with the stored keys of the days they touch.
+    new rows are compared with the stored keys of the days they touch. Events without a time
+    are compared with the stored ones that have none.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
