@@ -2,9 +2,12 @@
 
 A text is the sequence of its five-word shingles, each labelled with how often it occurred
 before. A sketch takes the ``DRAWN`` smallest labelled shingles under a seeded hash and keeps
-them in text order, so it meets for texts that share shingles in the same order. Texts with a
-sketch in common are candidates and are verified by aligning their shingle sequences inside the
-band the threshold allows: similarity is aligned shingles over all shingles, 0.8 or more.
+them in text order, so it meets for texts that share shingles in the same order. Texts of at most
+``SHORT`` shingles have exact keys in place of sketches: every choice of ``DRAWN`` among so many
+of their smallest labels that near texts have a choice in common. Longer texts that can be near
+such a text have both. Texts with a key in common are candidates and are verified by aligning
+their shingle sequences inside the band the threshold allows: similarity is aligned shingles over
+all shingles, 0.8 or more.
 
 Equal sequences are one node. In each sketch bucket every node is first verified against the two
 ends of the bucket, and links contract to components. Buckets that then still hold several
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES = 16
 DRAWN = 3
+SHORT = 12
 BLOCK_NODES = 1000
 
 
@@ -88,6 +93,38 @@ def sketches(labels: np.ndarray, counts: np.ndarray, many: int = SKETCHES, drawn
     return out
 
 
+def longest_partner(threshold: float, short: int = SHORT) -> int:
+    """Most shingles of a text that can be near one of ``short``."""
+    return int(short / threshold + 1e-9)
+
+
+def exact_keys(labels: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD, drawn: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): rows of few shingles that can be near each other have a key in common.
+
+    Near texts share at least ``least`` labels, the threshold's part of the longer one. The
+    ``drawn`` smallest of these have ``least - drawn`` shared labels above them, so both texts
+    have them among their n - least + drawn smallest. Labels are taken without their order,
+    which an alignment keeps for shingles and not for the numbers of equal ones.
+    """
+    heads = np.cumsum(counts) - counts
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    least = lambda n: int(np.ceil(n * threshold - 1e-9))
+    for n in range(1, longest_partner(threshold) + 1):
+        own = np.flatnonzero(counts == n)
+        if not len(own):
+            continue
+        smallest = np.sort(labels[heads[own][:, None] + np.arange(n)], axis=1)
+        # A shorter text may share fewer labels than are drawn.
+        for size in range(min(drawn, least(least(n))), min(drawn, least(n)) + 1):
+            for chosen in combinations(range(n - least(n) + size), size):
+                key = np.full(len(own), size, np.uint64)
+                for place in chosen:
+                    key = mix(key ^ smallest[:, place], 0x51ED270B)
+                rows.append(own)
+                keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """128-bit digest of each row's shingle sequence."""
     heads = np.append(0, np.cumsum(counts))
@@ -95,15 +132,20 @@ def _digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [d.tobytes() for d in np.stack([stretch_hash(s, heads[:-1], heads[1:]) for s in sums], 1)]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], width: int, many: int, drawn: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], width: int, many: int, drawn: int, threshold: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, counts = shingles(batch.column("text"), width)
-        keys = sketches(labelled(hashes, counts), counts, many, drawn).view(np.int64)
-        bounds = np.append(0, np.cumsum(np.where(counts > 0, many, 0))).astype(np.int32)
+        labels = labelled(hashes, counts)
+        rows, keys = exact_keys(labels, counts, threshold, drawn)
+        long = counts > SHORT
+        drawings = sketches(labels[np.repeat(long, counts)], counts[long], many, drawn)
+        rows = np.concatenate([rows, np.repeat(np.flatnonzero(long), many)])
+        keys = np.concatenate([keys, drawings.ravel()])[np.argsort(rows, kind="stable")].view(np.int64)
+        bounds = np.append(0, np.cumsum(np.bincount(rows, minlength=len(counts)))).astype(np.int32)
         out = batch.select(["doc_id"])
         out = out.append_column("node", pa.array(_digests(hashes, counts), pa.binary()))
         out = out.append_column("n", pa.array(counts, pa.int64()))
-        yield out.append_column("keys", pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel())))
+        yield out.append_column("keys", pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)))
 
 
 def least_aligned(n: int, m: int, threshold: float) -> int:
@@ -230,7 +272,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     bound_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketched = rows.mapInArrow(partial(_sketched, width=width, many=many, drawn=drawn), f"doc_id {kind}, node binary, n long, keys array<long>")
+    sketched = rows.mapInArrow(partial(_sketched, width=width, many=many, drawn=drawn, threshold=threshold), f"doc_id {kind}, node binary, n long, keys array<long>")
     sketched = stored(sketched, "order-sketches")
 
     members = sketched.select("node", F.explode("keys").alias("key")).distinct()
