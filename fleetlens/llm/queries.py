@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts, url_filters
+from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, sharding, spelling, substring_dedup, token_counts, url_filters
 from fleetlens.llm.common import table
 
 SHARDS = 16
@@ -56,6 +56,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op13_gram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree_sharding": op1_hash_tree_sharding,
     "op2_interval_substring_dedup": op2_interval_substring_dedup,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_polynomial_exact_dedup": op9_polynomial_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_gram_spelling_variants": op13_gram_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
