@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import bound_batches, ranges, stored
 from fleetlens.llm.components import components
 
-SAMPLE = 65_536  # vectors the index is fitted on, at most
-SAMPLE_BYTES = 64 << 20  # and their size as doubles, which bounds what the driver holds for any dimension
+SAMPLE = 32_768  # vectors the index is fitted on, at most
+SAMPLE_BYTES = 32 << 20  # and their size as doubles, which bounds what the driver holds for any dimension
 LISTS = 4096
 CODES = 256
 SUBSPACE = 8  # components of a residual that share one code
@@ -50,8 +50,7 @@ class Index:
         random = np.random.default_rng(12)
         lists = min(LISTS, 1 << max(0, math.ceil(math.log2(4 * math.sqrt(total) + 1))), max(1, n // 16))
         self.lists = _means(sample, lists, rounds, random, unit=True)
-        own = np.argmax(sample @ self.lists.T, axis=1)
-        residual = sample - self.lists[own]
+        residual = sample - self.lists[_nearest(sample, self.lists)]
         self.cuts = [(i, min(i + SUBSPACE, self.width)) for i in range(0, self.width, SUBSPACE)]
         self.books = [_means(residual[:, a:b], min(CODES, n), rounds, random) for a, b in self.cuts]
 
@@ -74,11 +73,19 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
 
 
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre nearest to each row, some rows at a time."""
+    own = np.empty(len(rows), np.int64)
+    for start in range(0, len(rows), 1024):
+        own[start : start + 1024] = _squares(rows[start : start + 1024], centres).argmin(axis=1)
+    return own
+
+
 def _means(rows: np.ndarray, k: int, rounds: int, random: np.random.Generator, unit: bool = False) -> np.ndarray:
     """k-means; a centre without rows takes a random row."""
     centres = rows[random.choice(len(rows), k, replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([_squares(part, centres).argmin(axis=1) for part in np.array_split(rows, max(1, len(rows) // 4096))])
+        own = _nearest(rows, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)
         size = np.bincount(own, minlength=k)
