@@ -11,9 +11,10 @@ its last own one, so both sides of every merge join lie in one row and nothing i
 Words are numbers, 64-bit hashes that the word counts prove to be different for different words (if two
 ever agree, the corpus is read again with another seed).
 
-The semi-join looks groups up in a bit table of at most ``MOST_BITS`` bits, which is all that is broadcast.
-Where the table lets a rare group pass, the exact count after it removes the group again: a phrase is never
-more frequent than its parts, so results do not depend on the size of the table.
+Groups are counted twice. First by a part of their hash, in compact form, which gives a bit table of at most
+``MOST_BITS`` bits; it is all that is broadcast. Then exactly, for the groups that the table lets pass. The same
+table is the semi-join. Where it lets a rare group pass, the exact count removes the group again, and a phrase
+is never more frequent than its parts, so results do not depend on the size of the table.
 
 Defined results: a null text is empty, a null lang is ``und``, repeated rows count again, an empty table or
 one without frequent phrases gives no rows, ties are ordered by count and then by the bytes of the phrase.
@@ -22,6 +23,7 @@ Other columns are ignored. Texts are read in windows, so memory follows the long
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,11 @@ from fleetlens.llm.common import bound_batches, mix, stored
 
 SLICE = 1 << 16  # occurrences in a row of a relation
 WINDOW = 1 << 22  # bytes of a text read at a time
-GROUPED = 1 << 21  # occurrences counted together in a task
-BITS_A_GROUP = 16
+GROUPED = 1 << 20  # occurrences counted together in a task
+LONG = 256  # bytes of a word up to which words are hashed together
+BITS_A_GROUP = 8
 MOST_BITS = 1 << 29  # 64 MB
-SEGMENT = 1 << 18  # bits that one task sets
+KEY = 48  # bits of a group's hash by which it is counted before its exact count
 UNKNOWN = "und"
 
 _BREAKS, _BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -79,18 +82,31 @@ def _words(data: np.ndarray) -> tuple[pa.Array, np.ndarray, bool]:
     return words, first, bool(breaks[-1] > before[-1])
 
 
-def _hashed(lang: bytes, words: pa.Array, seed: int, known: dict[bytes, int]) -> np.ndarray:
-    """The number of each word; ``known`` keeps the numbers of a language's words, as many as it may hold."""
+def _numbers(lang: bytes, words: pa.Array, seed: int) -> np.ndarray:
+    """64-bit hash of each of some different words, eight bytes at a time; long words one by one."""
+    out = np.full(len(words), xxhash.xxh3_64_intdigest(lang, seed), np.uint64)
+    if not len(words):
+        return out.view(np.int64)
+    _, bounds, data = words.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
+    sizes = np.diff(bounds)
+    lane, live = 0, np.flatnonzero(sizes <= LONG)
+    while len(live):
+        part = data[bounds[live, None] + lane + np.arange(8)]
+        part[np.arange(8) + lane >= sizes[live, None]] = 0
+        out[live] = mix(out[live] * np.uint64(3) ^ part.view(np.uint64).ravel())
+        lane += 8
+        live = live[sizes[live] > lane]
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(lang + b"\0" + data[bounds[i] : bounds[i + 1]].tobytes(), seed)
+    return mix(out ^ sizes.astype(np.uint64)).view(np.int64)
+
+
+def _hashed(lang: bytes, words: pa.Array, seed: int) -> np.ndarray:
+    """The number of each word."""
     coded = words.dictionary_encode()
-    if len(known) > 500_000:
-        known.clear()
-    numbers = np.empty(len(coded.dictionary), np.int64)
-    for i, word in enumerate(coded.dictionary.to_pylist()):
-        number = known.get(word)
-        if number is None:
-            number = known[word] = xxhash.xxh3_64_intdigest(lang + b"\0" + word, seed)
-        numbers[i] = number - (1 << 64) if number >> 63 else number
-    return numbers[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    return _numbers(lang, coded.dictionary, seed)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
 _RELATION = "lang string, own int, words array<long>, firsts array<int>, places array<int>"
@@ -104,8 +120,8 @@ def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
 class _Slices:
     """Gathers the occurrences of a task, per language, and cuts them into rows of a relation."""
 
-    def __init__(self, ahead: int):
-        self.ahead, self.held = ahead, {}
+    def __init__(self, ahead: int, frequent: Frequent):
+        self.ahead, self.frequent, self.held = ahead, frequent, {}
 
     def add(self, lang: str, words: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         held = self.held.setdefault(lang, [[], [], 0])
@@ -121,8 +137,9 @@ class _Slices:
         start = 0
         while len(words) - start >= SLICE + self.ahead or (last and start < len(words)):
             part = slice(start, start + SLICE + self.ahead)
-            own = min(SLICE, len(words) - start)
-            columns = [pa.array([lang]), pa.array([own], pa.int32()), _lists([words[part]], np.int64), _lists([np.flatnonzero(first[part])], np.int32), _lists([np.arange(len(words[part]))], np.int32)]
+            own, every = min(SLICE, len(words) - start), np.arange(len(words[part]))
+            places = every[self.frequent.holds(words[part], every)]
+            columns = [pa.array([lang]), pa.array([own], pa.int32()), _lists([words[part]], np.int64), _lists([np.flatnonzero(first[part])], np.int32), _lists([places], np.int32)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RELATION.split(", ")])
             start += own
         held[:] = [words[start:]], [first[start:]], len(words) - start
@@ -141,11 +158,12 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield lang, np.frombuffer("\n".join(parts).encode().translate(_LOWER), np.uint8)
 
 
-def occurrences(documents: DataFrame, longest: int, seed: int) -> DataFrame:
-    """The relation of length 1."""
+def occurrences(documents: DataFrame, longest: int, seed: int, frequent: Frequent) -> DataFrame:
+    """The relation of length 1: all words in their order, and the places of the frequent ones."""
+    table = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices, known = _Slices(longest - 1), {}
+        slices = _Slices(longest - 1, table.value)
         for batch in batches:
             for lang, data in _by_lang(batch):
                 begins = True  # a text begins a piece
@@ -154,7 +172,7 @@ def occurrences(documents: DataFrame, longest: int, seed: int) -> DataFrame:
                     if len(words):
                         first[0] |= begins
                         begins = ended
-                        numbers = _hashed(lang.encode(), words, seed, known.setdefault(lang, {}))
+                        numbers = _hashed(lang.encode(), words, seed)
                         yield from slices.add(lang, numbers, first)
                     else:
                         begins |= ended
@@ -173,7 +191,7 @@ def word_counts(documents: DataFrame, seed: int) -> DataFrame:
                 for part in _windows(data):
                     counts = _words(part)[0].value_counts()
                     word = counts.field("values")
-                    numbers = _hashed(lang.encode(), word, seed, {})
+                    numbers = _numbers(lang.encode(), word, seed)
                     columns = [pa.array([lang] * len(word), pa.string()), word.cast(pa.large_string()).cast(pa.string()), pa.array(numbers), counts.field("counts")]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "w1", "f"])
 
@@ -182,11 +200,11 @@ def word_counts(documents: DataFrame, seed: int) -> DataFrame:
 
 
 def _bit(words: list[np.ndarray], bits: int) -> np.ndarray:
-    """The place of each group in a table of 2^k bits."""
+    """The first ``bits`` bits of the hash of each group."""
     key = np.zeros(len(words[0]), np.uint64)
     for column in words:
         key = mix(key * np.uint64(31) + column.view(np.uint64) + np.uint64(1))
-    return (key >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _grams(words: np.ndarray, places: np.ndarray, k: int) -> list[np.ndarray]:
@@ -197,31 +215,67 @@ def _columns(k: int) -> list[str]:
     return [f"w{i + 1}" for i in range(k)]
 
 
-class Frequent:
-    """Bit table of frequent groups of ``k`` words; it may let a rare group pass and never stops a frequent one."""
+def _power(least: float, low: int, high: int) -> int:
+    """The exponent of the smallest power of two that is not below ``least``, within bounds."""
+    return min(high, max(low, math.ceil(math.log2(max(1, least)))))
 
-    def __init__(self, groups: DataFrame, k: int):
-        bits = 1 << min(MOST_BITS.bit_length() - 1, max(SEGMENT.bit_length() - 1, (BITS_A_GROUP * max(1, groups.count()) - 1).bit_length()))
 
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = _bit([c.to_numpy() for c in batch.columns], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT), pa.array(at % SEGMENT)], ["segment", "at"])
+class Frequent:
+    """Bit table of the groups of ``k`` words that may be frequent; it never stops a frequent one.
 
-        def set_bits(rows: pd.DataFrame) -> pd.DataFrame:
-            table = np.zeros(SEGMENT, bool)
-            table[rows["at"]] = True
-            return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(table).tobytes()]})
+    Groups are counted by ``KEY`` bits of their hash: every task sends its sorted keys and counts as one row per
+    range of keys, and one task adds up a range and sets its bits. Exact counts follow for what passes.
+    """
 
-        placed = groups.select(*_columns(k)).mapInArrow(place, "segment long, at long")
-        self.k, self.bits, self.table = k, bits, np.zeros(bits // 8, np.uint8)
-        for segment, packed in placed.groupBy("segment").applyInPandas(set_bits, "segment long, bits binary").toLocalIterator():
-            self.table[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(packed, np.uint8)
+    def __init__(self, groups: DataFrame, k: int, least: int, total: int, words: bool = False):
+        """``groups``: the relation of length k - 1, or with ``words`` a table (w1, f); ``total``: how many groups it may hold."""
+        self.k = k
+        self.power = _power(BITS_A_GROUP * total, 16, MOST_BITS.bit_length() - 1)
+        self.cut = cut = _power(total * least / GROUPED, 0, self.power - 3)
+        held, most = 1 << (self.power - cut), min(least, 255)
+
+        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if words:
+                for batch in batches:
+                    keys, at = np.unique(_bit([batch["w1"].to_numpy()], KEY), return_inverse=True)
+                    yield keys, np.bincount(at, np.minimum(batch["f"].to_numpy(), most))
+            else:
+                for _, grams in _gathered(batches, k, None):
+                    yield np.unique(_bit(grams, KEY), return_counts=True)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, sizes in counts(batches):
+                bounds = np.append(0, np.searchsorted(keys, np.arange(1, (1 << cut) + 1) << (KEY - cut)))
+                used = np.flatnonzero(np.diff(bounds))
+                step = np.diff(keys, prepend=0)
+                step[bounds[used]] = keys[bounds[used]]
+                # the bytes of small steps lie together, so the shuffle's compression removes the high ones
+                parts = [step[bounds[i] : bounds[i + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for i in used]
+                sizes = np.minimum(sizes, most).astype(np.uint8)
+                packed = [sizes[bounds[i] : bounds[i + 1]].tobytes() for i in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(parts, pa.binary()), pa.array(packed, pa.binary())], ["range", "keys", "counts"])
+
+        def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+            range_ = int(rows["range"].iloc[0])
+            keys = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()) for b in rows["keys"]])
+            counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            often = keys[fresh[np.add.reduceat(counts[order], fresh) >= most]]
+            table = np.zeros(held, bool)
+            table[(often >> (KEY - self.power)) - range_ * held] = True
+            return pd.DataFrame({"range": [range_], "bits": [np.packbits(table).tobytes()]})
+
+        sent = groups.mapInArrow(send, "range long, keys binary, counts binary")
+        self.table = np.zeros((1 << self.power) // 8, np.uint8)
+        for range_, packed in sent.groupBy("range").applyInPandas(add_up, "range long, bits binary").toLocalIterator():
+            self.table[range_ * held // 8 : (range_ + 1) * held // 8] = np.frombuffer(packed, np.uint8)
 
     def holds(self, words: np.ndarray, places: np.ndarray) -> np.ndarray:
         if not len(places):
             return np.zeros(0, bool)
-        at = _bit(_grams(words, places, self.k), self.bits)
+        at = _bit(_grams(words, places, self.k), self.power)
         return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -242,7 +296,7 @@ def _row(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def semi_joined(relation: DataFrame, frequent: Frequent) -> DataFrame:
-    """The occurrences of frequent groups, joined from the relation of one word less (for single words, from all)."""
+    """The occurrences of frequent groups, joined from the relation of one word less."""
     table, k = relation.sparkSession.sparkContext.broadcast(frequent), frequent.k
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,49 +304,80 @@ def semi_joined(relation: DataFrame, frequent: Frequent) -> DataFrame:
             kept = []
             for row in range(batch.num_rows):
                 words, first, places = _row(batch, row)
-                places = _adjacent(places, first, k - 1) if k > 1 else places
+                places = _adjacent(places, first, k - 1)
                 kept.append(places[table.value.holds(words, places)])
             yield batch.set_column(batch.schema.get_field_index("places"), "places", _lists(kept, np.int32))
 
     return relation.mapInArrow(keep, _RELATION)
 
 
-def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
-    """(lang, w1 .. wk, f) of the frequent phrases of k words, joined from the relation of length k - 1."""
-    names = _columns(k)
+def _gathered(batches: Iterator[pa.RecordBatch], k: int, table) -> Iterator[tuple[str, list[np.ndarray]]]:
+    """The groups of k words of a task, ``GROUPED`` occurrences at a time: joined from the relation of k - 1 words.
+
+    With a table, only groups that may be frequent.
+    """
+    held: dict[str, list[list[np.ndarray]]] = {}
+    size = 0
+
+    def out() -> Iterator[tuple[str, list[np.ndarray]]]:
+        for lang, grams in held.items():
+            yield lang, [np.concatenate(column) for column in grams]
+        held.clear()
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words, first, places = _row(batch, row)
+            places = _adjacent(places, first, k - 1)
+            places = places[places < batch["own"][row].as_py()]
+            if table is not None:
+                places = places[table.holds(words, places)]
+            for column, found in zip(held.setdefault(batch["lang"][row].as_py(), [[] for _ in range(k)]), _grams(words, places, k)):
+                column.append(found)
+            size += len(places)
+            if size >= GROUPED:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def counted(relation: DataFrame, k: int, least: int, frequent: Frequent) -> DataFrame:
+    """(w1 .. wk, f) of the frequent phrases of k words, joined from the relation of length k - 1.
 
-    def groups(lang: str, grams: list[list[np.ndarray]]) -> pa.RecordBatch:
-        words = [np.concatenate(c) for c in grams]
-        order = np.argsort(_bit(words, 1 << 62))
-        words = [c[order] for c in words]
+    A task sends what it counted as one row per range of the groups' hashes; one task adds up a range.
+    """
+    names, table = _columns(k), relation.sparkSession.sparkContext.broadcast(frequent)
+    cut = frequent.cut
+
+    def summed(words: list[np.ndarray], sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Different groups in the order of their hashes, and their counts."""
+        order = np.argsort(_bit(words, 62), kind="stable")
+        words, sizes = [c[order] for c in words], sizes[order]
         fresh = np.zeros(len(order), bool)
         fresh[:1] = True
         for column in words:
             fresh[1:] |= column[1:] != column[:-1]
         at = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(at, len(order)))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *[pa.array(c[at]) for c in words], pa.array(sizes)], ["lang", *names, "f"])
+        return [c[at] for c in words], np.add.reduceat(sizes, at) if len(at) else sizes
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[list[np.ndarray]]] = {}
-        size = 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words, first, places = _row(batch, row)
-                places = _adjacent(places, first, k - 1)
-                places = places[places < batch["own"][row].as_py()]
-                for held_, column in zip(held.setdefault(batch["lang"][row].as_py(), [[] for _ in names]), _grams(words, places, k)):
-                    held_.append(column)
-                size += len(places)
-            if size >= GROUPED:
-                yield from (groups(lang, grams) for lang, grams in held.items())
-                held, size = {}, 0
-        yield from (groups(lang, grams) for lang, grams in held.items())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words in _gathered(batches, k, table.value):
+            words, sizes = summed(words, np.ones(len(words[0]), np.int64))
+            bounds = np.append(0, np.searchsorted(_bit(words, 62), np.arange(1, (1 << cut) + 1) << (62 - cut)))
+            used = np.flatnonzero(np.diff(bounds))
+            packed = [pa.array([c[bounds[i] : bounds[i + 1]].tobytes() for i in used], pa.binary()) for c in (*words, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(used), *packed], ["range", *names, "f"])
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        # two groups of one hash may alternate between tasks' rows, so whole groups are ordered
+        words = [np.frombuffer(b"".join(rows[c]), np.int64) for c in names]
+        order = np.lexsort(words)
+        words, sizes = summed([c[order] for c in words], np.frombuffer(b"".join(rows["f"]), np.int64)[order])
+        often = sizes >= least
+        return pd.DataFrame({**{c: w[often] for c, w in zip(names, words)}, "f": sizes[often]})
 
-    schema = ", ".join(["lang string", *[f"{c} long" for c in names], "f long"])
     # a word's number holds its language, so the numbers alone are the group
-    total = relation.mapInArrow(join, schema).groupBy(*names).agg(F.sum("f").alias("f"), F.min("lang").alias("lang"))
-    return total.filter(F.col("f") >= least).select("lang", *names, "f")
+    sent = relation.mapInArrow(count, ", ".join(["range long", *[f"{c} binary" for c in names], "f binary"]))
+    return sent.groupBy("range").applyInPandas(add_up, ", ".join([*[f"{c} long" for c in names], "f long"]))
 
 
 def mined(documents: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -305,17 +390,20 @@ def mined(documents: DataFrame, longest: int, least: int) -> tuple[DataFrame, li
             break
         seed += 1
     tables = [stored(words.filter(F.col("f") >= least), "frequent-1")]
-    relation = stored(occurrences(documents, longest, seed), "occurrences-1")
-    for k in range(1, longest):
-        relation = semi_joined(relation, Frequent(tables[-1], k))
-        if k > 1:
-            relation = stored(relation, f"occurrences-{k}")
-        tables.append(stored(counted(relation, k + 1, least), f"frequent-{k + 1}"))
+    singles = Frequent(tables[0].select("w1", "f"), 1, least, max(1, tables[0].count()), words=True)
+    relation = stored(occurrences(documents, longest, seed, singles), "occurrences-1")
+    # at most so many phrases of one length can be frequent
+    most = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] / least
+    for k in range(2, longest + 1):
+        frequent = Frequent(relation, k, least, most)
+        tables.append(stored(counted(relation, k, least, frequent), f"frequent-{k}"))
+        if k < longest:
+            relation = stored(semi_joined(relation, frequent), f"occurrences-{k}")
     return words, tables
 
 
 def _scored(phrases: DataFrame, tables: list[DataFrame], k: int) -> DataFrame:
-    """lang, w1 .. wk, a, l, r, score of the cut that scores least, ties to the smallest first part."""
+    """w1 .. wk, a, l, r, score of the cut that scores least, ties to the smallest first part."""
     names = _columns(k)
     out = phrases.withColumnRenamed("f", "a")
     for cut in range(1, k):
@@ -328,7 +416,7 @@ def _scored(phrases: DataFrame, tables: list[DataFrame], k: int) -> DataFrame:
     for cut in range(1, k):
         out = out.withColumn(f"top{cut}", F.lit(1_000_000).cast("decimal(7,0)") * wide("a") * wide("a")).withColumn(f"low{cut}", wide(f"l{cut}") * wide(f"r{cut}"))
         cuts.append(F.struct(F.expr(f"top{cut} div low{cut}").alias("score"), F.lit(cut).alias("cut"), F.col(f"l{cut}").alias("l"), F.col(f"r{cut}").alias("r")))
-    return out.withColumn("best", F.array_min(F.array(*cuts))).select("lang", *names, "a", "best.l", "best.r", "best.score")
+    return out.withColumn("best", F.array_min(F.array(*cuts))).select(*names, "a", "best.l", "best.r", "best.score")
 
 
 def _inside_longer(longer: DataFrame, k: int) -> DataFrame:
@@ -353,7 +441,7 @@ def collocations(documents: DataFrame, longest: int = 3, least: int = 10, share:
             rows = rows.join(_inside_longer(tables[k], k), names, "left").filter(F.coalesce(F.lit(100) * F.col("longest_f") < F.lit(share) * F.col("f"), F.lit(True))).drop("longest_f")
         scored = _scored(rows, tables, k)
         for name in names:
-            text = tables[0].select(F.col("w1").alias("_w"), F.col("word").alias(f"_{name}"))
+            text = tables[0].select(F.col("w1").alias("_w"), F.col("word").alias(f"_{name}"), *([F.col("lang")] if name == "w1" else []))
             scored = scored.join(text, scored[name] == text["_w"]).drop("_w", name)
         parts.append(scored.select("lang", F.concat_ws(" ", *[F.col(f"_{name}") for name in names]).alias("phrase"), "a", "l", "r", "score"))
     every = parts[0]
