@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from checks import cases_inventory, cases_users  # noqa: F401  (define shared sub-queries)
 from checks.adapters import AS_OF
 from checks.oracle import CTES, blank_null, sql
-from checks.sources import Sources, stored_path
+from checks.sources import INVENTORY_COLUMNS, Sources, stored_path
 from fleetlens.functions import casts
 from fleetlens.operators import activity, normalize, payloads
+from fleetlens.operators.latest import INVENTORY_KEYS
 from fleetlens.operators.licences import addon_flags
 from fleetlens.plans import gold, licences
 from fleetlens.plans.contracts import Contracts
@@ -213,14 +214,19 @@ def observed(s: Sources) -> DataFrame:
 
 
 def aged_files(s: Sources) -> DataFrame:
-    """The same rows twice: the first copy is in files older than the cursor and is not read."""
+    """Files of three ages: all rows in files ten days older than the cursor, which are not read; the first rows in
+    one three days older, which is; the others in files after the cursor."""
 
     def write(path: str) -> None:
-        lines(s).repartition(4).write.json(path)
-        fs, folder = sinks._files(s.spark, path)
-        for status in fs.listStatus(folder):
-            fs.setTimes(status.getPath(), int(dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc).timestamp() * 1000), -1)
-        lines(s).repartition(4).write.mode("append").json(path)
+        split = "2024-01-22 12:00:00"
+        fs, folder = sinks.files_at(s.spark, path)
+        done: set[str] = set()
+        for day, rows in (("2024-01-10", lines(s).repartition(3)), ("2024-01-17", lines(s).filter(F.col("timestamp") < split).coalesce(1)), (None, lines(s).filter(F.col("timestamp") >= split).repartition(2))):
+            rows.write.mode("append").json(path)
+            for status in fs.listStatus(folder):
+                if status.getPath().getName() not in done and day:
+                    fs.setTimes(status.getPath(), int(dt.datetime.fromisoformat(day).replace(tzinfo=dt.timezone.utc).timestamp() * 1000), -1)
+                done.add(status.getPath().getName())
 
     return audit_src.select_files_since(s.spark, stored_path(s, "aged_json", write), "2024-01-20", JSON_SCHEMA).select("event_id", "timestamp")
 
@@ -240,22 +246,85 @@ def gold_build(s: Sources) -> DataFrame:
     return rows
 
 
+GOLD_SPLIT = "2024-01-20 00:00:00"  # what the first build sees
+GOLD_INVENTORIES = [n for n in INVENTORY_COLUMNS if all(k == "project_key" or k in INVENTORY_COLUMNS[n] for k in INVENTORY_KEYS[n])]
+GOLD_EVENTS = {"audit_flat": "timestamp", "dev_events": "timestamp", "object_events": "timestamp", "license_max": "run_ts", "users": "run_ts"}
+
+
+def content(df: DataFrame) -> list[Column]:
+    """Number of rows and an order-free digest of their contents."""
+    cells = [F.round(F.col(c) * 1000).cast("long") if t == "double" else F.col(c) for c, t in sorted(df.dtypes)]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cells])
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("row_count"), F.sum(digest).cast("string").alias("digest")]
+
+
 def gold_tables(s: Sources) -> DataFrame:
-    """The wired build, twice: the second run starts from the watermarks and changes nothing."""
-    root = new_path(s.spark, "gold")
-    silver = {name: s.inventory_of(name) for name in ("projects", "dashboards", "webapps")}
-    silver |= {"license_max": s.max_licenses, "users": s.users, "audit_flat": s.audit_flat, "dev_events": s.audit, "object_events": s.object_silver}
-    specs = gold.gold_specs(s.spark, silver)
-    for _ in range(2):
-        run = gold.publish(s.spark, specs, root)
-        assert not run.failed and run.committed, run.failed
+    """The wired build, twice: over what happened before a day, then incrementally over everything."""
+    root, base = new_path(s.spark, "gold"), new_path(s.spark, "gold-silver")
+    frames = {"audit_flat": s.audit_flat, "dev_events": s.audit, "object_events": s.object_silver.withColumnRenamed("module", "source_module"), "license_max": s.max_licenses, "users": s.users}
+    inventories = {name: s.inventory_of(name) for name in GOLD_INVENTORIES}
+    for early in (True, False):
+        for name, rows in frames.items():
+            moment = F.col(GOLD_EVENTS[name])
+            part = rows.filter(moment < GOLD_SPLIT) if early else rows.filter(moment >= GOLD_SPLIT)
+            sinks.write_silver(part.drop("partition_date"), base, "gold", name, GOLD_EVENTS[name])
+        silver = {name: tables.read_silver(s.spark, base, "gold", name).drop("category", "module") for name in frames}
+        silver["object_events"] = silver["object_events"].withColumnRenamed("source_module", "module")
+        run = gold.publish(s.spark, gold.gold_specs(s.spark, inventories | silver), root)
+        assert not run.failed and run.committed and all((day is None) == early for day in run.low.values()), (run.failed, run.low)
     marks, out = sinks.read_watermarks(s.spark, f"{root}/_state"), None
     for name, table in run.tables.items():
-        row = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", F.lit(marks.get(name)).cast("timestamp").alias("watermark"))
+        table = table.drop("year", "month", "day") if name == "base_license_max" or name == "base_users" else table
+        row = table.agg(*content(table)).select(F.lit(name).alias("table_name"), "row_count", "digest", F.lit(marks.get(name)).cast("timestamp").alias("watermark"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+GOLD_FACTS = {  # table: (view, time column, columns)
+    "fact_user_activity_hourly": ("hourly", "timestamp", "instance_name login project_key timestamp viewing_actions_count developing_actions_count"),
+    "fact_user_activity_daily": ("daily", "last_activity_at", "day instance_name login_norm login viewing_actions_count developing_actions_count last_activity_at"),
+    "fact_user_activity_project_daily": ("project_daily", "last_activity_at", "day instance_name login_norm project_key login viewing_actions_count developing_actions_count last_activity_at"),
+    "fact_formal_mau_daily": ("mau_daily", "last_application_open_at", "day instance_name login_norm login application_open_count last_application_open_at"),
+    "fact_dev_activity_events": (
+        "dev_events", "timestamp",
+        "activity_category activity_origin activity_origin_evidence authsource callpath has_job_marker has_scenario_marker instance_name login msgtype msgtypebase project_key run_timestamp timestamp",
+    ),
+    "fact_object_activity_events": (
+        "obj_events", "timestamp",
+        "canonical_capability details_json event_category event_name instance_name ip_address login object_key object_name object_type project_key run_timestamp timestamp",
+    ),
+    "fact_license_utilization_daily": ("lic_fact", "snapshot_date", "assigned_count available_count entitled_count instance_name license_profile run_ts snapshot_date utilization_pct"),
+}
+
+
+def gold_oracle() -> str:
+    """Rows, digest and watermark of every table the build writes, from the same definitions in SQL."""
+
+    def newest(rows: str, keys: list[str]) -> str:
+        return f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY instance_name, {', '.join(keys)} ORDER BY run_ts DESC) = 1"
+
+    base = ["instance_name", "project_key", "extras", "run_ts", "partition_date"]
+    contents = {}
+    for name in GOLD_INVENTORIES:
+        columns = [f"{source} AS {out}" for out, source in INVENTORY_COLUMNS[name].items()]
+        contents[f"base_{name}"] = (newest(f"SELECT {', '.join(base + columns)} FROM inventory", INVENTORY_KEYS[name]), [*base, *INVENTORY_COLUMNS[name]])
+    contents["base_license_max"] = (newest("SELECT * FROM max_licenses", ["license_profile"]), "c_custkey instance_name license_profile max_licenses partition_date run_ts".split())
+    accounts = "displayname email enabled userprofile resultinguserprofile groups sourcetype trialstatus_exists creationdate lastsessionactivity login".split()
+    contents["base_users"] = (newest("SELECT * FROM users", ["users_login"]), ["user_id", "instance_name", "run_ts", "partition_date", *[f"users_{c}" for c in accounts]])
+    contents["dim_capability"] = ("SELECT * FROM d_capability", "activity_category capability capability_order category_order capability_label category_label is_dev_activity".split())
+    contents["dim_event_class"] = ("SELECT * FROM d_event_class", ["msgtype", "activity_class", "is_meaningful_activity"])
+    contents |= {name: (f"SELECT * FROM {view}", columns.split()) for name, (view, _, columns) in GOLD_FACTS.items()}
+    parts = []
+    for name, (rows, columns) in contents.items():
+        cells = ["CAST(round(utilization_pct * 1000) AS BIGINT)" if c == "utilization_pct" else c for c in sorted(columns)]
+        text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cells)
+        mark = f"CAST(max({GOLD_FACTS[name][1]}) AS TIMESTAMP)" if name in GOLD_FACTS else "CAST(NULL AS TIMESTAMP)"
+        digest = f"CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 15) AS BIGINT)) AS VARCHAR)"
+        parts.append(f"SELECT '{name}' AS table_name, count(*) AS row_count, {digest} AS digest, {mark} AS watermark FROM ({rows})")
+    return "\nUNION ALL ".join(parts)
+
+
 AUDIT_CONTRACT = ["event_id", "timestamp", "msgtype", "authuser"]
 
 
@@ -296,23 +365,24 @@ def stream_table(s: Sources, df: DataFrame) -> DataFrame:
 
 def late_data(s: Sources) -> DataFrame:
     silver, fact = new_path(s.spark, "silver"), new_path(s.spark, "fact")
-    writer = ingest.late_data_writer(s.spark, silver, fact)
-    ingest.for_each_available(ingest.flatten_stream(stream(s)), writer, new_path(s.spark, "checkpoint"))
+    ingest.run_late_data(ingest.flatten_stream(stream(s)), silver, fact, new_path(s.spark, "checkpoint"))
     return s.spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
 
 
-def streamed_hours(s: Sources, files: int) -> DataFrame:
+def streamed_hours(s: Sources, files: int, width: int | None = None) -> DataFrame:
     silver, fact = new_path(s.spark, "silver"), new_path(s.spark, "fact")
-    writer = ingest.hourly_activity_writer(s.spark, silver, fact)
+    writer = ingest.hourly_activity_writer(silver, fact)
     ingest.for_each_available(ingest.flatten_stream(stream(s, files=files)), writer, new_path(s.spark, "checkpoint"))
-    return s.spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
+    if width:
+        assert ingest.fold_hours(s.spark, fact, width)
+    return ingest.read_hours(s.spark, fact)
 
 
 def streamed_once(s: Sources, files: int) -> DataFrame:
     store = new_path(s.spark, "store")
     rows = stream(s, copies=2, files=files).select("event_id", "timestamp", "instance_name")
-    ingest.for_each_available(rows, ingest.dedupe_writer(store, ["event_id"]), new_path(s.spark, "checkpoint"))
-    return s.spark.read.parquet(store).select("event_id", "timestamp")
+    ingest.store_first_deliveries(rows, ["event_id"], store, new_path(s.spark, "checkpoint"))
+    return s.spark.read.schema(rows.schema).parquet(store).select("event_id", "timestamp")
 
 
 def routed(s: Sources) -> DataFrame:
@@ -584,21 +654,7 @@ FROM sil WHERE d < DATE '2024-01-19' GROUP BY module, instance_name, d""",
         """SELECT 0 AS position, 'b_opens' AS table_name, count(*) AS row_count FROM mau_daily UNION ALL SELECT 1, 'a_daily', count(*) FROM daily
 UNION ALL SELECT 2, 'ratio', count(DISTINCT instance_name) FROM daily""",
     ),
-    "gold_build": (
-        gold_tables,
-        """SELECT 'base_projects' AS table_name, count(DISTINCT (instance_name, project_key)) AS row_count, CAST(NULL AS TIMESTAMP) AS watermark FROM inventory
-UNION ALL SELECT n, count(DISTINCT (instance_name, project_key, object_key)), NULL FROM inventory CROSS JOIN (VALUES ('base_dashboards'), ('base_webapps')) t(n) GROUP BY n
-UNION ALL SELECT 'base_license_max', count(*), NULL FROM max_latest
-UNION ALL SELECT 'base_users', count(DISTINCT (instance_name, users_login)), NULL FROM users
-UNION ALL SELECT 'dim_capability', count(*), NULL FROM d_capability UNION ALL SELECT 'dim_event_class', count(*), NULL FROM d_event_class
-UNION ALL SELECT 'fact_user_activity_hourly', count(*), max(timestamp) FROM hourly
-UNION ALL SELECT 'fact_user_activity_daily', count(*), max(last_activity_at) FROM daily
-UNION ALL SELECT 'fact_user_activity_project_daily', count(*), max(last_activity_at) FROM project_daily
-UNION ALL SELECT 'fact_formal_mau_daily', count(*), max(last_application_open_at) FROM mau_daily
-UNION ALL SELECT 'fact_dev_activity_events', count(*), max(timestamp) FROM dev_events
-UNION ALL SELECT 'fact_object_activity_events', count(*), max(timestamp) FROM obj_events
-UNION ALL SELECT 'fact_license_utilization_daily', count(*), CAST(max(snapshot_date) AS TIMESTAMP) FROM lic_fact""",
-    ),
+    "gold_build": (gold_tables, gold_oracle()),
     # --- streaming ---
     "ingest_audit": (
         ingested,
@@ -613,6 +669,7 @@ FROM audit_flat WHERE topic = 'generic' AND length(trim(message_msgType)) > 0 AN
         "SELECT event_id, timestamp, topic, instance_name FROM audit_flat",
     ),
     "stream_hourly_activity": (lambda s: streamed_hours(s, 1), "SELECT * FROM hourly"),
+    "stream_hourly_activity_folded": (lambda s: streamed_hours(s, 1, 2), "SELECT * FROM hourly"),
     "stream_hourly_activity_one_batch": (lambda s: streamed_hours(s, 100), "SELECT * FROM hourly"),
     "late_data_lookback": (late_data, "SELECT * FROM daily"),
     "stream_dedupe": (lambda s: streamed_once(s, 1), "SELECT event_id, timestamp FROM audit_flat"),

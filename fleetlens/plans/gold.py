@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.functions.calendar import day_floor
 from fleetlens.operators import activity, development, licences, objects
 from fleetlens.operators.latest import INVENTORY_KEYS, latest_inventory
 from fleetlens.plans import dims
 from fleetlens.sources import sinks
+from fleetlens.sources.tables import from_day
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,7 @@ class TableSpec:
     order: int = 0
     time_column: str | None = None  # of a fact: written by day, with a watermark
     required: bool = True  # a failure stops the commit of watermarks
+    since: Callable[[dict[str, DataFrame], dt.date], DataFrame] | None = None  # of a fact: its rows from a day on, read from that day on
 
 
 def build_order(specs: list[TableSpec]) -> list[TableSpec]:
@@ -42,8 +46,13 @@ def build_order(specs: list[TableSpec]) -> list[TableSpec]:
     return done
 
 
-def build_gold(specs: list[TableSpec], write: Callable[[str, DataFrame], DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Build and ``write`` every table; a failed table skips its dependants and is recorded."""
+def build_gold(
+    specs: list[TableSpec], write: Callable[[str, DataFrame], DataFrame], low: Callable[[str], dt.date | None] = lambda name: None
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Build and ``write`` every table; a failed table skips its dependants and is recorded.
+
+    A fact that has a day in ``low`` and knows how is built from that day on.
+    """
     tables: dict[str, DataFrame] = {}
     failed: dict[str, str] = {}
     for spec in build_order(specs):
@@ -52,7 +61,8 @@ def build_gold(specs: list[TableSpec], write: Callable[[str, DataFrame], DataFra
             failed[spec.name] = f"skipped, needs {missing}"
             continue
         try:
-            tables[spec.name] = write(spec.name, spec.build(tables))
+            day = low(spec.name) if spec.since else None
+            tables[spec.name] = write(spec.name, spec.build(tables) if day is None else spec.since(tables, day))
         except Exception as exc:  # recorded; later tables may still be built
             failed[spec.name] = repr(exc)
     return tables, failed
@@ -63,6 +73,7 @@ class GoldRun:
     tables: dict[str, DataFrame]
     failed: dict[str, str]
     committed: bool
+    low: dict[str, dt.date | None] = field(default_factory=dict)  # of each fact: the day it was built from, None if whole
 
 
 # Base tables a dashboard cannot do without; the others may fail without holding back the facts.
@@ -79,6 +90,15 @@ def gold_specs(spark: SparkSession, silver: dict[str, DataFrame]) -> list[TableS
     def base(name: str) -> TableSpec:
         return TableSpec(f"base_{name}", lambda t: latest_inventory(silver[name], name), required=name in REQUIRED_BASE)
 
+    def fact(name: str, build: Callable[..., DataFrame], time_column: str, depends_on: list[str] = [], required: bool = True) -> TableSpec:  # noqa: B006
+        return TableSpec(name, lambda t: build(t, None), depends_on, 2, time_column, required, since=build)
+
+    def events(name: str, low: dt.date | None) -> DataFrame:
+        return from_day(silver[name], low)
+
+    def hours(t: dict[str, DataFrame], low: dt.date | None) -> DataFrame:
+        return from_day(t["fact_user_activity_hourly"], low, tuple(sinks.DAY_PARTITIONS))
+
     specs = [base(name) for name in INVENTORY_KEYS if name in silver]
     specs += [
         TableSpec("dim_capability", lambda t: dims.dim_capability(spark), order=1),
@@ -86,41 +106,52 @@ def gold_specs(spark: SparkSession, silver: dict[str, DataFrame]) -> list[TableS
     ]
     if "audit_flat" in silver:
         specs += [
-            TableSpec("fact_user_activity_hourly", lambda t: activity.user_activity_hourly(silver["audit_flat"]), order=2, time_column="timestamp"),
-            TableSpec("fact_user_activity_daily", lambda t: activity.user_activity_daily(t["fact_user_activity_hourly"]), ["fact_user_activity_hourly"], 2, "last_activity_at"),
-            TableSpec("fact_user_activity_project_daily", lambda t: activity.user_activity_project_daily(t["fact_user_activity_hourly"]), ["fact_user_activity_hourly"], 2, "last_activity_at"),
-            TableSpec("fact_formal_mau_daily", lambda t: activity.formal_mau_daily(activity.formal_mau_hourly(silver["audit_flat"])), order=2, time_column="last_application_open_at"),
+            fact("fact_user_activity_hourly", lambda t, low: activity.user_activity_hourly(events("audit_flat", low)), "timestamp"),
+            fact("fact_user_activity_daily", lambda t, low: activity.user_activity_daily(hours(t, low)), "last_activity_at", ["fact_user_activity_hourly"]),
+            fact("fact_user_activity_project_daily", lambda t, low: activity.user_activity_project_daily(hours(t, low)), "last_activity_at", ["fact_user_activity_hourly"]),
+            fact("fact_formal_mau_daily", lambda t, low: activity.formal_mau_daily(activity.formal_mau_hourly(events("audit_flat", low))), "last_application_open_at"),
         ]
     if "dev_events" in silver:
-        specs.append(TableSpec("fact_dev_activity_events", lambda t: development.dev_activity_events(silver["dev_events"]), order=2, time_column="timestamp"))
+        specs.append(fact("fact_dev_activity_events", lambda t, low: development.dev_activity_events(events("dev_events", low)), "timestamp"))
     if "object_events" in silver:
-        build = lambda t: objects.object_activity_events(spark, silver["object_events"], t["dim_capability"])
-        specs.append(TableSpec("fact_object_activity_events", build, ["dim_capability"], 2, "timestamp", required=False))
+        build = lambda t, low: objects.object_activity_events(spark, events("object_events", low), t["dim_capability"])
+        specs.append(fact("fact_object_activity_events", build, "timestamp", ["dim_capability"], required=False))
     if {"license_max", "users"} <= silver.keys():
-        build = lambda t: licences.license_utilization_daily(silver["license_max"], silver["users"])
-        specs.append(TableSpec("fact_license_utilization_daily", build, order=2, time_column="snapshot_date"))
+        build = lambda t, low: licences.license_utilization_daily(events("license_max", low), events("users", low))
+        specs.append(fact("fact_license_utilization_daily", build, "snapshot_date"))
     return specs
 
 
 def publish(spark: SparkSession, specs: list[TableSpec], root: str, lookback_days: int = 3) -> GoldRun:
     """Build all tables below ``root``: facts from their watermark on, the rest whole.
 
+    A watermark less the lookback gives the first day of a fact's build. Sources and facts that a fact is
+    made of are read from that day's partitions on, and the days from it on are replaced.
     Watermarks are committed last and only if no required table failed, so a failed run is
     repeated from where the last good one ended.
     """
     by_name = {s.name: s for s in specs}
     state = f"{root}/_state"
     marks = sinks.read_watermarks(spark, state)
+    columns: dict[str, list[str]] = {}
+
+    def low(name: str) -> dt.date | None:
+        boundary = sinks.incremental_boundary(marks, name, lookback_days) if by_name[name].time_column else None
+        return None if boundary is None else day_floor(boundary)
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        path, spec = f"{root}/{name}", by_name[name]
+        path, spec, columns[name] = f"{root}/{name}", by_name[name], df.columns
         if spec.time_column is None:
             sinks.write_single(df, path)
             return spark.read.schema(df.schema).parquet(path)
-        sinks.write_fact_partitions(df, path, spec.time_column, sinks.incremental_boundary(marks, name, lookback_days))
-        return spark.read.schema(sinks.with_fact_partitions(df, spec.time_column).schema).parquet(path).select(*df.columns)
+        day = low(name)
+        sinks.write_fact_partitions(df, path, spec.time_column, day and f"{day} 00:00:00")
+        # With its partition columns, so that a fact built from it opens only the days it needs.
+        return spark.read.schema(sinks.with_fact_partitions(df, spec.time_column).schema).parquet(path)
 
-    tables, failed = build_gold(specs, write)
+    tables, failed = build_gold(specs, write, low)
     stopped = sum(by_name[name].required for name in failed)
-    facts = {s.name: (tables[s.name], s.time_column) for s in specs if s.time_column and s.name in tables}
-    return GoldRun(tables, failed, sinks.commit_watermarks(spark, state, facts, failures=stopped))
+    lows = {s.name: low(s.name) for s in specs if s.time_column}
+    facts = {name: (from_day(tables[name], day, tuple(sinks.DAY_PARTITIONS)), by_name[name].time_column) for name, day in lows.items() if name in tables}
+    committed = sinks.commit_watermarks(spark, state, facts, failures=stopped)
+    return GoldRun({name: table.select(*columns[name]) for name, table in tables.items()}, failed, committed, lows)

@@ -27,14 +27,19 @@ def read_audit_json(spark: SparkSession, path: str, schema: str = AUDIT_SCHEMA,
     return reader.json(path)
 
 
-def select_files_since(spark: SparkSession, path: str, cursor, schema: str = AUDIT_SCHEMA, margin_hours: int = 24) -> DataFrame:
-    """Rows of files modified since the cursor, with a margin for the file around it.
+def select_files_since(spark: SparkSession, path: str, cursor, schema: str = AUDIT_SCHEMA) -> DataFrame:
+    """Rows at or after the cursor, from the files modified since then and the newest one before.
 
-    The margin stands in for re-reading one older file; :func:`filter_since` then cuts
-    rows exactly, so a wider margin only costs reading.
+    A log file is written until the next one begins, so the newest older file, however old, may end with rows
+    after the cursor; files before it cannot. Files are listed once for its name, and no other older one is opened.
     """
-    low = as_timestamp(cursor) - dt.timedelta(hours=margin_hours)
-    return filter_since(read_audit_json(spark, path, schema, low.strftime("%Y-%m-%dT%H:%M:%S")), cursor)
+    low = as_timestamp(cursor)
+    # strictly later than the millisecond before the cursor
+    newer = read_audit_json(spark, path, schema, (low - dt.timedelta(milliseconds=1)).isoformat(timespec="milliseconds"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    older = listed.filter(F.col("modificationTime") < ts_lit(low)).agg(F.max(F.struct("modificationTime", "path")).alias("file")).first().file
+    rows = newer if older is None else newer.unionByName(read_audit_json(spark, older.path, schema))
+    return filter_since(rows, cursor)
 
 
 def filter_since(df: DataFrame, cursor, observe: Observation | None = None) -> DataFrame:

@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.calendar import as_timestamp, day_floor
+from fleetlens.functions.calendar import as_timestamp, day_floor, ts_lit
 from fleetlens.sources.tables import latest_partitions, partition_day
 
 FACT_PARTITIONS = ["instance_name", "p_year", "p_month", "p_day"]
+DAY_PARTITIONS = FACT_PARTITIONS[1:]
+SILVER_PARTITIONS = ["category", "module", "instance_name", "year", "month", "day"]
 MAX_ROWS_PER_FILE = 100_000  # fixed value: output chunk of a compacted partition
 
 
@@ -29,10 +31,22 @@ def with_fact_partitions(df: DataFrame, time_column: str) -> DataFrame:
     return df.withColumns({"p_year": F.year(moment), "p_month": F.month(moment), "p_day": F.dayofmonth(moment)})
 
 
+def write_silver(df: DataFrame, base: str, category: str, module: str, time_column: str = "timestamp") -> None:
+    """Add rows to a (category, module) of the normalised layer, below the day of their own time.
+
+    Reads from a day on (:func:`fleetlens.sources.tables.from_day`) rely on this layout.
+    """
+    moment = F.col(time_column).cast("timestamp")
+    parts = {name: F.date_format(moment, pattern) for name, pattern in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))}
+    rows = df.withColumns({"category": F.lit(category), "module": F.lit(module), **parts})
+    rows.hint("rebalance", *SILVER_PARTITIONS[2:]).write.mode("append").partitionBy(*SILVER_PARTITIONS).parquet(base)
+
+
 def write_fact_partitions(df: DataFrame, path: str, time_column: str, since: str | None = None) -> None:
     """Rewrite every (instance, day) that has a row at or after ``since``, completely.
 
-    Older rows of a touched day are written again with it, so the day stays whole.
+    Older rows of a touched day are written again with it, so the day stays whole. Where ``since`` is the
+    start of a day, every row from it on belongs to a touched day, and ``df`` is evaluated once.
     Rows are rebalanced rather than hashed on the partition: a day that holds most of
     the rows is split over several tasks and files.
     """
@@ -40,9 +54,11 @@ def write_fact_partitions(df: DataFrame, path: str, time_column: str, since: str
     rows = with_fact_partitions(df.filter(F.col("instance_name").isNotNull() & moment.isNotNull()), time_column)
     if since is not None:
         # No touched day starts before the day of ``since``: both reads are pruned to it.
-        rows = rows.filter(moment >= F.date_trunc("day", F.lit(since).cast("timestamp")))
-        touched = rows.filter(moment >= F.lit(since).cast("timestamp")).select(*FACT_PARTITIONS).distinct()
-        rows = rows.join(touched, FACT_PARTITIONS, "left_semi")
+        low, day = as_timestamp(since), as_timestamp(day_floor(since))
+        rows = rows.filter(moment >= ts_lit(day))
+        if low != day:
+            touched = rows.filter(moment >= ts_lit(low)).select(*FACT_PARTITIONS).distinct()
+            rows = rows.join(touched, FACT_PARTITIONS, "left_semi")
     (
         rows.hint("rebalance", *FACT_PARTITIONS)
         .write.mode("overwrite")
@@ -58,7 +74,7 @@ def write_fact_partitions(df: DataFrame, path: str, time_column: str, since: str
 _STATE = "table_name string, watermark string"
 
 
-def _files(spark: SparkSession, path: str):
+def files_at(spark: SparkSession, path: str):
     """Hadoop's view of a folder, which is where Spark's own reads and writes go."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
@@ -66,7 +82,7 @@ def _files(spark: SparkSession, path: str):
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a state folder; one that was cut off has no success marker."""
-    fs, folder = _files(spark, path)
+    fs, folder = files_at(spark, path)
     if not fs.exists(folder):
         return []
     found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("version=")]
@@ -196,7 +212,7 @@ def compact_partitions(
     for row in partition_files(spark, staging, keys).collect():
         moved.setdefault(tuple(row[k] for k in keys), []).append(row.file)
 
-    fs, _ = _files(spark, root)
+    fs, _ = files_at(spark, root)
     place = spark._jvm.org.apache.hadoop.fs.Path
     outcome = []
     for r in chosen:

@@ -15,6 +15,23 @@ def partition_day(year: str = "year", month: str = "month", day: str = "day") ->
     return F.make_date(F.col(year).try_cast("int"), F.col(month).try_cast("int"), F.col(day).try_cast("int"))
 
 
+def from_day(df: DataFrame, low: dt.date | None, partitions: tuple[str, str, str] = ("year", "month", "day")) -> DataFrame:
+    """Rows stored below the day ``low`` or a later one; all rows without ``low``.
+
+    The condition is on partition columns only, so files of older days are not opened. Rows without a day stay.
+    Frames without these columns are cut by their ``partition_date``, or not at all.
+    """
+    if low is None:
+        return df
+    if set(partitions) <= set(df.columns):
+        day = partition_day(*partitions)
+    elif "partition_date" in df.columns:
+        day = F.col("partition_date")
+    else:
+        return df
+    return df.filter(day.isNull() | (day >= F.lit(low)))
+
+
 def read_silver(spark: SparkSession, base: str, category: str, module: str, schema: str | None = None) -> DataFrame | None:
     """Rows of one (category, module); absent data gives an empty frame, or None without a schema."""
     try:

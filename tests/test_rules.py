@@ -219,55 +219,6 @@ def test_compaction_keeps_a_file_that_arrives_meanwhile(spark, monkeypatch):
     assert folders == {"/category=c/module=m/instance_name=007/year=2024/month=01/day=02"}
 
 
-def test_streams_do_not_depend_on_order_or_batch_size(spark):
-    from fleetlens.streaming import ingest
-
-    rows = spark.sql(
-        "SELECT id, CASE id % 2 WHEN 0 THEN '007' ELSE 'b' END AS instance_name, TIMESTAMP'2024-03-01 00:00:00' - make_interval(0, 0, 0, CAST(id % 40 AS INT), CAST(id % 5 AS INT)) AS timestamp,"
-        "'generic' AS topic, 'USER_FROM_UI' AS message_authSource, concat('u', id % 3) AS message_authUser, 'view' AS message_msgType FROM range(400)"
-    )
-    from fleetlens.operators.activity import user_activity_hourly
-
-    want = sorted(map(str, user_activity_hourly(rows).collect()))
-    for batches in (1, 7):
-        silver, fact, store = (new_path(spark, n) for n in ("silver", "fact", "store"))
-        hourly, once = ingest.hourly_activity_writer(spark, silver, fact), ingest.dedupe_writer(store, ["id"])
-        for number in range(batches):
-            part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == number)
-            for _ in range(2):  # a retried batch changes nothing
-                hourly(part, number)
-                once(part.unionByName(part), number)
-            once(rows.filter("id % 5 = 0"), 100 + number)  # delivered again, with every batch
-        got = spark.read.parquet(fact).drop("p_year", "p_month", "p_day")
-        assert sorted(map(str, got.select(user_activity_hourly(rows).columns).collect())) == want
-        kept = [r.id for r in spark.read.parquet(store).collect()]
-        assert len(kept) == len(set(kept)) == 400
-
-
-def test_streams_take_rows_without_time_or_instance(spark):
-    """Events 0, 5, 10.. have no time, 0, 4, 8.. no instance, 2, 6, 10.. an empty one; each batch holds some of all."""
-    from fleetlens.operators.activity import user_activity_daily, user_activity_hourly
-    from fleetlens.streaming import ingest
-
-    rows = spark.sql(
-        "SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 2 THEN '' ELSE 'b' END AS instance_name, IF(id % 5 = 0, NULL, TIMESTAMP'2024-03-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 3 AS INT))) AS timestamp,"
-        "'generic' AS topic, 'USER_FROM_UI' AS message_authSource, concat('u', id % 3) AS message_authUser, 'view' AS message_msgType FROM range(60)"
-    )
-    hourly = user_activity_hourly(rows.withColumn("instance_name", F.nullif("instance_name", F.lit(""))))
-    daily = user_activity_daily(hourly)
-    silver, fact, silver_2, days, store = (new_path(spark, n) for n in ("silver", "fact", "silver", "days", "store"))
-    writers = ingest.hourly_activity_writer(spark, silver, fact), ingest.late_data_writer(spark, silver_2, days), ingest.dedupe_writer(store, ["id"])
-    for number in range(2):
-        for write in writers:
-            write(rows.filter(F.floor(F.col("id") / 10) % 2 == number).coalesce(1), number)
-    writers[2](rows, 100)  # all of them delivered again
-    for path, want in ((fact, hourly), (days, daily)):
-        got = spark.read.parquet(path).select(want.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    assert ingest.read_batches(rows, silver).count() == 60
-    assert sorted(r.id for r in spark.read.parquet(store).collect()) == list(range(60))
-
-
 def test_nothing_is_clamped(spark):
     assert calendar.month_spine(spark, "2024-01-31", 36).count() == 36
     for value in (0, -3):
