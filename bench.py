@@ -54,12 +54,13 @@ def main() -> None:
     started, sources = time.perf_counter(), Sources(spark, sf_dir)
     for name in [n for n, v in vars(Sources).items() if isinstance(v, stored)]:
         getattr(sources, name)
-    times = {"stored_tables_cold_build": round(time.perf_counter() - started, 3)}
+    cold = round(time.perf_counter() - started, 3)
+    times = {}
     for name in HEADLINE:
         run(spark, queries[name], sf_dir)
         times[name] = round(run(spark, queries[name], sf_dir), 3)
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "headline_queries_warm_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline_queries_warm_total", "value": total, "unit": "sec", "queries": times, "stored_tables_cold_build": cold, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
 
 
 if __name__ == "__main__":

@@ -19,7 +19,7 @@ from fleetlens.plans import gold, licences
 from fleetlens.plans.contracts import Contracts
 from fleetlens.plans.dims import literal_table
 from fleetlens.sources import audit as audit_src
-from fleetlens.sources import sinks, tables
+from fleetlens.sources import sinks, snapshots, tables
 from fleetlens.sources.scratch import new_path
 from fleetlens.streaming import ingest
 
@@ -189,14 +189,28 @@ def compaction_runs(s: Sources) -> str:
             if mode == "late":
                 late = s.spark.read.parquet(path).filter("day = '05' AND instance_name = '007' AND module = 'coding'")
                 late.withColumn("event_id", -F.col("event_id")).write.mode("append").partitionBy(*SILVER_KEYS).parquet(path)
-            run = sinks.compact_partitions(s.spark, path, f"{root}/staging/{number}", SILVER_KEYS, COMPACT_AS_OF, 1)
+            run = snapshots.compact_partitions(s.spark, path, f"{root}/staging/{number}", SILVER_KEYS, COMPACT_AS_OF, 1)
             sinks.compaction_summary(run).drop("files_written").withColumn("run", F.lit(number)).write.mode("append").parquet(f"{root}/runs")
 
     return stored_path(s, "compaction", write)
 
 
 def compacted(s: Sources) -> DataFrame:
-    return s.spark.read.parquet(f"{compaction_runs(s)}/table").groupBy("module", "instance_name", "year", "month", "day").agg(F.count("*").alias("n"))
+    rows = snapshots.read_snapshot(s.spark, f"{compaction_runs(s)}/table", SILVER_KEYS, "event_id long, timestamp timestamp, authuser string, extras string")
+    return rows.groupBy("module", "instance_name", "year", "month", "day").agg(F.count("*").alias("n"))
+
+
+def scanned(s: Sources) -> DataFrame:
+    """The newest partitions to compact, before and after a compaction, with what the listing met on its way to the last."""
+    out = None
+    for state, path in (("raw", silver_path(s)), ("compacted", f"{compaction_runs(s)}/table")):
+        met = snapshots.Scan()
+        found = list(snapshots.newest_partitions(s.spark, path, SILVER_KEYS, dt.datetime(2024, 1, 25), 7, min_age_days=2, filters={"module": "coding"}, scan=met))
+        rows = [(state, i, p.values[2], p.date, len(p.files), len(p.loose), met.seen, met.too_recent, met.compacted, met.eligible) for i, p in enumerate(found)]
+        kind = "state string, position int, instance_name string, partition_date date, file_count int, loose_files int, files_seen int, files_too_recent int, files_compacted int, files_eligible int"
+        frame = s.spark.createDataFrame(rows, kind)
+        out = frame if out is None else out.unionByName(frame)
+    return out
 
 
 def compaction_outcome(s: Sources) -> DataFrame:
@@ -605,6 +619,14 @@ FROM audit_flat WHERE timestamp >= TIMESTAMP '2024-01-15' AND event_id % 97 <> 0
             "module", "instance_name", "partition_date", "file_count", "loose_files", F.size("files").alias("files")),
         """SELECT DISTINCT module, instance_name, d AS partition_date, 2::BIGINT AS file_count, 2::BIGINT AS loose_files, 2 AS files FROM sil WHERE module = 'coding' AND d < DATE '2024-01-23' ORDER BY d DESC, instance_name DESC LIMIT 7""",
     ),
+    "newest_partitions": (
+        scanned,
+        """SELECT state, position, instance_name, d AS partition_date, 2 AS file_count, 2 AS loose_files, CAST(recent + 2 * count(*) OVER (PARTITION BY state) AS INTEGER) AS files_seen,
+  recent AS files_too_recent, 0 AS files_compacted, CAST(2 * count(*) OVER (PARTITION BY state) AS INTEGER) AS files_eligible
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY d DESC, instance_name DESC) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT instance_name, d FROM sil WHERE module = 'coding' AND d < DATE '2024-01-23') o) p
+CROSS JOIN (SELECT CAST(2 * count(DISTINCT (instance_name, d)) AS INTEGER) AS recent FROM sil WHERE module = 'coding' AND d >= DATE '2024-01-23') r
+CROSS JOIN (VALUES ('raw'), ('compacted')) t(state) WHERE position < 7""",
+    ),
     "write_single": (single, "SELECT instance_name, license_profile, max_licenses FROM max_latest"),
     "write_fact_partitions": (
         lambda s: written_fact(s, "2024-01-25"),

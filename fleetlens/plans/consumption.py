@@ -347,7 +347,8 @@ def _product_events(events: DataFrame, catalog: DataFrame, product_id: str, as_o
     product = catalog.filter(F.col("product_id") == product_id)
     if owner_is:
         product = product.filter(F.lower(F.coalesce("owner_login", F.lit(""))) == owner_is.lower())
-    product = product.limit(1)
+    # Where an id repeats, the smallest row stands for it.
+    product = product.orderBy("instance_name", "project_key", "product_type", "product_key", "owner_login", "product_name").limit(1)
     target = product.select(
         F.col("instance_name").alias("_i"), F.col("project_key").alias("_p"), F.col("product_type").alias("_t"), F.col("product_key").alias("_k"), "product_id"
     )

@@ -465,7 +465,8 @@ def _object_events(events: DataFrame, item: DataFrame) -> DataFrame:
 
 
 def _one(rows: DataFrame, id_column: str, wanted: str, prefix: str, owner: str | None) -> DataFrame:
-    hit = _owned_by(rows, owner).filter(F.col(id_column) == wanted).limit(1)
+    # Where an id repeats, the smallest row stands for it.
+    hit = _owned_by(rows, owner).filter(F.col(id_column) == wanted).orderBy("instance_name", "project_key", f"{prefix}_type", f"{prefix}_key").limit(1)
     return hit.withColumns({"_id": F.col(id_column), "_type": F.col(f"{prefix}_type"), "_key": F.col(f"{prefix}_key")})
 
 

@@ -1,4 +1,4 @@
-"""Writing tables: single files, incremental partitions, compaction, watermarks."""
+"""Writing tables: single files, incremental partitions, watermarks, compaction reports."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import as_timestamp, day_floor, ts_lit
-from fleetlens.sources.tables import latest_partitions, partition_day
+from fleetlens.sources.tables import partition_day
 
 FACT_PARTITIONS = ["instance_name", "p_year", "p_month", "p_day"]
 DAY_PARTITIONS = FACT_PARTITIONS[1:]
@@ -80,7 +80,7 @@ def files_at(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a state folder; one that was cut off has no success marker."""
     fs, folder = files_at(spark, path)
     if not fs.exists(folder):
@@ -92,7 +92,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 def read_watermarks(spark: SparkSession, path: str) -> dict[str, str]:
     """Committed watermark per fact; nothing committed yet gives an empty mapping."""
-    versions = _versions(spark, path)
+    versions = complete_versions(spark, path)
     if not versions:
         return {}
     rows = spark.read.schema(_STATE).json(f"{path}/version={versions[-1]}")
@@ -131,7 +131,7 @@ def commit_watermarks(spark: SparkSession, path: str, facts: dict[str, tuple[Dat
         if newest is not None:
             state[table] = newest
     if state:
-        versions = _versions(spark, path)
+        versions = complete_versions(spark, path)
         rows = spark.createDataFrame(sorted(state.items()), _STATE)
         # A version that was cut off is written again.
         rows.coalesce(1).write.mode("overwrite").json(f"{path}/version={versions[-1] + 1 if versions else 1}")
@@ -177,63 +177,6 @@ def partition_files(spark: SparkSession, path: str, keys: list[str]) -> DataFram
     return listed.select(*[value(k).alias(k) for k in keys], F.col("path").alias("file"), name.startswith(COMPACTED).alias("compacted"))
 
 
-def compact_partitions(
-    spark: SparkSession, path: str, staging: str, keys: list[str], as_of, age_days: int = 1, newest: int | None = None
-) -> DataFrame:
-    """Merge the files of old partitions and drop identical rows; one outcome row per partition.
-
-    Only partitions with a file that is not compacted yet, and with more than one file, are
-    read, at most the ``newest`` of them. Partition folders keep their names (``month=01``). The
-    result is staged and its rows are counted; then its files are moved in beside the old ones,
-    and exactly the files that were read are deleted. A file that arrived meanwhile stays and
-    makes the partition eligible again; a run that dies between leaves rows twice, which the
-    next run collapses.
-    """
-    if age_days < 1:
-        raise ValueError("age_days must be at least 1")
-    found = latest_partitions(partition_files(spark, path, keys), None, as_of, min_age_days=age_days, keys=keys).filter("file_count > 1")
-    chosen = (found.limit(newest) if newest else found).collect()  # file names of the partitions of this run
-    if not chosen:
-        return spark.createDataFrame([], OUTCOME)
-    folder = {tuple(r[k] for k in keys): r.files[0].rsplit("/", 1)[0] for r in chosen}
-    root = next(iter(folder.values())).split(f"/{keys[0]}=")[0]
-
-    sources = [f for r in chosen for f in r.files]
-    kinds = ", ".join(f"`{k}` string" for k in keys)
-    merged = spark.read.option("mergeSchema", "true").parquet(*sources)  # data columns only
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields if f.name not in keys) + ", " + kinds
-    rows = spark.read.schema(schema).option("basePath", root).parquet(*sources)
-    dedupe_exact(rows).hint("rebalance", *keys).write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy(*keys).parquet(staging)
-    # Counts come from file footers: no data column is read.
-    raw = {tuple(r)[:-1]: r.n for r in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-    staged = spark.read.schema(schema).parquet(staging)
-    written = {tuple(r)[:-1]: r.n for r in staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-    moved: dict[tuple, list[str]] = {}
-    for row in partition_files(spark, staging, keys).collect():
-        moved.setdefault(tuple(row[k] for k in keys), []).append(row.file)
-
-    fs, _ = files_at(spark, root)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    outcome = []
-    for r in chosen:
-        key = tuple(r[k] for k in keys)
-        counts = (len(r.files), raw.get(key, 0), written.get(key, 0))
-        label = "/".join(f"{k}={v}" for k, v in zip(keys, key))
-        new = moved.get(key, [])
-        if not 0 < counts[2] <= counts[1]:
-            outcome.append((label, r.partition_date, *counts, 0, 0, "failed", "staged rows do not fit the rows read"))
-            continue
-        targets = [f"{folder[key]}/{COMPACTED}{f.rsplit('/', 1)[1]}" for f in new]
-        renamed = sum(bool(fs.rename(place(f), place(t))) for f, t in zip(new, targets))
-        if renamed < len(new):
-            outcome.append((label, r.partition_date, *counts, renamed, 0, "failed", "not every staged file could be moved; sources kept"))
-            continue
-        deleted = sum(bool(fs.delete(place(f), False)) for f in r.files)
-        status = ("compacted", "") if deleted == len(r.files) else ("partial", "some source files could not be deleted")
-        outcome.append((label, r.partition_date, *counts, renamed, deleted, *status))
-    return spark.createDataFrame(outcome, OUTCOME)
-
-
 def compaction_summary(outcome: DataFrame) -> DataFrame:
     """Totals of a run over its outcome rows."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)

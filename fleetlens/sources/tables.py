@@ -53,8 +53,8 @@ def read_event_module(spark: SparkSession, base: str, module: str) -> DataFrame
     raise ValueError(f"module {module}: no 'extras' column in {bad}; columns={df.columns}")
 
 
-def load_gold(spark: SparkSession, path: str, as_of, retention_days: int = 0) -> DataFrame:
-    """A fact table, optionally without partitions older than ``retention_days``.
+def load_gold(spark: SparkSession, path: str, as_of, retention_days: int = 90) -> DataFrame:
+    """A fact table without partitions older than ``retention_days``; 0 keeps everything.
 
     The condition uses partition columns only, so old partitions are never opened.
     """

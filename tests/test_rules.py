@@ -10,7 +10,7 @@ from fleetlens.functions.rollup import count_with_distincts, merge_single_rows
 from fleetlens.operators import development, licences, normalize
 from fleetlens.operators.latest import latest_by_partition
 from fleetlens.plans import dims, gold, inventory
-from fleetlens.sources import sinks, tables
+from fleetlens.sources import sinks, snapshots, tables
 from fleetlens.sources.scratch import new_path
 
 
@@ -201,18 +201,18 @@ def test_compaction_keeps_a_file_that_arrives_meanwhile(spark, monkeypatch):
     path = new_path(spark, "compact")
     for values in ((1, 2), (2, 3)):
         _small_silver(spark, path, values)
-    dedupe = sinks.dedupe_exact
+    dedupe = snapshots.dedupe_exact
 
     def late(df):
         _small_silver(spark, path, (9,))  # lands after the files of this run were chosen
         return dedupe(df)
 
-    monkeypatch.setattr(sinks, "dedupe_exact", late)
-    first = sinks.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
+    monkeypatch.setattr(snapshots, "dedupe_exact", late)
+    first = snapshots.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
     monkeypatch.undo()
     assert [(r.status, r.files_read, r.raw_rows, r.written_rows, r.files_deleted) for r in first] == [("compacted", 2, 4, 3, 2)]
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2, 3, 9]
-    run = lambda: sinks.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
+    run = lambda: snapshots.compact_partitions(spark, path, new_path(spark, "staging"), COMPACT_KEYS, "2024-02-01").collect()
     assert [(r.files_read, r.written_rows) for r in run()] == [(2, 4)]
     assert run() == []
     folders = {f.rsplit("/", 1)[0].split(path.removeprefix("file:"))[-1] for f in spark.read.parquet(path).inputFiles()}
