@@ -47,7 +47,8 @@ def _running(rows: DataFrame, columns: list[str], order: list[str], total: str |
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, block, role, text with turn_no from 1 and n_turns; ties of turn are ordered by role and text."""
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK).cast("long")
+    # a null turn comes before all others, so its block does too
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62)))
     rows = conversations.select("conv_id", "turn", "role", "text", block.alias("block"), F.lit(1).cast("long").alias("turn_no"))
     return _running(rows, ["turn_no"], ["turn", "role", "text"], "n_turns")
 

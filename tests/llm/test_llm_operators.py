@@ -137,6 +137,13 @@ def test_long_conversation_in_blocks(spark):
     assert {tuple(r) for r in got} == {(1, 700, 700, 700), (3, 2, 2, 2)}
 
 
+def test_null_turns_come_first(spark):
+    rows = [(1, -300, "user", "a"), (1, None, "user", "b"), (1, -1, "user", "c"), (1, 5, "user", "d"), (1, None, "system", "e")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn_no"]: r["rendered"].split("\n")[1].split("<")[0] for r in chat.format_conversations(frame).collect()}
+    assert got == {1: "e", 2: "b", 3: "a", 4: "c", 5: "d"}
+
+
 def test_chat_runs_without_python(spark, sf_dir):
     plan = queries.QUERIES["op3_snapshot_chat_format"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
