@@ -15,7 +15,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.grown_tree(sharding.even_tree(SHARDS)))
 
 
 def op2_interval_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,19 @@ class Leaf:
 
 
 def even_tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 4) -> list[Leaf]:
-    """Full regions of equal racks; a shard beyond the last full region opens its own region."""
+    """Regions of equal racks, the last ones as full as the count allows."""
     if shards <= 0:
         raise ValueError("a tree needs at least one shard")
     per_region = racks_per_region * shards_per_rack
     return [Leaf(s // per_region, s // shards_per_rack, s) for s in range(shards)]
 
 
+def grown_tree(tree: list[Leaf], more: int = 1, weight: float = 1.0) -> list[Leaf]:
+    """The tree with ``more`` shards, each in a rack and region of its own, so that it takes keys only into itself."""
+    free = [max(getattr(leaf, level) for leaf in tree) + 1 for level in LEVELS]
+    return [*tree, *(Leaf(free[0] + i, free[1] + i, free[2] + i, weight) for i in range(more))]
+
+
 def _children(tree: list[Leaf]) -> list[dict[int, dict[int, float]]]:
     """Per level: parent -> child -> weight, where an inner weight is the sum of its shards."""
     levels: list[dict[int, dict[int, float]]] = [{}, {}, {}]
