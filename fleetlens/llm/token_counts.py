@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import bound_batches, texts
-from fleetlens.llm.tokens import LONGEST, ByteCounts, cut
+from fleetlens.llm.tokens import LONGEST, ByteCounts, spaced_pieces
 
 FREQUENT = 30_000
 REPORTED = 4_000
@@ -31,7 +31,7 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in texts(batch.column(0)):
-            counts.update(cut(text))
+            counts.update(spaced_pieces(text))
             if len(counts) > HELD:
                 counts = Counter(dict(counts.most_common(HELD // 2)))
     top = [(p, n) for p, n in counts.most_common(REPORTED) if len(p) <= LONGEST]

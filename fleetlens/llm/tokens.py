@@ -1,21 +1,31 @@
 """Encoding whole texts piece by piece, each distinct piece once per worker.
 
-A text is cut at single spaces and before line feeds. No token of the tokenizers used here
-crosses such a cut, so a text costs one dictionary lookup per piece. A piece that is one Latin
-word with at most a comma or full stop behind it goes straight to the tokenizer's merge model;
-every other piece goes through the whole tokenizer.
+No token crosses a cut, so a text costs one dictionary lookup per piece. Where the tokenizer
+drops white space, a text is cut at single spaces and before line feeds. Where it keeps white
+space, a piece is a run without white space, with one space before it if there is one, or white
+space by the byte-level rule: a run gives its last character up to the text behind it, and that
+character is a piece of its own unless it is the space. A piece that is one Latin word with at
+most a comma or full stop behind it goes straight to the tokenizer's merge model; every other
+piece goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import cache
+from operator import itemgetter
 
 from tokenizers import Tokenizer
 
 CACHED = 300_000
 LONGEST = 64
+LONG_TEXT = 1 << 22
 _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_SPACED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# The characters with the Unicode property White_Space.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 
 
 @cache
@@ -39,6 +49,13 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def spaced_pieces(text: str) -> Iterable[str]:
+    """Pieces of a text that together are the text, white space included."""
+    if len(text) > LONG_TEXT:  # the same pieces, without a list of them
+        return map(itemgetter(0), _PIECE.finditer(text))
+    return _PIECE.findall(text)
+
+
 class _Bounded(dict):
     """Keeps the first ``limit`` answers; frequent pieces come early."""
 
@@ -92,25 +109,25 @@ class WordIds(_Bounded):
 
 
 class ByteCounts(_Bounded):
-    """Token counts of a text under a byte-level tokenizer that keeps white space."""
+    """Token counts of a text under a byte-level tokenizer that keeps white space.
 
-    #: of a piece with inner white space, which a cut beside it could split
-    UNSAFE = -(1 << 60)
+    Special strings are cut out first, as the library does; each is one token.
+    """
+
+    def __init__(self, path: str, limit: int = CACHED, base: dict | None = None):
+        super().__init__(path, limit, base)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("special strings that take white space or need word bounds are not supported")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
     def answer(self, piece: str) -> int:
-        plain = _PLAIN.fullmatch(piece)
+        plain = _SPACED.fullmatch(piece)
         if plain:
-            return len(self.merged(plain[2] if plain[1] else " " + plain[2])) + len(plain[1]) + len(plain[3])
-        if piece.strip() != piece.removeprefix("\n") or len(piece.split()) != 1:
-            return self.UNSAFE
-        return len(self.ids(piece if piece[0] == "\n" else " " + piece))
+            return len(self.merged(plain[1])) + len(plain[2])
+        return len(self.ids(piece))
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        first, *rest = cut(text)
-        total = sum(map(self.__getitem__, rest), self[first] if first[:1] == "\n" else self.opening(first))
-        return total if total >= 0 else len(self.ids(text))
-
-    def opening(self, first: str) -> int:
-        return len(self.ids(first)) if first and first.strip() == first and len(first.split()) == 1 else self.UNSAFE
+        parts = self.special.split(text) if self.special else [text]
+        return sum(sum(map(self.__getitem__, spaced_pieces(part))) for part in parts) + len(parts) - 1

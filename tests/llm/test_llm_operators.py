@@ -45,7 +45,7 @@ def test_matches_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("source", ["documents", "awkward", "nothing"])
 def test_sharding(request, source):
     frame = request.getfixturevalue(source)
-    rows = sharding.shard_documents(frame, sharding.even_tree(16), sharding.even_tree(17)).collect()
+    rows = sharding.shard_documents(frame, sharding.even_tree(16), sharding.grown_tree(sharding.even_tree(16))).collect()
     want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in pairs(frame))
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
     slots = defaultdict(list)
@@ -55,6 +55,14 @@ def test_sharding(request, source):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_one_more_shard_takes_keys_only_into_itself(spark):
+    ids = spark.range(2_000).select(F.col("id").alias("doc_id"))
+    trees = [(sharding.even_tree(n), n) for n in (1, 2, 3, 5, 8, 9, 12, 16, 17, 40)] + [(sharding.grown_tree(sharding.even_tree(16), n), 16 + n) for n in (1, 2, 9)]
+    for i, (tree, n) in enumerate(trees):
+        both = sharding.place(sharding.place(ids, "doc_id", tree), "doc_id", sharding.grown_tree(tree), "grown_").collect()
+        assert all(r["grown_shard"] in (r["shard"], n) for r in both) and any(r["grown_shard"] == n for r in both), (i, n)
+
+
 def test_weights_move_keys_only_in_changed_subtrees(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
     tree = sharding.even_tree(16)
@@ -453,6 +461,20 @@ def test_pieces_encode_like_whole_texts():
     assert len(counts) <= 50 and len(ids) <= 50
 
 
+def test_paragraphs_are_counted_by_lookup(monkeypatch):
+    """Blank lines, tabs, indents, special strings: pieces are short, and counts are the library's."""
+    white = [*map(chr, range(9, 14)), *map(chr, range(28, 33)), "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000"]
+    random_, counts = random.Random(8), ByteCounts(BYTE_BPE)
+    for _ in range(6000):
+        text = "".join(random_.choice([*white, " ", " ", "\n", "\n\n", "a", "'s", "12", "été", "<|endoftext|>", "?!"]) for _ in range(random_.randint(0, 12)))
+        assert counts.count(text) == len(encoder(BYTE_BPE).encode(text, add_special_tokens=False).ids), repr(text)
+    longest = []
+    monkeypatch.setattr(ByteCounts, "ids", lambda self, piece: longest.append(len(piece)) or encoder(BYTE_BPE).encode(piece, add_special_tokens=False).ids)
+    text = "  A first line, and more.\n\n\tAn indented one  with\xa0blanks.\r\n\n" * 5000
+    assert ByteCounts(BYTE_BPE).count(text) == len(encoder(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    assert max(longest) <= 10 and len(longest) < 30
+
+
 # pipeline
 
 
