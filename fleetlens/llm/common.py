@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from pathlib import Path
 
@@ -60,6 +61,15 @@ def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_apart(frame: DataFrame, *needed: str) -> DataFrame:
+    """All columns in one struct ``row``, so that no name clashes with an operator's own, beside the ``needed`` ones."""
+    return frame.select(F.struct(*map(quoted, frame.columns)).alias("row"), *needed)
+
+
 def bucket_of(columns: list[Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
@@ -129,6 +139,51 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LONG_WORD = 1024
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the data."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each data[start:end], eight bytes at a time.
+
+    Every step mixes all bits of the one before, so words of a regular build do not meet, as they
+    do under sums of powers modulo 2^64. Other words meet by chance only (2^-64 a pair).
+    """
+    sizes, eights = ends - starts, _eights(data)
+    out = mix(sizes.astype(np.uint64), seed)
+    lane, live = 0, np.flatnonzero(sizes <= LONG_WORD)
+    while len(live):
+        part = eights[starts[live] + lane] & _TAILS[np.minimum(sizes[live] - lane, 8)]
+        out[live] = mix(out[live] * np.uint64(3) ^ part, seed)
+        lane += 8
+        live = live[sizes[live] > lane]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=(seed & (1 << 64) - 1).to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] and other[first:last] are the same bytes, for each pair."""
+    sizes, left, right = ends - starts, _eights(data), _eights(other)
+    same = sizes == last - first
+    lane, live = 0, np.flatnonzero(same & (sizes <= LONG_WORD))
+    while len(live):
+        part = (left[starts[live] + lane] ^ right[first[live] + lane]) & _TAILS[np.minimum(sizes[live] - lane, 8)]
+        same[live[part != 0]] = False
+        lane += 8
+        live = live[(part == 0) & (sizes[live] > lane)]
+    for i in np.flatnonzero(same & (sizes > LONG_WORD)):
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[first[i] : last[i]])
+    return same
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD_BYTE = np.zeros(256, bool)

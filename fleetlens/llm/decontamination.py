@@ -23,40 +23,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import LOWER, bound_batches, prefix_sums, ranges, stretch_hash, utf8, word_bounds
+from fleetlens.llm.common import LOWER, bound_batches, quoted, ranges, same_words, utf8, word_bounds, word_codes
 from fleetlens.llm.suffixes import FMIndex
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
 SHARD_BYTES = 4 << 20
 SHARD_SYMBOLS = 1 << 20
-_STATE = "_n_words long, _items array<string>, _spans array<struct<word_start:int,word_end:int,byte_start:int,byte_end:int>>"
 
 
 @dataclass
 class Block:
-    """Windows of some items: sorted word hashes, and per length the phrases and the items that have them."""
+    """Windows of some items: the words in order of their hash, and per length the phrases and the items that have them.
+
+    Words of a block have different hashes under its seed; ``data`` and ``bounds`` are their bytes.
+    """
 
     vocabulary: np.ndarray
     phrases: dict[int, tuple[np.ndarray, list[list[str]]]]
+    data: np.ndarray
+    bounds: np.ndarray
+    seed: int = 0
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first and last byte (in its row) of each word of a text column."""
-    data, bounds = utf8(column)
-    data = LOWER[data]
-    starts, ends, rows = word_bounds(data, bounds)
-    return stretch_hash(prefix_sums(data), starts, ends), rows, starts - bounds[rows], ends - bounds[rows]
+def item_words(text: str) -> list[bytes]:
+    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    return [data[a:b].tobytes() for a, b in zip(starts, ends)]
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     items, size = [], 0
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     for row in named.toLocalIterator():
-        hashes = word_hashes(pa.array([row["text"]], pa.string()))[0]
-        if len(hashes):
-            items.append((row["item"], hashes))
-            size += len(hashes)
+        words = item_words(row["text"])
+        if words:
+            items.append((row["item"], words))
+            size += len(words)
         if size >= block_words:
             yield _block(items, window)
             items, size = [], 0
@@ -64,16 +67,24 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: in
         yield _block(items, window)
 
 
-def _block(items: list[tuple[str, np.ndarray]], window: int) -> Block:
-    vocabulary = np.unique(np.concatenate([h for _, h in items]))
+def _block(items: list[tuple[str, list[bytes]]], window: int) -> Block:
+    words = sorted({w for _, own in items for w in own})
+    data, bounds = np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words]))
+    seed = 0
+    while len(np.unique(hashes := word_codes(data, bounds[:-1], bounds[1:], seed))) < len(words):
+        seed += 1
+    by_hash = np.argsort(hashes)
+    words = [words[i] for i in by_hash]
+    symbol = {w: i + 1 for i, w in enumerate(words)}
     owners: dict[tuple[int, ...], set[str]] = {}
-    for item, hashes in items:
-        symbols = (np.searchsorted(vocabulary, hashes) + 1).tolist()
+    for item, own in items:
+        symbols = [symbol[w] for w in own]
         for at in range(max(1, len(symbols) - window + 1)):
             owners.setdefault(tuple(symbols[at : at + window]), set()).add(item)
     lengths = sorted({len(p) for p in owners})
     by_length = {n: [p for p in owners if len(p) == n] for n in lengths}
-    return Block(vocabulary, {n: (np.array(p, np.int64), [sorted(owners[x]) for x in p]) for n, p in by_length.items()})
+    phrases = {n: (np.array(p, np.int64), [sorted(owners[x]) for x in p]) for n, p in by_length.items()}
+    return Block(hashes[by_hash], phrases, np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words])), seed)
 
 
 class _Shard:
@@ -91,11 +102,18 @@ class _Shard:
         self.batches, self.symbols, self.bytes, self.count = [], [], 0, 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        hashes, rows, first, last = word_hashes(batch.column("text"))
+        data, bounds = utf8(batch.column("text"))
+        data = LOWER[data]
+        starts, ends, rows = word_bounds(data, bounds)
+        first, last = starts - bounds[rows], ends - bounds[rows]
+        hashes = word_codes(data, starts, ends, self.block.seed)
         maybe = np.flatnonzero(self.filter[hashes >> np.uint64(44)])
         place = np.minimum(np.searchsorted(self.block.vocabulary, hashes[maybe]), len(self.block.vocabulary) - 1)
         known = self.block.vocabulary[place] == hashes[maybe]
-        words, symbols = maybe[known], place[known] + 1
+        words, place = maybe[known], place[known]
+        # Equal hashes are not yet equal words.
+        known = same_words(data, starts[words], ends[words], self.block.data, self.block.bounds[place], self.block.bounds[place + 1])
+        words, symbols = words[known], place[known] + 1
         # Stretches of known words in a row of one document, long enough to hold a window.
         breaks = np.ones(len(words) + 1, bool)
         breaks[1:-1] = (np.diff(words) != 1) | (np.diff(rows[words]) != 0)
@@ -140,7 +158,7 @@ class _Shard:
             a, b = np.searchsorted(place, [offset, offset + len(symbols)])
             at = place[a:b] - offset
             offset += len(symbols)
-            items, spans = batch.column("_items").to_pylist(), batch.column("_spans").to_pylist()
+            items, spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
             found: dict[int, list] = {}
             for r, w, n, who in zip(row[at].tolist(), word[at].tolist(), length[a:b].tolist(), whose[a:b].tolist()):
                 found.setdefault(r, []).append((w, n, who))
@@ -149,9 +167,9 @@ class _Shard:
                 fresh = [(w - int(base[r]), w + n - int(base[r]), int(first[w]), int(last[w + n - 1])) for w, n, _ in hits]
                 spans[r] = _merge(fresh + [tuple(s.values()) for s in spans[r]])
                 items[r] = sorted(set(items[r]).union(*(owners[who] for who in {h[2] for h in hits})))
-            out = batch.drop_columns(["_n_words", "_items", "_spans"])
-            kind = batch.schema.field("_spans").type
-            for name, values in (("_n_words", pa.array(n_words, pa.int64())), ("_items", pa.array(items, pa.list_(pa.string()))), ("_spans", pa.array(spans, kind))):
+            out = batch.drop_columns(["n_words", "items", "spans"])
+            kind = batch.schema.field("spans").type
+            for name, values in (("n_words", pa.array(n_words, pa.int64())), ("items", pa.array(items, pa.list_(pa.string()))), ("spans", pa.array(spans, kind))):
                 out = out.append_column(name, values)
             yield out
         self.clear()
@@ -177,9 +195,9 @@ def _searched(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBat
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``documents`` with _n_words, _items and _spans, the merged hits in words and bytes.
+    """(row, text, n_words, items, spans) of each document: all its columns but the text as a struct, and the merged hits in words and bytes.
 
-    A null or empty text has no words; an item without words has no window; a null item_id is
+    Columns of any name may come along, since they stay inside ``row``. A null or empty text has no words; an item without words has no window; a null item_id is
     the item named "". Repeated rows are judged each, overlapping hits merge, hits end with
     their document. Texts of any length are read whole; a shard holds at least one document.
     Without items every document is clean, and an empty table gives no rows.
@@ -187,11 +205,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = documents.sparkSession
     bound_batches(spark)
     spans = F.array().cast("array<struct<word_start:int,word_end:int,byte_start:int,byte_end:int>>")
-    out = documents.select(*documents.columns, F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), spans.alias("_spans"))
+    # A struct holds at least one field, the text's place, for documents of one column.
+    row = F.struct(*[quoted(c) if c != "text" else F.lit(None).cast("string").alias("text") for c in documents.columns])
+    out = documents.select(row.alias("row"), F.col("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), spans.alias("spans"))
     blocks = list(map(spark.sparkContext.broadcast, benchmark_blocks(benchmark, window, block_words)))
     if not blocks:
         # Words are counted all the same: one phrase that no text can hold.
-        blocks = [spark.sparkContext.broadcast(Block(np.zeros(1, np.uint64), {1 << 30: (np.zeros((0, 1), np.int64), [])}))]
+        blocks = [spark.sparkContext.broadcast(Block(np.zeros(1, np.uint64), {1 << 30: (np.zeros((0, 1), np.int64), [])}, np.zeros(0, np.uint8), np.zeros(2, np.int64)))]
     for block in blocks:
         out = out.mapInArrow(partial(_searched, block=block), out.schema)
     return out
@@ -199,21 +219,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def report(found: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["word_end"] - s["word_start"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["word_end"] - s["word_start"])
     return found.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
+        "row.doc_id",
+        "n_words",
         hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
-        F.col("_spans").alias("spans"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "spans",
     )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
         for row, cuts in enumerate(spans):
             if cuts:
                 data, out, at = texts[row].encode(), [], 0
@@ -222,10 +242,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = cut["byte_end"]
                 texts[row] = b"".join([*out, data[at:]]).decode()
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type)).drop_columns(["_spans"])
+        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type)).drop_columns(["spans"])
 
 
 def remove_spans(found: DataFrame) -> DataFrame:
     """The documents with their hits cut out of the text."""
-    rows = found.drop("_n_words", "_items")
-    return rows.mapInArrow(_cut, rows.drop("_spans").schema)
+    rows = found.select("row", "text", "spans")
+    names = found.schema["row"].dataType.names
+    inside = lambda name: F.col("row").getField(name).alias(name)
+    return rows.mapInArrow(_cut, rows.drop("spans").schema).select(*["text" if n == "text" else inside(n) for n in names])
