@@ -2,10 +2,10 @@
 
 A text is the sequence of its five-word shingles, each labelled with how often it occurred
 before. A sketch takes the ``DRAWN`` smallest labelled shingles under a seeded hash and keeps
-them in text order, so it meets for texts that share shingles in the same order. Texts of at most
-``SHORT`` shingles have exact keys in place of sketches: every choice of ``DRAWN`` among so many
-of their smallest labels that near texts have a choice in common. Longer texts that can be near
-such a text have both. Texts with a key in common are candidates and are verified by aligning
+them in text order, so it meets for texts that share shingles in the same order. Every text is
+sketched. Texts of at most ``SHORT`` shingles, and those that can be near one, have exact keys in
+addition: every choice of ``DRAWN`` among so many of their smallest labels that near texts have a
+choice in common, since few labels give sketches too few ways to meet. Texts with a key in common are candidates and are verified by aligning
 their shingle sequences inside the band the threshold allows: similarity is aligned shingles over
 all shingles, 0.8 or more.
 
@@ -18,6 +18,7 @@ of all candidate pairs, and no bucket is cut off or emitted pair by pair.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import LOWER, bound_batches, mix, prefix_sums, ranges, stored, stretch_hash, utf8, word_bounds
+from fleetlens.llm.common import LOWER, bound_batches, kept_apart, mix, prefix_sums, ranges, stored, stretch_hash, utf8, word_bounds, word_codes
 from fleetlens.llm.components import components
 
 SHINGLE = 5
@@ -45,7 +46,7 @@ def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     data, bounds = utf8(column)
     data = LOWER[data]
     starts, ends, rows = word_bounds(data, bounds)
-    words = stretch_hash(prefix_sums(data), starts, ends)
+    words = word_codes(data, starts, ends)
     per_row = np.bincount(rows, minlength=len(bounds) - 1).astype(np.int64)
     base = np.cumsum(per_row) - per_row
     counts = np.where(per_row > 0, np.maximum(per_row - width + 1, 1), 0)
@@ -127,9 +128,8 @@ def exact_keys(labels: np.ndarray, counts: np.ndarray, threshold: float = THRESH
 
 def _digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """128-bit digest of each row's shingle sequence."""
-    heads = np.append(0, np.cumsum(counts))
-    sums = [prefix_sums(hashes), prefix_sums(mix(hashes, 0xC0FFEE))]
-    return [d.tobytes() for d in np.stack([stretch_hash(s, heads[:-1], heads[1:]) for s in sums], 1)]
+    heads = np.append(0, np.cumsum(counts)).tolist()
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(heads, heads[1:])]
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], width: int, many: int, drawn: int, threshold: float = THRESHOLD) -> Iterator[pa.RecordBatch]:
@@ -137,9 +137,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int, many: int, drawn: i
         hashes, counts = shingles(batch.column("text"), width)
         labels = labelled(hashes, counts)
         rows, keys = exact_keys(labels, counts, threshold, drawn)
-        long = counts > SHORT
-        drawings = sketches(labels[np.repeat(long, counts)], counts[long], many, drawn)
-        rows = np.concatenate([rows, np.repeat(np.flatnonzero(long), many)])
+        drawings = sketches(labels, counts, many, drawn)
+        rows = np.concatenate([rows, np.repeat(np.flatnonzero(counts), many)])
         keys = np.concatenate([keys, drawings.ravel()])[np.argsort(rows, kind="stable")].view(np.int64)
         bounds = np.append(0, np.cumsum(np.bincount(rows, minlength=len(counts)))).astype(np.int32)
         out = batch.select(["doc_id"])
@@ -273,7 +272,8 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     sketched = rows.mapInArrow(partial(_sketched, width=width, many=many, drawn=drawn, threshold=threshold), f"doc_id {kind}, node binary, n long, keys array<long>")
-    sketched = stored(sketched, "order-sketches")
+    # A number per row tells rows apart that repeat doc_id and words.
+    sketched = stored(sketched.withColumn("_n", F.monotonically_increasing_id()), "order-sketches")
 
     members = sketched.select("node", F.explode("keys").alias("key")).distinct()
     # Tables of groups are stored before they are joined: then both sides of the join are plain
@@ -297,14 +297,12 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = SHI
         # The stars found so far stand for the links behind them.
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    # Rows that repeat doc_id and words are numbered, so that one of them stays.
-    copy = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("n"))
-    placed = _rooted(sketched.select("doc_id", "node", "n").withColumn("_copy", copy), roots)
-    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    placed = _rooted(sketched.select("doc_id", "node", "n", "_n"), roots)
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "_n")
     placed = stored(placed, "placed-documents")
     groups = stored(placed.groupBy("root").agg(F.min(one).alias("one"), F.count("*").alias("class_size")), "near-classes")
     each = placed.join(groups, "root")
-    kept = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("node") == F.col("one.node")) & (F.col("_copy") == 1)
+    kept = F.col("_n") == F.col("one._n")
     return each.select("doc_id", F.col("one.doc_id").alias("class_id"), "class_size", F.col("n").alias("n_shingles"), kept.alias("kept"), F.col("node").alias("_node"))
 
 
@@ -347,10 +345,11 @@ def _nodes(width: int):
 
 
 def keep_documents(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """One document of each class, with all its columns."""
-    kept = classes(documents, width=width).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("_node").alias("_keep_node"))
-    marked = documents.withColumn("_own_node", _nodes(width)(F.col("text")))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked["_own_node"] == kept["_keep_node"]))
-    # Rows that repeat doc_id and text: the join leaves them on one partition already.
-    first = F.row_number().over(Window.partitionBy("_keep_id", "_keep_node").orderBy("_keep_id"))
-    return found.withColumn("_row", first).filter("_row = 1").select(*[found[c] for c in documents.columns])
+    """One document of each class, with all its columns, whatever their names."""
+    kept = classes(documents, width=width).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("_node").alias("keep_node"))
+    marked = kept_apart(documents, "doc_id", _nodes(width)(F.col("text")).alias("node"))
+    # Of rows that repeat doc_id and words a task sends one.
+    first = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("doc_id"))
+    marked = marked.withColumn("first", first).filter("first = 1")
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["keep_id"]) & (marked["node"] == kept["keep_node"]))
+    return found.select("row.*")
