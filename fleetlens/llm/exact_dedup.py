@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import bound_batches, stored
+from fleetlens.llm.common import bound_batches, kept_apart, stored
 
 CHUNK = 1 << 16
 HUGE = 1 << 23
@@ -150,25 +150,24 @@ def classes(documents: DataFrame, prime: int | None = None, huge: int = HUGE, ch
     """
     bound_batches(documents.sparkSession)
     prime = prime or modulus()
-    # Rows that repeat doc_id and text are numbered, so that one of them stays.
-    copy = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("fp"))
-    prints = stored(fingerprints(documents, prime, huge, chunk).withColumn("_copy", copy), "fingerprints")
-    mixed = _mixed(documents, prints, prime, chunk).withColumn("mixed", F.lit(True))
+    # A number per row tells rows apart that repeat doc_id and text, so that one of them stays.
+    prints = stored(fingerprints(documents, prime, huge, chunk).withColumn("_n", F.monotonically_increasing_id()), "fingerprints")
+    mixed = stored(_mixed(documents, prints, prime, chunk), "mixed-fingerprints").withColumn("mixed", F.lit(True))
     split = prints.join(mixed, ["fp", "n_bytes"], "left").withColumn("split", F.when(F.col("mixed"), F.col("sha")).otherwise(F.lit(""))).drop("mixed")
     keys = ["fp", "n_bytes", "split"]
     split = stored(split, "fingerprint-classes")
-    groups = stored(split.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "text-groups")
+    groups = stored(split.groupBy(*keys).agg(F.max(F.struct("doc_id", "_n")).alias("keep"), F.count("*").alias("group_size")), "text-groups")
     return split.join(groups, keys).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("_n") == F.col("keep._n")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def keep_documents(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = classes(documents).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(folded(F.col("text")), 256)
-    marked = documents.withColumn("_sha", sha)
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked["_sha"] == kept["_keep_sha"]))
-    # Rows that repeat doc_id and text: the join leaves them on one partition already.
-    first = F.row_number().over(Window.partitionBy("_keep_id", "_keep_sha").orderBy("_keep_id"))
-    return found.withColumn("_row", first).filter("_row = 1").select(*[found[c] for c in documents.columns])
+    """The documents that stay, with all their columns, whatever their names."""
+    kept = classes(documents).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    marked = kept_apart(documents, "doc_id", F.sha2(folded(F.col("text")), 256).alias("sha"))
+    # Of rows that repeat doc_id and text a task sends one.
+    first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("doc_id"))
+    marked = marked.withColumn("first", first).filter("first = 1")
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["keep_id"]) & (marked["sha"] == kept["keep_sha"]))
+    return found.select("row.*")
