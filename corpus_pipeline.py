@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from fleetlens.llm.common import stored, table
+from fleetlens.llm.common import kept_apart, stored, table
 from fleetlens.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.scored(docs, model, "_quality_score")
-    return scored.filter(F.col("_quality_score") >= quality.THRESHOLD).select(*[scored[c] for c in docs.columns])
+    scored = quality.scored(kept_apart(docs, "text"), model)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if "n_chars" not in docs.columns:
         return found
     size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", F.coalesce(size, F.col("n_chars"))).select(*docs.columns)
+    return found.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

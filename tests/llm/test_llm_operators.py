@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import canonical_rows, compare, connect
 from fleetlens.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, queries, sharding, substring_dedup, token_counts, url_filters
+from fleetlens.llm.common import same_words, stored, word_codes
 from fleetlens.llm.tokens import ByteCounts, WordIds, encoder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -507,12 +508,57 @@ def test_pipeline_on_awkward_rows(spark, awkward, nothing, tmp_path):
 
     spark.createDataFrame([(3, 1), (6, 0), (15, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "theta1 eta2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (awkward, nothing):
-        for _, stage in corpus_pipeline.STAGES:
+    names = ["_keep_id", "_row", "row", "_sha", "sha", "_own_node", "node", "_quality_score", "_n_words", "n_words", "items", "_items", "spans", "_spans", "first", "keep_id", "keep_sha", "keep_node", "_n", "kept", "a.b", "a`b"]
+    clashing = awkward.select("*", *[F.concat(F.lit(n), F.lit(" stays")).alias(n) for n in names])
+    for docs in (awkward, clashing, nothing):
+        before = docs
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = stage(spark, docs, str(tmp_path))
+            if i < 4:
+                assert docs.schema.simpleString() == before.schema.simpleString()
+                docs = stored(docs, "awkward-stage")
+                if before is clashing:
+                    assert all(row[n] == f"{n} stays" for row in docs.collect() for n in names)
         docs.count()
 
 
+THUE_MORSE = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+
+
+def test_words_of_one_pattern_stay_apart(spark):
+    frame = spark.createDataFrame([(1, THUE_MORSE[0]), (2, THUE_MORSE[1]), (3, THUE_MORSE[0] + " " + THUE_MORSE[1])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, THUE_MORSE[0])], "item_id long, text string")
+    found = decontamination.report(decontamination.contamination(frame, items)).collect()
+    assert sorted((r["doc_id"], r["n_hit"]) for r in found) == [(1, 1), (2, 0), (3, 1)]
+    assert near_dedup.classes(frame).filter("class_size > 1").count() == 0
+    sequences = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(THUE_MORSE)], "doc_id long, text string")
+    assert sequences.mapInArrow(lambda b: near_dedup._sketched(b, 5, 16, 3), "doc_id long, node binary, n long, keys array<long>").select("node").distinct().count() == 2
+
+
+def test_words_with_equal_hashes_are_compared(monkeypatch):
+    random_ = random.Random(9)
+    texts = [bytes(random_.choice(b"abc") for _ in range(random_.choice([1, 7, 8, 9, 17, 1030]))) for _ in range(300)]
+    texts += [t[:-1] + b"x" for t in texts]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    left, right = (np.array([random_.randrange(len(texts)) for _ in range(4000)]) for _ in range(2))
+    right[::2] = left[::2]
+    same = same_words(data, bounds[left], bounds[left + 1], data, bounds[right], bounds[right + 1])
+    assert same.tolist() == [texts[a] == texts[b] for a, b in zip(left, right)]
+    codes = word_codes(data, bounds[:-1], bounds[1:])
+    assert len(set(codes.tolist())) == len(set(texts)) and (codes != word_codes(data, bounds[:-1], bounds[1:], 1)).all()
+
+
+def test_repeated_rows_keep_one(spark):
+    """One row in many copies, null ids among them: one stays, no window holds the copies."""
+    rows = [(None if i % 2 else 5, "the same words in every row of it") for i in range(400)] + [(6, "others")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for operator in (exact_dedup, near_dedup):
+        found = operator.classes(frame)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in found.filter("kept").collect()) == [5, 6]
+        assert sorted(r["doc_id"] for r in operator.keep_documents(frame).collect()) == [5, 6]
+
+
 def test_pipeline_is_reproducible(spark, sf_dir):
     import corpus_pipeline
 
