@@ -418,6 +418,23 @@ def epochs(s: Sources) -> DataFrame:
     return s.audit.select("event_id", "timestamp", (sec * scale).cast("string").alias("text"))
 
 
+def unit_groups(s: Sources) -> DataFrame:
+    """Epoch texts in five groups: one unit with some values of another, half and half, and dates with some epochs."""
+    group, turn = F.col("event_id") % 5, F.floor(F.col("event_id") / 5) % 10
+    scale = (
+        F.when(group == 0, F.when(turn == 0, 10**3).otherwise(1)).when(group == 1, F.when(turn == 0, 1).otherwise(10**3))
+        .when(group == 2, F.when(turn < 5, 1).otherwise(10**3)).when(group == 3, F.when(turn == 0, 10**9).otherwise(10**6))
+        .when(turn == 0, 1)
+    )
+    text = F.coalesce((F.unix_timestamp("timestamp") * scale.cast("long")).cast("string"), F.col("timestamp").cast("string"))
+    return s.audit.select("event_id", group.cast("int").alias("file_group"), text.alias("by_column"), text.alias("by_length"))
+
+
+def datetime_by_column(s: Sources) -> DataFrame:
+    rows = normalize.cast_datetime_columns(unit_groups(s), ["by_column"], ["file_group"])
+    return normalize.cast_datetime_columns(rows, ["by_length", "absent"], ["file_group"], mixed=True)
+
+
 CASES = {
     "prepare_audit": (
         lambda s: normalize.prepare_audit(lines(s).withColumn("timestamp", F.col("timestamp").cast("timestamp")), F.col("instance_name")),
@@ -474,6 +491,18 @@ FROM audit WHERE msgtype <> 'mystery-event'""",
         lambda s: epochs(s).select("event_id", casts.cast_datetime("text").alias("from_epoch"), casts.cast_datetime(F.concat(F.lit(" "), F.col("timestamp").cast("string"))).alias("from_text"), casts.cast_datetime(F.lit("junk")).alias("junk")),
         "SELECT event_id, timestamp AS from_epoch, timestamp AS from_text, CAST(NULL AS TIMESTAMP) AS junk FROM audit",
     ),
+    "cast_datetime_by_column": (
+        datetime_by_column,
+        """SELECT * FROM (WITH v AS (
+  SELECT event_id, CAST(event_id % 5 AS INTEGER) AS file_group, timestamp, epoch(timestamp)::BIGINT AS sec, (event_id // 5) % 10 AS turn FROM audit
+), n AS (
+  SELECT *, sec * CASE file_group WHEN 0 THEN CASE turn WHEN 0 THEN 1000 ELSE 1 END WHEN 1 THEN CASE turn WHEN 0 THEN 1 ELSE 1000 END WHEN 2 THEN CASE WHEN turn < 5 THEN 1 ELSE 1000 END
+    WHEN 3 THEN CASE turn WHEN 0 THEN 1000000000 ELSE 1000000 END WHEN 4 THEN CASE turn WHEN 0 THEN 1 END END AS number FROM v
+), m AS (SELECT file_group, median(number::DOUBLE) AS middle, count(*) > count(number) AS readable FROM n GROUP BY file_group
+), u AS (SELECT *, CASE WHEN middle >= 1e18 THEN 1000000000 WHEN middle >= 1e15 THEN 1000000 WHEN middle >= 1e12 OR middle IS NULL THEN 1000 ELSE 1 END AS divisor FROM m)
+SELECT event_id, file_group, CASE WHEN number IS NULL THEN timestamp WHEN readable OR number // divisor > 9223372036 THEN NULL ELSE make_timestamp((number // divisor) * 1000000) END AS by_column, timestamp AS by_length
+FROM n JOIN u USING (file_group)) AS cast_rows""",
+    ),
     "cast_epoch_strict": (
         lambda s: epochs(s).select("event_id", casts.cast_epoch_strict("text").alias("ts"), casts.cast_epoch_strict(F.substring("text", 1, 9), on_error="null").alias("short"), casts.epoch_strict_unsupported(F.substring("text", 1, 9)).alias("rejected")),
         "SELECT event_id, timestamp AS ts, CAST(NULL AS TIMESTAMP) AS short, TRUE AS rejected FROM audit",

@@ -11,6 +11,8 @@ from fleetlens.functions.text import as_col, null_if_blank, strip_all
 # digit counts accepted by the strict form, with the divisor to seconds.
 EPOCH_MAGNITUDE = [(10**18, 10**9), (10**15, 10**6), (10**12, 10**3)]
 EPOCH_DIGITS = {10: 1, 13: 10**3, 16: 10**6, 19: 10**9}
+# Fixed value: seconds from 1970, either way, that a clock of 64-bit nanoseconds reaches.
+CLOCK_SECONDS = 9_223_372_036
 
 
 def _whole_seconds(value: Column, divisor: int) -> Column:
@@ -32,6 +34,33 @@ def epoch_to_timestamp(value: Column | str) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def epoch_divisor(number: Column) -> Column:
+    """Aggregate: the divisor to seconds of the unit in which the median of ``number`` lies.
+
+    Where a median lies follows from counts, so values need not be kept: it reaches a
+    bound if more than half of them do, or if half do and the mean of the two values on
+    either side of the bound does. Without any number the unit is milliseconds.
+    """
+    n = F.count(number)
+    divisor = F.lit(1)
+    for bound, value in reversed(EPOCH_MAGNITUDE):
+        high = number >= bound
+        reached = F.count_if(high) * 2
+        middle = (F.max(F.when(~high, number)) + F.min(F.when(high, number))) / 2
+        divisor = F.when((reached > n) | ((reached == n) & (middle >= bound)), value).otherwise(divisor)
+    return F.when(n > 0, divisor).otherwise(10**3).cast("long")
+
+
+def epoch_in_unit(number: Column, whole: Column, divisor: Column) -> Column:
+    """A number of a known unit as a timestamp floored to the second; null where no clock reaches.
+
+    ``whole`` is the same number as a long where it is one, so that no digit is lost.
+    """
+    exact = ((whole - F.pmod(whole, divisor)) / divisor).cast("double")
+    seconds = F.round(F.coalesce(exact, F.floor(number / divisor).cast("double")))
+    return F.when(F.abs(number / divisor) <= CLOCK_SECONDS, F.timestamp_seconds(seconds.cast("long")))
+
+
 def cast_datetime(value: Column | str, dtype: str = "string") -> Column:
     """UTC timestamp floored to the second, from timestamp, number or text."""
     column = as_col(value)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.casts import cast_boolean, cast_datetime, cast_numeric, cast_string
+from fleetlens.functions.casts import cast_boolean, cast_datetime, cast_epoch_strict, cast_numeric, cast_string, epoch_divisor, epoch_in_unit
 from fleetlens.functions.text import PLACEHOLDER, as_col, sanitize_name, strip_all
 from fleetlens.plans import contracts
 
@@ -179,6 +181,50 @@ def normalize_module(
     return normalize_silver(df, required or [], instance=instance, run_ts=run_ts)
 
 
+def cast_datetime_columns(df: DataFrame, columns: Sequence[str], groups: Sequence[str], *, mixed: bool = False) -> DataFrame:
+    """UTC timestamps floored to the second, with one epoch unit per column and group of rows.
+
+    ``groups`` names what was delivered together, such as instance and file. Two passes:
+    counts per group give the unit of each column (by its median, :func:`epoch_divisor`),
+    and the rows are cast with it. A text column where any text of the group reads as a
+    timestamp has no epochs: its digits give null, or with ``mixed`` a timestamp by their
+    length. With ``mixed`` and no readable text, every all-digit text goes by its length,
+    and a length that is not known gives null. Values outside the clock's range, junk and
+    null give null; columns that ``df`` lacks are passed over; a group may hold any share
+    of the rows, as only its counts are aggregated. :func:`cast_datetime` decides per row.
+    """
+    dtypes = dict(df.dtypes)
+    present = [c for c in columns if c in dtypes]
+    clock = {c for c in present if dtypes[c] in ("timestamp", "timestamp_ntz", "date")}
+    loose = [c for c in present if c not in clock]
+    if not loose:
+        return df.withColumns({c: cast_datetime(f"`{c}`", dtypes[c]) for c in present}) if present else df
+    is_text = {c: dtypes[c] == "string" for c in loose}
+    column = lambda c: F.col(f"`{c}`")
+    number = {c: cast_numeric(column(c)) if is_text[c] else column(c).cast("double") for c in loose}
+    digits = {c: strip_all(column(c)).rlike(r"^[+-]?\d+$") if is_text[c] else F.lit(False) for c in loose}
+    read = {c: F.when(~digits[c], F.date_trunc("second", strip_all(column(c)).try_cast("timestamp"))) if is_text[c] else F.lit(None).cast("timestamp") for c in loose}
+    aside = {c: f"_unit_{i}_{len(df.columns)}" for i, c in enumerate(loose)}
+    units = df.groupBy(*[column(g).alias(f"_group_{i}") for i, g in enumerate(groups)]).agg(
+        *[F.struct(epoch_divisor(number[c]).alias("divisor"), (F.count(read[c]) > 0).alias("readable")).alias(aside[c]) for c in loose]
+    )
+    same = [column(g).eqNullSafe(F.col(f"_group_{i}")) for i, g in enumerate(groups)]
+    joined = df.join(units, reduce(and_, same), "left")
+    out = {}
+    for c in loose:
+        readable, divisor = F.col(f"{aside[c]}.readable"), F.col(f"{aside[c]}.divisor")
+        whole = strip_all(column(c)).try_cast("long") if is_text[c] else column(c).cast("long") if dtypes[c] in ("tinyint", "smallint", "int", "bigint") else F.lit(None).cast("long")
+        by_unit = epoch_in_unit(number[c], whole, divisor)
+        by_length = F.when(digits[c], cast_epoch_strict(column(c), on_error="null"))
+        if not is_text[c]:
+            out[c] = by_unit
+        elif mixed:
+            out[c] = F.coalesce(read[c], by_length, F.when(~readable & ~digits[c], by_unit))
+        else:
+            out[c] = F.coalesce(read[c], F.when(~readable, by_unit))
+    return joined.withColumns(out | {c: cast_datetime(f"`{c}`", dtypes[c]) for c in clock}).select(*[column(c) for c in df.columns])
+
+
 def dq_check(df: DataFrame, keys: list[str] | None = None, required: tuple[str, ...] = ("instance_name", "run_ts")) -> DataFrame:
     """Row count, nulls in required columns and unreadable extras, per partition key.
 
