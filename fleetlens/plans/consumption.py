@@ -3,7 +3,7 @@
 A single product, login or day may hold a large share of all events. Every rollup
 therefore starts from :func:`consumption_grain`, which counts events per (object,
 login, day) map-side; matching and the later aggregations run on those counts. Only
-:func:`match_products` on raw events keeps one row per event, and it can salt its keys.
+:func:`match_products` on raw events keeps one row per event, and it can split its hot keys.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from fleetlens.plans.dims import CONSUMPTION_TYPES, literal_table
 
 OBJECT_KEYS = ["instance_name", "project_key", "object_type", "object_key"]
 REPEAT_EVENTS, SHARED_USERS = 5, 2  # fixed values: repeat use and collaboration start here
+HOT_KEYS, HOT_ROWS, SPREAD = 1_000, 10_000, 1_000  # keys that may be split, events that make one hot, places for rows without a lookup
 
 
 # --- matching -------------------------------------------------------------------------
@@ -73,43 +74,55 @@ def _catalog_keys(catalog: DataFrame, types: Sequence[str] | None) -> DataFrame:
     )
 
 
-def match_products(events: DataFrame, catalog: DataFrame, *, types: Sequence[str] | None = None, salts: int = 8) -> DataFrame:
+def _hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The keys with the most rows: any other key holds less than a thousandth of all rows.
+
+    At most ``HOT_KEYS`` rows of a few strings, so the table may be broadcast at any scale.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
+    return counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
+
+
+def match_products(
+    events: DataFrame, catalog: DataFrame, *, types: Sequence[str] | None = None, salts: int = 8, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Tag each row with its product: exact identity, else a unique key without the project.
 
     Adds ``product_id``, ``match_type`` (exact, fallback, unmatched) and the product's
-    name and owner. Events are shuffled once: the catalogue side has one row per key that
-    holds its projects as a map. A hot key is spread over ``salts`` tasks; the catalogue is
-    copied once per salt, the event side never. Of catalogue rows with one identity the
-    smallest product_id counts, so the number of events stays.
+    name and owner. The first join looks the full identity up, one catalogue row per
+    identity; the second looks what is left up in one row per key, and has a product
+    only where the key names a single one. No cell grows with the projects of a key. With
+    ``salts`` above 1 the events are counted per key first, and the catalogue rows of keys
+    with ``hot_rows`` events or more are copied once per salt; events are never copied.
+    Rows that no lookup can match (a null key, a product found before) are spread, so
+    they do not meet in one task. Of catalogue rows with one identity the smallest
+    product_id counts, so the number of events stays.
     """
     keys = ["_i", "_t", "_k"]
     project_key = lambda column: F.coalesce(F.concat(F.lit("p:"), column), F.lit("none"))
     known = _catalog_keys(catalog, types).withColumn("_pk", project_key(F.col("_p")))
-    by_project = known.groupBy(*keys, "_pk").agg(
-        F.min(F.struct("product_id", "product_name", "owner_login")).alias("_product"),
-        F.min("product_id").alias("_low"),
-        F.max("product_id").alias("_high"),
-        F.min("product_name").alias("_name"),
-        F.min("owner_login").alias("_owner"),
-    )
-    one_row = by_project.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_pk", "_product"))).alias("_products"),
-        F.min("_low").alias("_low"),
-        F.max("_high").alias("_high"),
-        F.struct(F.min("_low").alias("product_id"), F.min("_name").alias("product_name"), F.min("_owner").alias("owner_login")).alias("_only"),
-    )
-    # The fallback holds only for keys that name a single product.
-    one_row = one_row.select(*keys, "_products", F.when(F.col("_low") == F.col("_high"), F.col("_only")).alias("_fallback"))
-    rows = events.withColumns(
-        {"_i": login_norm("instance_name"), "_t": login_norm("object_type"), "_k": login_norm("object_key"), "_pk": project_key(_project_norm())}
+    exact = known.groupBy(*keys, "_pk").agg(F.min(F.struct("product_id", "product_name", "owner_login")).alias("_exact"))
+    loose = known.groupBy(*keys).agg(
+        F.min("product_id").alias("product_id"), F.max("product_id").alias("_high"), F.min("product_name").alias("product_name"), F.min("owner_login").alias("owner_login")
     )
+    loose = loose.filter(F.col("product_id") == F.col("_high")).select(*keys, F.struct("product_id", "product_name", "owner_login").alias("_fallback"))
+    rows = events.withColumns({"_i": login_norm("instance_name"), "_t": login_norm("object_type"), "_k": login_norm("object_key")})
+    # Deterministic, so a recomputed task sends its rows to the same place.
+    draw = F.xxhash64(*events.columns)
+    salt, copies = F.lit(0), F.array(F.lit(0))
     if salts > 1:
-        # Deterministic, so a recomputed task sends its rows to the same place.
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-        one_row = one_row.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = [*keys, "_salt"]
-    joined = rows.join(one_row, keys, "left").withColumn("_exact", F.try_element_at("_products", F.col("_pk")))
+        hot = _hot_keys(rows, keys, hot_rows)
+        rows, exact, loose = (side.join(F.broadcast(hot), keys, "left") for side in (rows, exact, loose))
+        salt = F.when(F.col("_hot"), F.pmod(draw, F.lit(salts)).cast("int")).otherwise(0)
+        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(copies)
+    exact, loose = (side.withColumn("_salt", F.explode(copies)).drop("_hot") for side in (exact, loose))
+    # Salts below 0 meet no catalogue row.
+    apart = (-1 - F.pmod(draw, F.lit(SPREAD))).cast("int")
+    no_key = F.col("_i").isNull() | F.col("_t").isNull() | F.col("_k").isNull()
+    rows = rows.withColumns({"_pk": project_key(_project_norm()), "_salt": F.when(no_key, apart).otherwise(salt)})
     is_exact, is_fallback = F.col("_exact.product_id").isNotNull(), F.col("_fallback.product_id").isNotNull()
+    found = rows.join(exact, [*keys, "_pk", "_salt"], "left").withColumn("_salt", F.when(is_exact, apart).otherwise(F.col("_salt")))
+    joined = found.join(loose, [*keys, "_salt"], "left")
     product = F.when(is_exact, F.col("_exact")).otherwise(F.col("_fallback"))
     return joined.withColumn("_product", product).select(
         *events.columns,

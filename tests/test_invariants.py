@@ -31,8 +31,30 @@ def test_parts_add_up(sources):
 
 def test_salting_changes_nothing(sources):
     events = con.eligible_events(sources.object_events, AS_OF)
-    plain, salted = (con.match_products(events, sources.catalog, salts=n) for n in (1, 7))
-    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+    plain, salted, split = (con.match_products(events, sources.catalog, salts=n, hot_rows=least) for n, least in ((1, 1), (7, 10_000), (7, 5)))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect())) == sorted(map(str, split.collect()))
+
+
+def test_a_key_of_many_projects(spark):
+    """One key with 100 000 projects and a third of the events, null keys and blank projects, against Python."""
+    many = 100_000
+    products = spark.range(many).select(
+        F.concat(F.lit("id"), "id").alias("product_id"), F.lit("i").alias("instance_name"), F.concat(F.lit("P"), "id").alias("project_key"),
+        F.lit("dashboard").alias("product_type"), F.lit("hot").alias("product_key"), F.lit("n").alias("product_name"), F.lit("o").alias("owner_login"),
+    )
+    lone = products.limit(1).withColumns({"product_id": F.lit("lone"), "project_key": F.lit(None).cast("string"), "product_key": F.lit("cold")})
+    third = F.col("id") % 3
+    events = spark.range(30_000).select(
+        F.col("id").alias("n"), F.when(third < 2, F.lit("I ")).alias("instance_name"), F.concat(F.lit("p"), (F.col("id") * 7).cast("string")).alias("project_key"),
+        F.lit("dashboard").alias("object_type"), F.when(third == 0, "hot").otherwise("cold").alias("object_key"),
+    )
+    for options in ({"salts": 1}, {"salts": 4, "hot_rows": 100}):
+        matched = con.match_products(events, products.unionByName(lone), **options)
+        expected = {}
+        for n in range(30_000):
+            kind, product = ("exact", f"id{7 * n}") if n % 3 == 0 and 7 * n < many else ("fallback", "lone") if n % 3 == 1 else ("unmatched", None)
+            expected[n] = (kind, product)
+        assert {r.n: (r.match_type, r.product_id) for r in matched.collect()} == expected and matched.count() == 30_000
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +129,39 @@ def test_no_cross_or_nested_loop_join(spark, sf_dir, name):
     plan = plan_of(registry.merged("QUERIES")[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan  # no Python worker anywhere
+
+
+def test_one_unit_per_column_against_medians(spark):
+    """Groups of mixed magnitudes, even and odd in number, junk, nulls, a null group, long and double columns."""
+    from statistics import median
+
+    from fleetlens.operators.normalize import cast_datetime_columns
+
+    rng, rows = random.Random(3), []
+    for group in range(40):
+        scales = rng.sample([1, 10**3, 10**6, 10**9], rng.randrange(1, 4))
+        for _ in range(rng.randrange(1, 9)):
+            rows.append((len(rows), group or None, rng.choice([None, rng.randrange(10**9, 2 * 10**9) * rng.choice(scales) + rng.choice([0, 0, 1])])))
+    df = spark.createDataFrame([(n, g, v, v and float(v), f" {v} " if v else "junk") for n, g, v in rows], "n int, g int, a long, b double, c string")
+    expected = {}
+    for n, group, value in rows:
+        values = [float(v) for _, g, v in rows if g == group and v is not None]
+        middle = median(values) if values else 10**12
+        unit = 10**9 if middle >= 1e18 else 10**6 if middle >= 1e15 else 10**3 if middle >= 1e12 else 1
+        expected[n] = None if value is None or value / unit > 9_223_372_036 else value // unit
+    out = cast_datetime_columns(df, ["a", "b", "c", "absent"], ["g"])
+    assert out.columns == df.columns
+    seconds = out.select("n", *[F.unix_timestamp(c).alias(c) for c in "abc"]).collect()
+    assert {r.n: r.a for r in seconds} == expected == {r.n: r.c for r in seconds}
+    assert all(r.b == expected[r.n] for r in seconds if rows[r.n][2] is None or rows[r.n][2] < 2**53)
+    assert cast_datetime_columns(df.limit(0), ["a", "c"], ["g"]).count() == 0
+
+
+def test_readable_texts_leave_no_epochs(spark):
+    from fleetlens.operators.normalize import cast_datetime_columns
+
+    df = spark.createDataFrame([(1, "2024-01-01 10:00:00.7"), (1, "1704103200"), (1, "17041032"), (1, ""), (2, "1704103200000"), (2, "17"), (2, "x")], "g int, t string")
+    texts = lambda mixed: [str(r.t) for r in cast_datetime_columns(df.coalesce(1), ["t"], ["g"], mixed=mixed).select("g", F.col("t").cast("string")).orderBy("g", F.desc("t")).collect()]
+    # The median of 17 and 1704103200000 is below 10^12, so group 2 counts seconds and the larger one is out of range.
+    assert texts(False) == ["2024-01-01 10:00:00", "None", "None", "None", "1970-01-01 00:00:17", "None", "None"]
+    assert texts(True) == ["2024-01-01 10:00:00", "2024-01-01 10:00:00", "None", "None", "2024-01-01 10:00:00", "None", "None"]

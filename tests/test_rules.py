@@ -229,7 +229,7 @@ def test_nothing_is_clamped(spark):
 
 
 def test_plans_with_large_sides(spark, sources):
-    """With broadcast by size off: events are shuffled once for the products, and details are read for one item."""
+    """With broadcast by size off: two lookups for the products, the bounded table of hot keys alone is broadcast, and details are read for one item."""
     from checks.adapters import AS_OF
     from fleetlens.plans import consumption
 
@@ -238,8 +238,8 @@ def test_plans_with_large_sides(spark, sources):
     try:
         events = consumption.eligible_events(sources.object_events, AS_OF)
         plan = consumption.match_products(events, sources.catalog)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("SortMergeJoin") == 1 and plan.count("CartesianProduct") == 0
-        assert plan.count("Exchange hashpartitioning(_i") + plan.count("Exchange hashpartitioning(lower") <= 4
+        assert plan.count("SortMergeJoin") == 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert "collect_list" not in plan and plan.count("BroadcastHashJoin") == 3 and plan.count("TakeOrderedAndProject(limit=1000") >= 1
         asset = inventory.asset_detail(sources.asset_catalog, sources.object_events, "x", sources.inventory.withColumn("object_type", F.lit("dataset")))._jdf.queryExecution().executedPlan().toString()
         assert asset.count("BroadcastHashJoin") >= 2
     finally:
