@@ -725,8 +725,8 @@ def _is_underutilized() -> Column:
     return F.coalesce(F.col("developing_to_viewing_ratio") < RISK_RATIO, F.lit(False))
 
 
-def creator_risk(users, daily, as_of, kind: str, *, instance=None, page: int = 1, page_size: int = RISK_PAGE) -> DataFrame:
-    """One page of creator-licence accounts without activity or hardly developing."""
+def creator_risk(users, daily, as_of, kind: str, *, instance=None, page: int = 1, page_size: int | None = RISK_PAGE) -> DataFrame:
+    """One page of creator-licence accounts without activity or hardly developing; all of them without a page size."""
     rows = _creators(users, daily, as_of, instance)
     if kind == "delinquent":
         rows = rows.filter(_is_delinquent()).drop("developing_to_viewing_ratio")
@@ -737,6 +737,10 @@ def creator_risk(users, daily, as_of, kind: str, *, instance=None, page: int = 1
     else:
         raise ValueError(f"unknown risk {kind!r}")
     order += [F.col("display_name").asc_nulls_last(), F.col("login").asc(), F.col("instance_name").asc()]
+    if page_size is None:
+        if page != 1:
+            raise ValueError("without a page size there is one page")
+        return rows.orderBy(*order)
     return top_n(rows, order, page_size, (positive(page, "page") - 1) * page_size)
 
 
