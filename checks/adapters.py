@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.session import configure
 
 AS_OF = dt.datetime(2024, 1, 31)
+TASK_ROWS = 100_000  # driver rows of one task where a table is spread
 
 _D = {
     "spark": {
@@ -243,10 +244,22 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select([F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
-def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table dealt by its key over tasks of ``TASK_ROWS`` rows.
+
+    The driver files have few row groups. Its rows are narrow, and hashing them needs no sort as a
+    round-robin does; tasks stay small, so what is sorted in one of them fits its memory at any size.
+    """
+    df = driver_table(spark, sf_dir, name)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, df.columns[0])
+
+
+def adapted(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Adapter output as a DataFrame (lazy; nothing is cached or collected)."""
     build, sources = ADAPTERS[name]
-    frames = {s: adapted(spark, sf_dir, s) if s in ADAPTERS else driver_table(spark, sf_dir, s) for s in sources}
+    table = spread_table if spread else driver_table
+    frames = {s: adapted(spark, sf_dir, s, spread) if s in ADAPTERS else table(spark, sf_dir, s) for s in sources}
     text = build("spark").replace("{", "{{").replace("}", "}}")
     for source in sources:
         for lead in ("FROM", "JOIN"):

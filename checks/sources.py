@@ -53,8 +53,9 @@ class Sources:
         with lock:
             if key not in _WRITTEN:
                 path = new_path(self.spark, f"{source}/{name}")
-                # The driver files have one row group; spread the rows as a real table would be.
-                build(self).repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
+                # Written as built: the narrow driver rows were dealt over tasks before (see ``spread``),
+                # so no wide row is shuffled or sorted only to be stored.
+                build(self).write.parquet(path)
                 _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 
@@ -68,13 +69,17 @@ class Sources:
     def adapted(self, name: str) -> DataFrame:
         return adapted(self.spark, self.sf_dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """An adapted table whose driver rows are dealt over tasks of bounded size."""
+        return adapted(self.spark, self.sf_dir, name, spread=True)
+
     @stored
     def audit(self) -> DataFrame:
-        return self.adapted("audit")
+        return self.spread("audit")
 
     @stored
     def audit_flat(self) -> DataFrame:
-        return self.adapted("audit_flat")
+        return self.spread("audit_flat")
 
     @stored
     def users(self) -> DataFrame:
@@ -110,7 +115,7 @@ class Sources:
 
     @stored
     def max_licenses(self) -> DataFrame:
-        return self.adapted("max_licenses")
+        return self.spread("max_licenses")
 
     @stored
     def max_latest(self) -> DataFrame:
@@ -124,9 +129,10 @@ class Sources:
     def formal(self) -> DataFrame:
         return user_plans.formal_mau_enriched(self.mau_daily, self.users, self.daily)
 
-    @stored
+    @property
     def object_silver(self) -> DataFrame:
-        return self.adapted("object_silver")
+        # A row-wise view of the driver rows, wider and longer than they are: cheaper made again than stored.
+        return self.spread("object_silver")
 
     @stored
     def object_events(self) -> DataFrame:
@@ -134,7 +140,7 @@ class Sources:
 
     @stored
     def inventory(self) -> DataFrame:
-        return self.adapted("inventory")
+        return self.spread("inventory")
 
     def inventory_of(self, name: str) -> DataFrame:
         """The snapshots under the source column names of one inventory."""

@@ -30,12 +30,19 @@ def with_object_identity(df: DataFrame) -> DataFrame:
     """Add ``object_type`` and ``object_key`` from the ``module`` and identifiers of an event.
 
     Modules without an object rule use the module name as type and have no key. The
-    JSON in ``extras`` is parsed once per row.
+    JSON in ``extras`` is parsed at most once per row.
     """
     module = F.col("module")
     rows = df
     if "extras" in df.columns:
-        rows = rows.withColumn("_extras", F.from_json(F.col("extras").cast("string"), "map<string,string>"))
+        # Only where the native columns name no object is the JSON read.
+        needed: Column = F.lit(False)
+        for modules, _, natives, paths in OBJECT_SOURCES:
+            if paths:
+                named = _present(df, natives + (["dashboardid"] if DASHBOARD_MODULE in modules else []))
+                needed = needed | (module.isin(modules) & F.coalesce(*named, F.lit(None).cast("string")).isNull())
+        parsed = F.from_json(F.col("extras").cast("string"), "map<string,string>")
+        rows = rows.withColumn("_extras", F.when(needed, parsed))
     nothing = F.lit(None).cast("string")
     kind, key, cleaned = module, nothing, []
     for modules, name, natives, paths in OBJECT_SOURCES:
@@ -61,8 +68,8 @@ def with_object_identity(df: DataFrame) -> DataFrame:
     return rows.withColumn("object_key", tidy).drop("_key")
 
 
-def object_events(spark: SparkSession, silver: DataFrame, capability: DataFrame | None = None, modules: list[str] | None = None) -> DataFrame:
-    """Attributed events with their object, before deduplication."""
+def _object_rows(silver: DataFrame, modules: list[str] | None = None) -> DataFrame:
+    """Attributed events with their object, as narrow as they can be compared."""
     wanted = modules or [*OBJECT_MODULES, "dataset"]
     login = first_text(*[c for c in ("authuser", "user") if c in silver.columns])
     known = [m for names, *_ in OBJECT_SOURCES for m in names]
@@ -85,12 +92,22 @@ def object_events(spark: SparkSession, silver: DataFrame, capability: DataFrame
     )
     rows = rows.filter(F.col("login").isNotNull() & (F.col("object_key").isNotNull() | ~F.col("module").isin(known)))
     # Opening an application is use of the platform, not of the application object.
-    rows = rows.filter((F.col("module") != APPLICATION_MODULE) | (F.col("event_name") != OPEN_EVENT))
-    caps = (dim_capability(spark) if capability is None else capability).select(
-        canonical("activity_category").alias("_cat"), F.col("capability").alias("canonical_capability")
-    )
+    return rows.filter((F.col("module") != APPLICATION_MODULE) | (F.col("event_name") != OPEN_EVENT)).drop("module")
+
+
+def _capabilities(spark: SparkSession, capability: DataFrame | None) -> DataFrame:
+    table = dim_capability(spark) if capability is None else capability
+    return table.select(canonical("activity_category").alias("_cat"), F.col("capability").alias("canonical_capability"))
+
+
+def _described(rows: DataFrame, caps: DataFrame) -> DataFrame:
     joined = rows.withColumn("_cat", canonical("event_category")).join(caps, "_cat", "left")
-    return joined.withColumn("object_name", F.col("object_key")).drop("_cat", "module")
+    return joined.withColumn("object_name", F.col("object_key")).drop("_cat")
+
+
+def object_events(spark: SparkSession, silver: DataFrame, capability: DataFrame | None = None, modules: list[str] | None = None) -> DataFrame:
+    """Attributed events with their object, before deduplication."""
+    return _described(_object_rows(silver, modules), _capabilities(spark, capability))
 
 
 def dedupe_object_events(events: DataFrame) -> DataFrame:
@@ -112,4 +129,9 @@ def dedupe_object_events(events: DataFrame) -> DataFrame:
 
 
 def object_activity_events(spark: SparkSession, silver: DataFrame, capability: DataFrame | None = None) -> DataFrame:
-    return dedupe_object_events(object_events(spark, silver, capability))
+    """Attributed events with their object, each once.
+
+    What follows from other columns is added after the deduplication, so it is not shuffled with the rows.
+    """
+    caps = _capabilities(spark, capability).groupBy("_cat").agg(F.min("canonical_capability").alias("canonical_capability"))
+    return _described(dedupe_object_events(_object_rows(silver)), caps)
