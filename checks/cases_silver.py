@@ -35,16 +35,15 @@ def lines(s: Sources) -> DataFrame:
     return s.audit_flat.select("event_id", F.col("timestamp").cast("string").alias("timestamp"), "topic", "instance_name", message.alias("message"))
 
 
-def json_path(s: Sources, copies: int = 1) -> str:
-    """The same rows as JSON files, written once per session."""
+def dealt_lines(s: Sources, copies: int = 1) -> DataFrame:
+    """Lines dealt over four files by hash: a round-robin would sort the nested lines first, and spill them."""
+    rows = lines(s).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    return rows.repartition(4, "event_id", "copy").drop("copy")
 
-    def write(path: str) -> None:
-        rows = lines(s)
-        if copies > 1:
-            rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
-        rows.repartition(4).write.json(path)
 
-    return stored_path(s, f"audit_json_{copies}", write)
+def json_path(s: Sources, copies: int = 1) -> str:
+    """The same rows as JSON files, written once per session."""
+    return stored_path(s, f"audit_json_{copies}", lambda path: dealt_lines(s, copies).write.json(path))
 
 
 def write_silver(s: Sources, path: str) -> None:
