@@ -16,18 +16,22 @@ from __future__ import annotations
 import datetime as dt
 import heapq
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import islice
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.calendar import day_floor
 from fleetlens.sources.sinks import COMPACTED, MAX_ROWS_PER_FILE, OUTCOME, complete_versions, dedupe_exact, files_at
 
 BATCH_PARTITIONS = 25  # fixed value: partitions that one step of a run compacts
+STAGED_TOGETHER = 4  # fixed value: steps whose rows are staged and verified at the same time; they are committed one by one
 LISTED_TOGETHER = 64  # day folders whose files are listed in one job
 _MANIFEST = "kind string, value string"
 
@@ -216,13 +220,20 @@ def recover(spark: SparkSession, path: str, keys: list[str]) -> Manifest:
     return write_manifest(spark, path, state)
 
 
-def compact_step(spark: SparkSession, path: str, staging: str, keys: list[str], chosen: list[Partition], schema: str) -> list[tuple]:
-    """Compact some partitions as one run; their outcome rows.
+@dataclass(frozen=True)
+class Staged:
+    """The staged rows of one step: contents of each partition before and after, and its new files."""
 
-    The distinct rows of a partition are staged and read back. A partition whose digest differs from that of
-    the files it was made of keeps its files. A file that arrives meanwhile is not among the files read and stays.
-    """
-    state, run = recover(spark, path, keys), uuid.uuid4().hex
+    before: dict[tuple, Row]
+    after: dict[tuple, Row]
+    files: dict[tuple, list[str]]
+
+
+def stage_step(spark: SparkSession, path: str, staging: str, keys: list[str], chosen: list[Partition], schema: str | None) -> Staged:
+    """Write the distinct rows of some partitions to ``staging`` and read them back. The table is not changed."""
+    if schema is None:
+        merged = spark.read.option("mergeSchema", "true").parquet(*[f for p in chosen for f in p.files])
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields if f.name not in keys)
     kinds = ", ".join(f"`{k}` string" for k in keys)
     rows = spark.read.schema(f"{schema}, {kinds}").option("basePath", path).parquet(*[f for p in chosen for f in p.files])
     dedupe_exact(rows).hint("rebalance", *keys).write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE).partitionBy(*keys).parquet(staging)
@@ -231,6 +242,18 @@ def compact_step(spark: SparkSession, path: str, staging: str, keys: list[str],
     for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(staging).select("path").collect():
         values = tuple(unquote(level.split("=", 1)[1]) for level in row.path.split("/")[-len(keys) - 1 : -1])
         moved.setdefault(values, []).append(row.path)
+    return Staged(before, after, moved)
+
+
+def compact_step(spark: SparkSession, path: str, staging: str, keys: list[str], chosen: list[Partition], schema: str | None, staged: Staged | None = None) -> list[tuple]:
+    """Compact some partitions as one run, staged before or now; their outcome rows.
+
+    A partition whose staged digest differs from that of the files it was made of keeps its
+    files. A file that arrives meanwhile is not among the files read and stays.
+    """
+    staged = staged or stage_step(spark, path, staging, keys, chosen, schema)
+    state, run = recover(spark, path, keys), uuid.uuid4().hex
+    before, after, moved = staged.before, staged.after, staged.files
 
     def fits(p: Partition) -> bool:
         old, new = before.get(p.values), after.get(p.values)
@@ -270,7 +293,9 @@ def compact_partitions(
     """Merge the files of old partitions and drop identical rows; one outcome row per partition.
 
     Every partition with a file that is not compacted yet is taken, a lone file too, or the ``newest`` of them.
-    ``BATCH_PARTITIONS`` are compacted at a time, and the driver holds the file names of those only. ``schema``
+    ``BATCH_PARTITIONS`` make a step. The rows of ``STAGED_TOGETHER`` steps are staged at the same time, so the
+    many short jobs of a step do not leave a cluster idle; steps are committed one after the other, newest first,
+    and the driver holds the file names of those steps only. ``schema``
     names the data columns; without it a step reads them from the footers of its files. Partition folders keep
     their names (``month=01``). Read the table with :func:`read_snapshot`; plain readers may see rows twice
     between the steps of a run.
@@ -280,12 +305,20 @@ def compact_partitions(
     recover(spark, path, keys)
     found = newest_partitions(spark, path, keys, as_of, newest, min_age_days=age_days, scan=scan)
     outcome: list[tuple] = []
-    step = 0
-    while chosen := list(islice(found, BATCH_PARTITIONS)):
-        columns = schema
-        if columns is None:
-            merged = spark.read.option("mergeSchema", "true").parquet(*[f for p in chosen for f in p.files])
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields if f.name not in keys)
-        outcome += compact_step(spark, path, f"{staging}/step={step}", keys, chosen, columns)
-        step += 1
+    begun: deque[tuple[str, list[Partition], Future[Staged]]] = deque()
+    step, stage = 0, inheritable_thread_target(spark)(stage_step)
+    with ThreadPoolExecutor(STAGED_TOGETHER) as pool:
+        try:
+            while True:
+                while len(begun) < STAGED_TOGETHER and (chosen := list(islice(found, BATCH_PARTITIONS))):
+                    place = f"{staging}/step={step}"
+                    begun.append((place, chosen, pool.submit(stage, spark, path, place, keys, chosen, schema)))
+                    step += 1
+                if not begun:
+                    break
+                place, chosen, staged = begun.popleft()
+                outcome += compact_step(spark, path, place, keys, chosen, schema, staged.result())
+        finally:
+            for *_, later in begun:
+                later.cancel()  # only after an error
     return spark.createDataFrame(outcome, OUTCOME)
