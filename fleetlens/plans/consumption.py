@@ -2,7 +2,7 @@
 
 A single product, login or day may hold a large share of all events. Every rollup
 therefore starts from :func:`consumption_grain`, which counts events per (object,
-login, day) map-side; matching and the later aggregations run on those counts. Only
+login, day) map-side; the later aggregations run on those counts, matching on one row per object. Only
 :func:`match_products` on raw events keeps one row per event, and it can split its hot keys.
 """
 
@@ -57,6 +57,11 @@ def consumption_grain(events: DataFrame) -> DataFrame:
     )
 
 
+def object_counts(events: DataFrame) -> DataFrame:
+    """Event counts per object: all that matching needs to know, and few rows beside the grain."""
+    return events.groupBy(*OBJECT_KEYS).agg(F.count(F.lit(1)).alias("events"))
+
+
 def _project_norm(column: str = "project_key") -> Column:
     return F.lower(null_if_blank(column))
 
@@ -146,10 +151,18 @@ def matched_consumption(
     instances: Sequence[str] | None = None,
     projects: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Matched consumption grain under the page filters; the input of every rollup below."""
-    scope = {"types": types, "instances": instances, "projects": projects}
-    grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog, types=types, salts=1).filter(F.col("product_id").isNotNull())
+    """Matched consumption grain under the page filters; the input of every rollup below.
+
+    A product follows from the object alone, so objects are matched and the grain is shuffled once for
+    it, in its own columns. A matched object has an instance, type and key; its project may be null.
+    """
+    eligible = eligible_events(events, as_of, days, types=types, instances=instances, projects=projects)
+    matched = match_products(object_counts(eligible), catalog, types=types, salts=1).filter(F.col("product_id").isNotNull()).drop("events")
+    found = matched.withColumnsRenamed({k: f"_{k}" for k in OBJECT_KEYS})
+    same = F.col("project_key").eqNullSafe(F.col("_project_key"))
+    for key in ("instance_name", "object_type", "object_key"):
+        same = same & (F.col(key) == F.col(f"_{key}"))
+    rows = consumption_grain(eligible).join(found, same).drop(*[f"_{k}" for k in OBJECT_KEYS])
     if q:
         text = q.lower()
         named = F.lower(F.coalesce("product_name", "object_key")).contains(text)
@@ -498,8 +511,8 @@ def lifecycle(events: DataFrame, catalog: DataFrame, as_of, days: int = 365, **f
 
 def match_diagnostics(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, **scope) -> DataFrame:
     """How many eligible events match, by kind, in one row."""
-    grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    by_kind = match_products(grain, catalog, salts=1).groupBy("match_type").agg(F.sum("events").alias("_n"))
+    counts = object_counts(eligible_events(events, as_of, days, **scope))
+    by_kind = match_products(counts, catalog, salts=1).groupBy("match_type").agg(F.sum("events").alias("_n"))
     of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("match_type").isin(list(kinds)), F.col("_n"))), F.lit(0))
     return by_kind.agg(
         of("exact", "fallback", "unmatched").alias("eligible_events"),
@@ -511,13 +524,13 @@ def match_diagnostics(events: DataFrame, catalog: DataFrame, as_of, days: int =
 
 
 def unmatched_by_type(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, **scope) -> DataFrame:
-    grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog, salts=1).filter(F.col("match_type") == "unmatched")
+    counts = object_counts(eligible_events(events, as_of, days, **scope))
+    rows = match_products(counts, catalog, salts=1).filter(F.col("match_type") == "unmatched")
     return rows.groupBy(F.col("object_type").alias("label")).agg(F.sum("events").alias("events"))
 
 
 def unmatched_sample(events: DataFrame, catalog: DataFrame, as_of, days: int = 30, limit: int = 20, **scope) -> DataFrame:
     """A few unmatched identities for a human to look at, in a repeatable order."""
-    grain = consumption_grain(eligible_events(events, as_of, days, **scope))
-    rows = match_products(grain, catalog, salts=1).filter(F.col("match_type") == "unmatched").select(*OBJECT_KEYS).distinct()
+    counts = object_counts(eligible_events(events, as_of, days, **scope))
+    rows = match_products(counts, catalog, salts=1).filter(F.col("match_type") == "unmatched").select(*OBJECT_KEYS)
     return top_n(rows, [F.col(k).asc_nulls_last() for k in OBJECT_KEYS], limit)
