@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Longer generated methods are never compiled by HotSpot. Rules with many cases (object identity) made such
+    # methods, and their rows were interpreted; above the limit Spark generates smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
