@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from fleetlens.functions.calendar import since_days
 from fleetlens.functions.casts import epoch_or_iso_ts
@@ -171,10 +172,17 @@ PRODUCT_SPECS = {name: _product(source) for name, source in PRODUCT_SOURCES.item
 INDEX_COLUMNS = ["key", "name", "subtype", "owner_login", "last_modified_by_login", "created_at", "updated_at"]
 
 
+def _moment(df: DataFrame, name: str | None) -> Column:
+    """A time column; one that metadata has typed before is not turned into text and read again."""
+    if name is None:
+        return F.lit(None).cast("timestamp")
+    return F.col(name) if df.schema[name].dataType == TimestampType() else epoch_or_iso_ts(name)
+
+
 def _branch(df: DataFrame, kind: str, spec: TypeSpec, prefix: str) -> DataFrame:
     texts = [spec.key, spec.name, spec.subtype, spec.owner, spec.modified_by]
     columns = [_first(df, names) for names in texts]
-    columns += [epoch_or_iso_ts(c) if c else F.lit(None).cast("timestamp") for c in (spec.created, spec.updated)]
+    columns += [_moment(df, c) for c in (spec.created, spec.updated)]
     named = [c.alias(f"{prefix}_{n}" if n in ("key", "name", "subtype") else n) for c, n in zip(columns, INDEX_COLUMNS, strict=True)]
     return df.select("instance_name", "project_key", F.lit(kind).alias(f"{prefix}_type"), *named)
 
