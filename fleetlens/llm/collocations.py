@@ -8,13 +8,15 @@ occurrences of frequent groups before the next length is joined.
 A relation is stored as slices of at most ``SLICE`` occurrences: the words in their order, the first word
 of every piece, and the places that are still in the relation. A slice also carries the words that follow
 its last own one, so both sides of every merge join lie in one row and nothing is shuffled but counts.
+Its words are coded by the different ones, and the two sets of places are bits.
 Words are numbers, 64-bit hashes that the word counts prove to be different for different words (if two
 ever agree, the corpus is read again with another seed).
 
-Groups are counted twice. First by a part of their hash, in compact form, which gives a bit table of at most
-``MOST_BITS`` bits; it is all that is broadcast. Then exactly, for the groups that the table lets pass. The same
-table is the semi-join. Where it lets a rare group pass, the exact count removes the group again, and a phrase
-is never more frequent than its parts, so results do not depend on the size of the table.
+Groups are counted twice. First by a part of their hash, in compact form, which gives a bit table of
+``BITS_A_GROUP`` bits for each group found frequent, ``MOST_BITS`` at most; it is all that is broadcast. Then
+exactly, for the groups that the table lets pass. The same table is the semi-join. Where it lets a rare group
+pass, the exact count removes the group again, and a phrase is never more frequent than its parts, so results
+do not depend on the size of the table.
 
 Defined results: a null text is empty, a null lang is ``und``, repeated rows count again, an empty table or
 one without frequent phrases gives no rows, ties are ordered by count and then by the bytes of the phrase.
@@ -37,11 +39,13 @@ from pyspark.sql.window import Window
 from fleetlens.llm.common import bound_batches, mix, stored
 
 SLICE = 1 << 16  # occurrences in a row of a relation
+GROUP_ROWS = 32  # rows of a relation that are written and read together
 WINDOW = 1 << 22  # bytes of a text read at a time
 GROUPED = 1 << 20  # occurrences counted together in a task
 LONG = 256  # bytes of a word up to which words are hashed together
-BITS_A_GROUP = 8
-MOST_BITS = 1 << 29  # 64 MB
+BITS_A_GROUP = 16
+PROBES = 3  # bits of the table that a group sets: one rare group in 200 finds all of its own set
+MOST_BITS = 1 << 28  # 32 MB
 KEY = 48  # bits of a group's hash by which it is counted before its exact count
 UNKNOWN = "und"
 
@@ -109,12 +113,24 @@ def _hashed(lang: bytes, words: pa.Array, seed: int) -> np.ndarray:
     return _numbers(lang, coded.dictionary, seed)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
-_RELATION = "lang string, own int, words array<long>, firsts array<int>, places array<int>"
+_RELATION = "lang string, own int, words binary, codes binary, firsts binary, places binary"
 
 
-def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
-    flat = np.concatenate([np.asarray(r, kind) for r in rows]) if rows else np.zeros(0, kind)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)), pa.array(flat))
+def _code(different: int) -> type:
+    return np.uint16 if different <= 1 << 16 else np.uint32
+
+
+def _coded(words: np.ndarray) -> tuple[bytes, bytes]:
+    """The different words, and which of them each occurrence is."""
+    coded = pa.array(words).dictionary_encode()
+    different = coded.dictionary.to_numpy()
+    return different.tobytes(), coded.indices.to_numpy().astype(_code(len(different))).tobytes()
+
+
+def _flags(places: np.ndarray, size: int) -> bytes:
+    flags = np.zeros(size, bool)
+    flags[places] = True
+    return np.packbits(flags).tobytes()
 
 
 class _Slices:
@@ -139,7 +155,8 @@ class _Slices:
             part = slice(start, start + SLICE + self.ahead)
             own, every = min(SLICE, len(words) - start), np.arange(len(words[part]))
             places = every[self.frequent.holds(words[part], every)]
-            columns = [pa.array([lang]), pa.array([own], pa.int32()), _lists([words[part]], np.int64), _lists([np.flatnonzero(first[part])], np.int32), _lists([places], np.int32)]
+            packed = [*_coded(words[part]), np.packbits(first[part]).tobytes(), _flags(places, len(every))]
+            columns = [pa.array([lang]), pa.array([own], pa.int32()), *[pa.array([p], pa.binary()) for p in packed]]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RELATION.split(", ")])
             start += own
         held[:] = [words[start:]], [first[start:]], len(words) - start
@@ -220,19 +237,25 @@ def _power(least: float, low: int, high: int) -> int:
     return min(high, max(low, math.ceil(math.log2(max(1, least)))))
 
 
+def _probed(keys: np.ndarray, probe: int, cut: int, power: int) -> np.ndarray:
+    """The bit of a table of ``power`` bits that each key sets at a probe: in the part of its range, the first ``cut`` bits of the key."""
+    inside = power - cut
+    return (keys >> (KEY - cut) << inside) + (mix(keys.view(np.uint64), probe + 1) >> np.uint64(64 - inside)).astype(np.int64)
+
+
 class Frequent:
     """Bit table of the groups of ``k`` words that may be frequent; it never stops a frequent one.
 
     Groups are counted by ``KEY`` bits of their hash: every task sends its sorted keys and counts as one row per
-    range of keys, and one task adds up a range and sets its bits. Exact counts follow for what passes.
+    range of keys, and one task adds up a range. How many keys are frequent gives the size of the table; then each
+    key sets ``PROBES`` bits in its range's part of it. Exact counts follow for what passes.
     """
 
     def __init__(self, groups: DataFrame, k: int, least: int, total: int, words: bool = False):
         """``groups``: the relation of length k - 1, or with ``words`` a table (w1, f); ``total``: how many groups it may hold."""
         self.k = k
-        self.power = _power(BITS_A_GROUP * total, 16, MOST_BITS.bit_length() - 1)
-        self.cut = cut = _power(total * least / GROUPED, 0, self.power - 3)
-        held, most = 1 << (self.power - cut), min(least, 255)
+        self.cut = cut = _power(total * least / GROUPED, 0, MOST_BITS.bit_length() - 4)
+        most = min(least, 255)
 
         def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if words:
@@ -263,20 +286,35 @@ class Frequent:
             keys = keys[order]
             fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             often = keys[fresh[np.add.reduceat(counts[order], fresh) >= most]]
-            table = np.zeros(held, bool)
-            table[(often >> (KEY - self.power)) - range_ * held] = True
-            return pd.DataFrame({"range": [range_], "bits": [np.packbits(table).tobytes()]})
+            return pd.DataFrame({"range": [range_], "found": [len(often)], "keys": [often.tobytes()]})
 
         sent = groups.mapInArrow(send, "range long, keys binary, counts binary")
-        self.table = np.zeros((1 << self.power) // 8, np.uint8)
-        for range_, packed in sent.groupBy("range").applyInPandas(add_up, "range long, bits binary").toLocalIterator():
+        ranges = stored(sent.groupBy("range").applyInPandas(add_up, "range long, found long, keys binary"), f"ranges-{k}", GROUP_ROWS)
+        found = ranges.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
+        self.power = power = _power(BITS_A_GROUP * found, max(16, cut + 3), MOST_BITS.bit_length() - 1)
+        held = 1 << (power - cut)
+
+        def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for range_, packed in zip(batch["range"].to_pylist(), batch["keys"].to_pylist()):
+                    keys, table = np.frombuffer(packed, np.int64), np.zeros(held, bool)
+                    for probe in range(PROBES):
+                        table[_probed(keys, probe, cut, power) - range_ * held] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([range_]), pa.array([np.packbits(table).tobytes()], pa.binary())], ["range", "bits"])
+
+        self.table = np.zeros((1 << power) // 8, np.uint8)
+        for range_, packed in ranges.select("range", "keys").mapInArrow(set_bits, "range long, bits binary").toLocalIterator():
             self.table[range_ * held // 8 : (range_ + 1) * held // 8] = np.frombuffer(packed, np.uint8)
 
     def holds(self, words: np.ndarray, places: np.ndarray) -> np.ndarray:
-        if not len(places):
-            return np.zeros(0, bool)
-        at = _bit(_grams(words, places, self.k), self.power)
-        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        out, at = np.zeros(len(places), bool), np.arange(len(places))
+        keys = _bit(_grams(words, places, self.k), KEY)
+        for probe in range(PROBES):
+            bit = _probed(keys, probe, self.cut, self.power)
+            passed = (self.table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+            keys, at = keys[passed], at[passed]
+        out[at] = True
+        return out
 
 
 def _adjacent(places: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
@@ -289,10 +327,11 @@ def _adjacent(places: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 
 def _row(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, firsts, places = (batch[c][row].values.to_numpy() for c in ("words", "firsts", "places"))
-    first = np.zeros(len(words), bool)
-    first[firsts] = True
-    return words, first, places
+    different, codes, firsts, places = (batch[c][row].as_buffer() for c in ("words", "codes", "firsts", "places"))
+    different = np.frombuffer(different, np.int64)
+    words = different[np.frombuffer(codes, _code(len(different)))]
+    first, held = (np.unpackbits(np.frombuffer(b, np.uint8), count=len(words)).astype(bool) for b in (firsts, places))
+    return words, first, np.flatnonzero(held)
 
 
 def semi_joined(relation: DataFrame, frequent: Frequent) -> DataFrame:
@@ -305,8 +344,8 @@ def semi_joined(relation: DataFrame, frequent: Frequent) -> DataFrame:
             for row in range(batch.num_rows):
                 words, first, places = _row(batch, row)
                 places = _adjacent(places, first, k - 1)
-                kept.append(places[table.value.holds(words, places)])
-            yield batch.set_column(batch.schema.get_field_index("places"), "places", _lists(kept, np.int32))
+                kept.append(_flags(places[table.value.holds(words, places)], len(words)))
+            yield batch.set_column(batch.schema.get_field_index("places"), "places", pa.array(kept, pa.binary()))
 
     return relation.mapInArrow(keep, _RELATION)
 
@@ -391,14 +430,14 @@ def mined(documents: DataFrame, longest: int, least: int) -> tuple[DataFrame, li
         seed += 1
     tables = [stored(words.filter(F.col("f") >= least), "frequent-1")]
     singles = Frequent(tables[0].select("w1", "f"), 1, least, max(1, tables[0].count()), words=True)
-    relation = stored(occurrences(documents, longest, seed, singles), "occurrences-1")
+    relation = stored(occurrences(documents, longest, seed, singles), "occurrences-1", GROUP_ROWS)
     # at most so many phrases of one length can be frequent
     most = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] / least
     for k in range(2, longest + 1):
         frequent = Frequent(relation, k, least, most)
         tables.append(stored(counted(relation, k, least, frequent), f"frequent-{k}"))
         if k < longest:
-            relation = stored(semi_joined(relation, frequent), f"occurrences-{k}")
+            relation = stored(semi_joined(relation, frequent), f"occurrences-{k}", GROUP_ROWS)
     return words, tables
 
 

@@ -36,11 +36,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write below ``spark.checkpoint.dir`` and read back."""
+def stored(frame: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write below ``spark.checkpoint.dir`` and read back.
+
+    A reader takes up to a row group into memory, so wide rows are written in groups of ``group_rows``.
+    """
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.option("compression", "zstd").parquet(path)
+    writer = frame.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", str(group_rows))
+    writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from checks.compare import compare, connect
@@ -117,3 +118,32 @@ def test_bit_table_holds_all_frequent_groups(phrases):
     rare = np.array([[r["w1"], r["w2"]] for r in exact if r["f"] < least]).ravel()
     assert len(often) and table.holds(often, np.arange(0, len(often), 2)).all()
     assert len(rare) and table.holds(rare, np.arange(0, len(rare), 2)).mean() < 0.1
+
+
+def test_bit_table_follows_what_is_frequent(phrases):
+    """Its size is that of the groups found, however many the corpus might hold."""
+    counts = collocations.word_counts(phrases, 0).select("w1", "f")
+    relation = collocations.occurrences(phrases, 2, 0, collocations.Frequent(counts, 1, 1, 1000, words=True))
+    table = collocations.Frequent(relation, 2, 5, 1 << 23)
+    assert table.table.nbytes <= 1 << 13
+    often = np.array([[r["w1"], r["w2"]] for r in collocations.counted(relation, 2, 5, table).collect()]).ravel()
+    assert len(often) and table.holds(often, np.arange(0, len(often), 2)).all()
+
+
+def test_relation_is_narrow(spark):
+    """Few bytes an occurrence, and few slices in a row group, which readers take into memory whole."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(1000)]
+    documents = spark.createDataFrame([(" ".join(draw.choices(words, k=2000)), "en") for _ in range(100)], "text string, lang string").coalesce(1)
+    relation = collocations.occurrences(documents, 2, 0, collocations.Frequent(collocations.word_counts(documents, 0).select("w1", "f"), 1, 1, 1000, words=True))
+    assert sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 * len(v) for r in relation.drop("lang", "own").collect() for v in r) <= 4 * 200_000
+    kept = collocations.stored(relation, "narrow", 2)
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in kept.inputFiles()]
+    assert [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [2, 2]
+
+
+def test_codes_of_many_different_words():
+    """More different words in a slice than 16 bits can tell apart."""
+    words = np.arange(70_000, dtype=np.int64) * 3
+    coded = collocations._coded(words)
+    assert (np.frombuffer(coded[0], np.int64)[np.frombuffer(coded[1], collocations._code(len(coded[0]) // 8))] == words).all()
